@@ -1,0 +1 @@
+"""Path language: parsing and compilation to columns."""
