@@ -150,9 +150,10 @@ def cover_zones(zones: DataFrame, degrees: float) -> DataFrame:
 def zone_members(points: DataFrame, zones: DataFrame, degrees: float = 1.0) -> DataFrame:
     """(a_id, zone_id) of each point (id, lat, lon) and each zone that contains it.
 
+    Points without coordinates and zones without rings have no rows. Other columns of either table are ignored.
     The cover is broadcast only while its checked size is small; otherwise points and cover meet by cell in a shuffle.
     """
     cols = int(round(360 / degrees))
-    at = points.withColumn("row", F.floor((F.col("lat") + 90) / degrees).cast("bigint")).withColumn("col", F.pmod(F.floor((F.col("lon") + 180) / degrees).cast("bigint"), F.lit(cols)))
+    at = points.select("id", "lat", "lon").withColumn("row", F.floor((F.col("lat") + 90) / degrees).cast("bigint")).withColumn("col", F.pmod(F.floor((F.col("lon") + 180) / degrees).cast("bigint"), F.lit(cols)))
     cover = broadcast_if_small(cover_zones(zones, degrees), 20_000)
     return at.join(cover, ["row", "col"]).filter(inside(F.col("lat"), F.col("lon"), F.col("rings"))).select(F.col("id").alias("a_id"), "zone_id")

@@ -52,7 +52,7 @@ def sessionise(events: DataFrame, device: str, time_ms: str, gap_ms: int) -> Dat
     """(device, start_ms, end_ms, n_events) of each session.
 
     Neighbours at most gap_ms apart share a session. Rows with a null device or time take no
-    part; repeated rows count in n_events; an empty table gives no sessions.
+    part; repeated rows count in n_events; an empty table gives no sessions; other columns are ignored.
     """
     cell = F.floor(F.col(time_ms) / F.lit(gap_ms)).cast("bigint")
     cells = (

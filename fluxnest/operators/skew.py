@@ -8,7 +8,7 @@ are united.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,10 +47,11 @@ def frequent_candidates(df: DataFrame, fields: list[str], k: int) -> DataFrame:
 
 
 def heavy_hitters(df: DataFrame, fields: list[str], share: float) -> DataFrame:
-    """(field, value, n): values of string columns found in at least share of all rows, with exact counts.
+    """(field, value, n): values of columns, as strings, found in at least share of all rows, with exact counts.
 
     All rows count for the share; nulls and empty strings are never heavy. An empty table has none.
     """
+    df = df.select(*(F.col(f).cast("string").alias(f) for f in fields))
     total = df.count()
     k = int(4 / share)
     floor = share * total - total / (k + 1)
@@ -64,34 +65,30 @@ def heavy_hitters(df: DataFrame, fields: list[str], share: float) -> DataFrame:
 def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.03, how: str = "left") -> DataFrame:
     """Join a skewed table with a dimension that has at most one row a key; same rows as the plain join.
 
-    Rows of heavy keys meet a broadcast of those keys' dimension rows; the rest is shuffled. Null and
-    empty keys count as light and, being in no task's hash for a left join, are kept apart from the shuffle.
+    Rows of heavy keys, and of the empty string, meet a broadcast of those keys' dimension rows; rows of other
+    keys are joined by shuffle; rows with a null key match nothing and skip the shuffle. how is "left" or "inner". A column of
+    right whose name left has too is renamed with the suffix _2. Empty tables give the plain join's result.
     """
+    taken = set(left.columns)
+    right = right.withColumnsRenamed({c: f"{c}_2" for c in right.columns if c != key and c in taken})
     hot = [r["value"] for r in heavy_hitters(left, [key], share).select("value").collect()]  # at most 1 / share rows
-    is_hot, blank = F.col(key).isin(hot) if hot else F.lit(False), F.col(key).isNull()
+    is_hot, blank = F.col(key).isin(["", *hot]), F.col(key).isNull()
     heavy = left.filter(is_hot & ~blank).join(F.broadcast(right.filter(is_hot)), key, how)
-    light = left.filter(~is_hot & ~blank).hint("merge").join(right.filter(~is_hot | F.col(key).isNull()), key, how)
+    light = left.filter(~is_hot & ~blank).join(right.filter(~is_hot), key, how)
     out = heavy.unionByName(light)
     if how == "left":
         extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
-        out = out.unionByName(left.filter(blank).select(*left.columns, *extra))
+        out = out.unionByName(left.filter(blank).select("*", *extra))
     return out
 
 
-def skew_apply(df: DataFrame, key: str, time: str, light: Callable[[DataFrame, list[str]], DataFrame], share: float = 0.03, salts: int = 64) -> DataFrame:
-    """Split df into rows of light keys (salt 0) and of heavy keys (salted by time range), as column __salt."""
-    hot = [r["value"] for r in heavy_hitters(df, [key], share).select("value").collect()]
-    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(time), F.lit(salts))).otherwise(0) if hot else F.lit(0)
-    return light(df.withColumn("__salt", salt), [key, "__salt"])
-
-
-def per_key_totals(df: DataFrame, key: str, distinct: str, share: float = 0.03, salts: int = 64) -> DataFrame:
+def per_key_totals(df: DataFrame, key: str, distinct: str, salts: int = 64) -> DataFrame:
     """(key, n_rows, n_distinct): exact counts a key without a hot task.
 
     The distinct column is deduplicated on (key, value), which spreads heavy keys over all tasks;
-    counts are then added in two steps, heavy keys over salts. Null keys form one group; null values don't count.
+    counts are then added in two steps, over salts first. Null keys form one group; null values don't
+    count. Other columns are ignored; an empty table gives no rows.
     """
-    pairs = df.groupBy(key, distinct).agg(F.count(F.lit(1)).alias("rows"))
-    salted = pairs.withColumn("__salt", F.pmod(F.xxhash64(distinct), F.lit(salts)))
-    part = salted.groupBy(key, "__salt").agg(F.sum("rows").alias("rows"), F.count(distinct).alias("values"))
-    return part.groupBy(key).agg(F.sum("rows").alias("n_rows"), F.sum("values").alias("n_distinct"))
+    pairs = df.select(F.col(key).alias("__k"), F.col(distinct).alias("__v")).groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("rows"))
+    part = pairs.groupBy("__k", F.pmod(F.xxhash64("__v"), F.lit(salts)).alias("__salt")).agg(F.sum("rows").alias("rows"), F.count("__v").alias("values"))
+    return part.groupBy(F.col("__k").alias(key)).agg(F.sum("rows").alias("n_rows"), F.sum("values").alias("n_distinct"))
