@@ -8,7 +8,7 @@ candidates are then counted exactly.
 
 Memory is fixed: repeats x groups x 24 x 16 counters a column, whatever the data. A missing frequent
 value would leave a group's total unexplained in every repeat; while that is so, the rows of those groups
-are sketched again with new hashes, so the result is complete.
+are sketched again with new hashes and twice the groups, so the result is complete.
 """
 
 from __future__ import annotations
@@ -112,8 +112,21 @@ def group_of(fp: np.ndarray, rep: int, groups: int, seed: int) -> np.ndarray:
         return ((x ^ (x >> np.uint64(31))) % np.uint64(groups)).astype(np.int64)
 
 
-def _count(fields: list[str], groups: int, repeats: int, seed: int, only: dict[str, list[tuple[int, list[set[int]]]]]):
-    """Counters of one task. only: for each field, (seed, open groups of each repeat) of the rounds before."""
+#: For each field the rounds before: seed, number of groups, and the open groups of each repeat.
+Only = dict[str, list[tuple[int, int, list[set[int]]]]]
+
+
+def still_open(fp: np.ndarray, rounds: list[tuple[int, int, list[set[int]]]]) -> np.ndarray:
+    """Which fingerprints lie in an open group of every repeat of every round."""
+    keep = np.ones(len(fp), bool)
+    for seed, groups, opened in rounds:
+        for rep, some in enumerate(opened):
+            keep &= np.isin(group_of(fp, rep, groups, seed), list(some))
+    return keep
+
+
+def _count(fields: list[str], groups: int, repeats: int, seed: int, only: "Only"):
+    """Counters of one task; only limits the rows to those that the rounds before left open."""
 
     def add(table: np.ndarray, fp: np.ndarray, n: np.ndarray) -> None:
         words = encode(fp)
@@ -138,9 +151,7 @@ def _count(fields: list[str], groups: int, repeats: int, seed: int, only: dict[s
         for b in batches:
             for f in fields:
                 fp = b.column(f).drop_null().to_numpy(zero_copy_only=False).view(np.uint64)
-                for old, opened in only.get(f, []):
-                    for rep, some in enumerate(opened):
-                        fp = fp[np.isin(group_of(fp, rep, groups, old), list(some))]
+                fp = fp[still_open(fp, only.get(f, []))]
                 if len(fp):
                     held[f].append(np.unique(fp, return_counts=True))
                     if sum(len(x) for x, _ in held[f]) >= BLOCK:
@@ -203,8 +214,8 @@ def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = G
     """(field, item, n, n_upper): values of string columns found in at least share of all rows.
 
     n is exact, n_upper the sketch's count before the exact pass (never below n for a value's first sketch).
-    Nulls and empty strings never count, though their rows count for the share. share must be above 2 / groups. An
-    empty table gives no rows.
+    Nulls and empty strings never count, though their rows count for the share. With fewer than 2 / share groups more
+    rounds are needed. An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     out = "field string, item string, n bigint, n_upper bigint"
@@ -214,7 +225,7 @@ def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = G
     least = share * total
     prints = df.select(*(F.when(F.col(f) != "", F.xxhash64(f)).alias(f) for f in fields))
     long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("item")) for f in fields))).alias("x")).select("x.*").filter(F.col("item") != "").withColumn("fp", F.xxhash64("item"))
-    only: dict[str, list[tuple[int, list[set[int]]]]] = {}
+    only: Only = {}
     active, upper = list(fields), {}
     exact: dict[tuple[str, int], int] = {}
     for seed in range(max_rounds):
@@ -236,10 +247,8 @@ def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = G
             opened: list[set[int]] = []
             known = [(fp, n) for (g, fp), n in exact.items() if g == f]
             fps = np.array([fp for fp, _ in known], np.int64).view(np.uint64)
-            for old, before in only.get(f, []):  # values outside the rows sketched this round explain nothing
-                for rep, some in enumerate(before):
-                    keep = np.isin(group_of(fps, rep, groups, old), list(some))
-                    fps, known = fps[keep], [x for x, k in zip(known, keep) if k]
+            keep = still_open(fps, only.get(f, []))  # values outside the rows sketched this round explain nothing
+            fps, known = fps[keep], [x for x, k in zip(known, keep) if k]
             for rep in range(repeats):
                 rest = {r.grp: r.total for r in seen if r.field == f and r.rep == rep}
                 for g, (_, n) in zip(group_of(fps, rep, groups, seed), known):
@@ -247,9 +256,9 @@ def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = G
                         rest[int(g)] -= n
                 opened.append({g for g, n in rest.items() if n >= least})
             if all(opened):
-                only.setdefault(f, []).append((seed, opened))
+                only.setdefault(f, []).append((seed, groups, opened))
                 still.append(f)
-        active = still
+        active, groups = still, 2 * groups
         if not active:
             break
     else:

@@ -88,9 +88,11 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = MI
 
     sizes: (doc_id, source, n_tokens). Rows with a null source or no tokens are never selected. A document is taken
     if at least half of it lies within the source's quota, so a source is off its share by less than a document.
-    Empty tables give no rows.
+    Empty tables give no rows; other columns of either table are ignored; a source listed twice in a mix has the sum of
+    its weights and the larger max_repeats.
     """
     spark = sizes.sparkSession
+    sizes, targets = sizes.select("doc_id", "source", "n_tokens"), targets.select("mix_id", "source", "target_weight", "max_repeats")
     sizes = materialise(sizes.filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0)).join(F.broadcast(targets.select("source").distinct()) if targets.limit(10_001).count() <= 10_000 else targets.select("source").distinct(), "source", "left_semi"), "sizes")
     totals = {r["source"]: r["tokens"] for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}  # one row a listed source
     shares = plan([r.asDict() for r in targets.collect()], totals, min_block, max_blocks)
@@ -115,6 +117,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = MI
 
 def report(selection: DataFrame, targets: DataFrame) -> DataFrame:
     """Target and actual shares of every row of targets, those that got nothing included."""
+    targets = targets.select("mix_id", "source", "target_weight", "max_repeats")
     got = selection.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"), (F.max("repeat") + 1).alias("repeats_used"))
     whole = got.groupBy("mix_id").agg(F.sum("tokens").alias("mix_tokens"))
     weights = targets.groupBy("mix_id").agg(F.sum(F.when(F.col("target_weight") > 0, F.col("target_weight"))).alias("weights"))
