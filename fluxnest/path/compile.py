@@ -46,7 +46,7 @@ def field_of(v: V, name: str) -> V:
 
 def slice_places(size: Column, s: Slice) -> Column:
     """Positions that a slice selects from a list of the given size, as Python has it."""
-    size = size.cast("int")
+    size = F.coalesce(size.cast("int"), F.lit(0))
     fix = lambda n: F.lit(n) if n >= 0 else size + n
     if s.step > 0:
         start = F.lit(0) if s.start is None else F.greatest(F.lit(0), F.least(fix(s.start), size))

@@ -647,6 +647,13 @@ def _call(t, v, s):
             return run(body, v, inner)
         except RecursionError:
             raise PipeError(f"{name} calls itself too deeply") from None
+    try:
+        return _builtin(name, args, v, s)
+    except (TypeError, ValueError, KeyError, IndexError, OverflowError, AttributeError) as e:
+        raise PipeError(f"{name}: {e}") from None
+
+
+def _builtin(name, args, v, s):
     plain_name = name if name in PLAIN and not args else f"{name}/0" if not args else ""
     if plain_name in PLAIN:
         return PLAIN[plain_name](v)

@@ -119,7 +119,37 @@ WITH k AS (
   FROM k
 )
 """
+_BID_IMPS = "SELECT rec_id, unnest(msg.imp) AS x, generate_subscripts(msg.imp, 1) - 1 AS i FROM bid_requests"
+_LIVE = "(x.id IS NOT NULL OR x.exp IS NOT NULL OR {pmp} OR {banner} OR {video} OR x.bidfloor.units IS NOT NULL OR x.bidfloor.nanos IS NOT NULL OR x.bidfloorcur IS NOT NULL OR x.ext.displaytime IS NOT NULL OR x.dt IS NOT NULL OR x.qty.multiplier.units IS NOT NULL OR x.qty.multiplier.nanos IS NOT NULL)"
+_SOME = "len(list_filter(coalesce({l}, []), lambda y: y IS NOT NULL)) > 0"
+_BANNER = f"({_SOME.format(l='x.banner.mimes')} OR x.banner.w IS NOT NULL OR x.banner.h IS NOT NULL)"
+_VIDEO = f"({_SOME.format(l='x.video.mimes')} OR {_SOME.format(l='x.video.protocols')} OR x.video.w IS NOT NULL OR x.video.h IS NOT NULL OR x.video.minduration IS NOT NULL OR x.video.maxduration IS NOT NULL)"
+_DEAL = "d.id IS NOT NULL OR d.bidfloor.units IS NOT NULL OR d.bidfloor.nanos IS NOT NULL OR d.at IS NOT NULL OR len(list_filter(coalesce(d.wseat, []), lambda y: y IS NOT NULL)) > 0 OR d.bidfloorcur IS NOT NULL OR d.ext.adspottype IS NOT NULL OR d.ext.guaranteed IS NOT NULL OR d.ext.must_bid IS NOT NULL"
+_PMP = f"(x.pmp.private_auction IS NOT NULL OR len(list_filter(coalesce(x.pmp.deals, []), lambda d: {_DEAL})) > 0)"
 ORACLES = {
+    "p1_imp_table": f"SELECT rec_id, i AS imp_index, CASE WHEN {_BANNER} AND {_VIDEO} THEN 'imp_av' WHEN {_VIDEO} THEN 'imp_video' WHEN {_BANNER} THEN 'imp_banner' ELSE 'imp_bare' END AS variant, x.id AS imp_id, x.exp AS exp, x.bidfloorcur AS bidfloorcur, x.video.minduration AS minduration FROM ({_BID_IMPS}) WHERE {_LIVE.format(pmp=_PMP, banner=_BANNER, video=_VIDEO)}",
+    "p2_found": """
+WITH p AS (
+  SELECT geo_id, lat.units + lat.nanos / 1e9 AS a, lon.units + lon.nanos / 1e9 AS o FROM geo_points
+  WHERE lat.units IS NOT NULL AND lat.nanos IS NOT NULL AND lon.units IS NOT NULL AND lon.nanos IS NOT NULL
+), q AS (
+  SELECT *, floor(a * 100) AS band FROM p WHERE a BETWEEN -90 AND 90 AND o BETWEEN -180 AND 180 AND NOT (a = 0 AND o = 0)
+), b AS (
+  SELECT geo_id, a, o, unnest([band - 1, band, band + 1]) AS band FROM q
+), near AS (
+  SELECT x.geo_id AS a_id, y.geo_id AS b_id FROM q AS x JOIN b AS y USING (band)
+  WHERE x.geo_id < y.geo_id AND 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(y.a - x.a) / 2), 2) + cos(radians(x.a)) * cos(radians(y.a)) * pow(sin(radians(y.o - x.o) / 2), 2)))) <= 250
+), e AS (
+  SELECT zone_id, j, generate_subscripts(ring, 1) AS i, unnest(ring) AS v, len(ring) AS n, ring FROM (SELECT zone_id, generate_subscripts(rings, 1) AS j, unnest(rings) AS ring FROM geo_zones)
+), s AS (
+  SELECT zone_id, j, v.lat AS a1, v.lon AS o1, ring[i % n + 1].lat AS a2, ring[i % n + 1].lon AS o2 FROM e WHERE n > 1
+), c AS (
+  SELECT geo_id, zone_id, j, a, a1, a2, ((o1 - o + 540) % 360 + 360) % 360 - 180 AS x1, ((o2 - o + 540) % 360 + 360) % 360 - 180 AS x2 FROM q, s
+), r AS (
+  SELECT geo_id, zone_id, j, count(*) % 2 AS odd FROM c WHERE (x1 >= 0) <> (x2 >= 0) AND abs(x1 - x2) < 180 AND a1 + (a2 - a1) * (-x1 / (x2 - x1)) > a GROUP BY ALL
+)
+SELECT 'near' AS kind, a_id, b_id FROM near UNION ALL SELECT 'zone', geo_id, zone_id FROM (SELECT geo_id, zone_id, sum(odd) AS n FROM r GROUP BY ALL) WHERE n % 2 = 1
+""",
     "p3_found": "SELECT field, hot_key FROM (SELECT 'site_id' AS field, site_id AS hot_key, count(*) AS n FROM request_log GROUP BY ALL UNION ALL SELECT 'country', country, count(*) FROM request_log GROUP BY ALL) WHERE hot_key IS NOT NULL AND hot_key <> '' AND n >= 0.03 * (SELECT count(*) FROM request_log)",
     "p3_site_totals": "SELECT site_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT ifa) AS BIGINT) AS n_distinct FROM request_log GROUP BY site_id",
     "p3_country_totals": "SELECT country, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT user_id) AS BIGINT) AS n_distinct FROM request_log GROUP BY country",

@@ -230,4 +230,4 @@ for _agg, _e, _sql in (
     ("distinct", call("distinct", STATUS), "CAST(len(list_distinct(list_transform(items, lambda x: x.l_linestatus))) AS BIGINT)"),
     ("list_concat", call("list_concat", FLAG, sep=","), "array_to_string(list_transform(items, lambda x: x.l_returnflag), ',')"),
 ):
-    _add(f"expr_{_agg}", lambda s, d, e=_e: denorm(orders_nested(s, d), "o_orderkey", value=e), f"WITH {ORDERS} SELECT o_orderkey, {_sql} AS value FROM n LEFT JOIN unnest(n.items) AS t(x) ON true")
+    _add(f"expr_{_agg}", lambda s, d, e=_e: denorm(orders_nested(s, d), "o_orderkey", value=e), f"WITH {ORDERS} SELECT o_orderkey, {_sql} AS value FROM n LEFT JOIN unnest(n.items) AS t(z) ON true")

@@ -204,7 +204,7 @@ class _Proto:
         while (w := self.next()) != "}":
             if w == ";":
                 continue
-            if w in ("option", "reserved", "extensions") and self.toks[self.at + 1 : self.at + 2] != ["="]:
+            if w in ("option", "reserved", "extensions"):
                 self.skip()
             elif w == "message":
                 self.message(name)
