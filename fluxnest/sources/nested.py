@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
@@ -10,23 +10,31 @@ from ..runtime import table
 ITEM = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def orders_nested(spark: SparkSession, d: str, items: list[str] = ITEM) -> DataFrame:
-    """Each order with items[], ordered by the whole item; an order without items has an empty list.
+def nest(parents: DataFrame, parent_key: str, children: DataFrame, child_key: str, child: Column, out: str) -> DataFrame:
+    """parents with their children as the list out, ordered by the whole child; a parent without children has an empty list.
 
-    One shuffle of each side on the order key: items are collected by key first, then joined by the same key.
+    Both sides meet in one shuffle on the key, without a join: rows are united, then grouped. Parent keys are unique;
+    children without a parent are left out, as in a left join.
     """
-    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*items))).alias("items"))
+    whole = F.struct(*parents.columns)
+    child_kind = children.select(child.alias("c")).schema["c"].dataType
+    both = parents.select(F.col(parent_key).alias("__key"), whole.alias("__parent"), F.lit(None).cast(child_kind).alias("__child"))
+    both = both.unionByName(children.select(F.col(child_key).alias("__key"), F.lit(None).cast(parents.schema).alias("__parent"), child.alias("__child")))
+    grouped = both.groupBy("__key").agg(F.first("__parent", ignorenulls=True).alias("__parent"), F.array_sort(F.collect_list("__child")).alias(out))
+    return grouped.filter(F.col("__parent").isNotNull()).select("__parent.*", out)
+
+
+def orders_nested(spark: SparkSession, d: str, items: list[str] = ITEM) -> DataFrame:
+    """Each order with items[]."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
-    joined = orders.join(lists, orders.o_orderkey == lists.l_orderkey, "left").drop("l_orderkey")
-    return joined.withColumn("items", F.coalesce("items", F.array()))
+    return nest(orders, "o_orderkey", table(spark, d, "lineitem"), "l_orderkey", F.struct(*items), "items")
 
 
 def customers_nested(spark: SparkSession, d: str) -> DataFrame:
     """Each customer with orders[*].items[*]."""
-    slim = orders_nested(spark, d, ["l_partkey", "l_quantity"]).select("o_custkey", F.struct("o_orderkey", "o_totalprice", "items").alias("o"))
-    lists = slim.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o")).alias("orders"))
+    slim = orders_nested(spark, d, ["l_partkey", "l_quantity"])
     customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return customers.join(lists, customers.c_custkey == lists.o_custkey, "left").drop("o_custkey").withColumn("orders", F.coalesce("orders", F.array()))
+    return nest(customers, "c_custkey", slim, "o_custkey", F.struct("o_orderkey", "o_totalprice", "items"), "orders")
 
 
 def events_by_user(spark: SparkSession, d: str) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schema.proto import FieldDef, MessageDef, Registry, SchemaError, struct_type
+from . import columnar
+from .arrays import to_values
 from .codec import Codec, WireError
 
 
@@ -35,19 +37,21 @@ class RecordType:
     def field_names(self) -> list[str]:
         return self.schema.fieldNames()
 
-    def decode(self, df: DataFrame, column: str, out: str = "msg", strict: bool = True) -> DataFrame:
-        """df with the struct out in place of the byte column.
+    def decode(self, df: DataFrame, column: str, out: str = "msg", strict: bool = True, runtime: bool = True) -> DataFrame:
+        """df with the struct out in place of the byte column. runtime=False keeps to this package's own codec.
 
         Null bytes give a null struct. In permissive mode bytes that are no message give a null struct and their
         reason in _corrupt; in strict mode they raise.
         """
-        codec, kind = Codec(self.reg, self.message, self.flatten), to_arrow_type(self.schema)
+        reg, message, flatten, kind = self.reg, self.message, self.flatten, to_arrow_type(self.schema)
         keep = [c for c in df.columns if c != column]
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+        def row_decoder():
+            codec = Codec(reg, message, flatten)
+
+            def decode(blobs: list[bytes | None], strict: bool) -> tuple[pa.Array, list[str | None]]:
                 rows, why = [], []
-                for raw in b.column(b.num_columns - 1).to_pylist():
+                for raw in blobs:
                     try:
                         rows.append(None if raw is None else codec.decode(raw))
                         why.append(None)
@@ -56,7 +60,15 @@ class RecordType:
                             raise
                         rows.append(None)
                         why.append(str(e))
-                cols = [*b.columns[:-1], pa.array(rows, kind)] + ([] if strict else [pa.array(why, pa.string())])
+                return pa.array(rows, kind), why
+
+            return decode
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            decode = columnar.ColumnarDecoder(reg, message, flatten).decode if columnar.available() and runtime else row_decoder()
+            for b in batches:
+                rows, why = decode(b.column(b.num_columns - 1).to_pylist(), strict)
+                cols = [*b.columns[:-1], rows] + ([] if strict else [pa.array(why, pa.string())])
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, out] + ([] if strict else ["_corrupt"]))
 
         schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out, self.schema)] + ([] if strict else [T.StructField("_corrupt", T.StringType())]))
@@ -64,12 +76,14 @@ class RecordType:
 
     def encode(self, df: DataFrame, column: str, out: str = "payload") -> DataFrame:
         """df with the bytes out in place of the struct column; null structs give null. Row subsets are a filter before."""
-        codec = Codec(self.reg, self.message, self.flatten)
+        reg, message, flatten = self.reg, self.message, self.flatten
         keep = [c for c in df.columns if c != column]
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fast = columnar.available() and columnar.plain(reg, message, flatten)
+            codec = columnar.PlainEncoder(reg, message, flatten) if fast else Codec(reg, message, flatten)
             for b in batches:
-                blobs = [None if r is None else codec.encode(r) for r in b.column(b.num_columns - 1).to_pylist()]
+                blobs = [None if r is None else codec.encode(r) for r in to_values(b.column(b.num_columns - 1))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(blobs, pa.binary())], names=[*keep, out])
 
         return df.select(*keep, column).mapInArrow(run, T.StructType([*df.select(*keep).schema.fields, T.StructField(out, T.BinaryType())]))

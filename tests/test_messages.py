@@ -94,8 +94,17 @@ def test_round_trip_with_flattened_messages(reg, spark):
     at = datetime.datetime(1969, 12, 31, 23, 59, 59, 250_000)
     row = (1.5, 2.5, 1, 2, 3, Decimal(4), 5, 6, 7, Decimal(8), 9, 10, True, "s", bytearray(b"r"), 0, [1, 2], [(1, ["n"], (True,))], (2, [], (False,)), 1, {"k": 5}, {3: (4, [], (False,))}, None, (9, ["o"], (False,)), at, -7, '{"a":[1,true,null,"x",{"b":1.5}]}')
     df = spark.createDataFrame([(1, row), (2, None)], T.StructType([T.StructField("k", T.IntegerType()), T.StructField("msg", t.schema)])).coalesce(1)
-    back = t.decode(t.encode(df, "msg"), "payload").collect()
-    assert back[1].msg is None and back[0].msg == df.collect()[0].msg
+    for runtime in (True, False):
+        back = t.decode(t.encode(df, "msg"), "payload", runtime=runtime).collect()
+        assert back[1].msg is None and back[0].msg == df.collect()[0].msg
+
+
+def test_both_decoders_agree_on_defaults(reg, spark):
+    blobs = [b"", Codec(reg, reg.lookup("All")).encode({"c": {"v": 3}, "opt": 0, "mm": [(1, {"v": 2})], "inner": {"names": ["x"]}}), Codec(reg, reg.lookup("All")).encode({"a": ""})]
+    df = spark.createDataFrame([(b,) for b in blobs], "payload binary").coalesce(1)
+    for flatten in (True, False):
+        t = RecordType(reg, reg.lookup("All"), flatten)
+        assert t.decode(df, "payload").collect() == t.decode(df, "payload", runtime=False).collect()
 
 
 @pytest.mark.parametrize("blob", [b"\x08", b"\x0a\x05ab", b"\x00\x01", b"\x72\x02\xff\xfe", b"\x09\x00"])
@@ -104,8 +113,9 @@ def test_damaged_bytes(reg, spark, blob):
         Codec(reg, reg.lookup("All")).decode(blob)
     t = RecordType(reg, reg.lookup("Inner"))
     df = spark.createDataFrame([(1, b""), (2, b"\x08"), (3, None)], "k int, payload binary").coalesce(1)
-    got = t.decode(df, "payload", strict=False).collect()
-    assert [r._corrupt is None for r in got] == [True, False, True] and got[0].msg.v == 0 and got[1].msg is None
+    for runtime in (True, False):
+        got = t.decode(df, "payload", strict=False, runtime=runtime).collect()
+        assert [r._corrupt is None for r in got] == [True, False, True] and got[0].msg.v == 0 and got[1].msg is None
 
 
 def test_unknown_and_unneeded_fields_are_skipped(reg):
