@@ -143,3 +143,17 @@ def redelivered(df: DataFrame, key: str = "rec_id", ident: str = "id", ts: str =
     where = F.when(F.col("lose"), F.col("rec")).otherwise(quotient)
     spread = local.repartition(where).sortWithinPartitions("w1", "w2", "ts", "rest", "rec")
     return spread.mapInArrow(_shards, "rec_id bigint")
+
+
+def fresh_messages(batch: DataFrame, seen: DataFrame, key: str = "rec_id", ident: str = "id", ts: str = "req_ts") -> tuple[DataFrame, DataFrame]:
+    """(rows to keep, identifiers to append) of a later batch, given the identifiers (w1, w2, ts, rest) stored so far.
+
+    Copies within the batch and copies of earlier batches are dropped; rows that can't be copies are always kept. seen is
+    partitioned by nothing but its words, so it may be bucketed by w1 to spare its shuffle.
+    """
+    once = batch.join(redelivered(batch, key, ident, ts), key, "left_anti")
+    words = identifiers(once, key, ident, ts)
+    same = [words[c].eqNullSafe(seen[c]) for c in ("w1", "w2", "ts", "rest")]
+    known = words.join(seen, same[0] & same[1] & same[2] & same[3], "left_semi").select(F.col("rec").alias(key))
+    kept = once.join(known, key, "left_anti")
+    return kept, identifiers(kept, key, ident, ts).select("w1", "w2", "ts", "rest")

@@ -253,6 +253,11 @@ def format_path(path: Path) -> str:
     return out
 
 
+def prefix(path: Path, k: int) -> Path:
+    """The path up to its k-th step, counted from the end where k is negative: the k-th value along the way."""
+    return Path(path.steps[: k + 1 if k != -1 else None], path.root)
+
+
 def default_name(text: str) -> str:
     """Column name of a bare path: its last segment without subscripts."""
     return re.sub(r"\[[^\]]*\]", "", text.split(".")[-1])

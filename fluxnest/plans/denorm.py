@@ -288,6 +288,26 @@ def first_string(array: Column, kind: T.DataType) -> Column:
     return exprs.FUNCTIONS["cast_string"][2]([V(F.get(array, F.lit(0)), kind)], {}).col
 
 
+def first_bytes(array: Column, kind: T.DataType) -> Column:
+    """The first branch as bytes; null where there is none."""
+    return F.get(array, F.lit(0)).cast("binary") if isinstance(kind, (T.BinaryType, T.StringType)) else F.lit(None).cast("binary")
+
+
+def first_message(array: Column, kind: T.DataType) -> Column:
+    """The first branch as a struct; null where there is none."""
+    if not isinstance(kind, T.StructType):
+        raise PlanError(f"{kind.simpleString()} is no message")
+    return F.get(array, F.lit(0))
+
+
+def all_floats(array: Column, kind: T.DataType) -> Column:
+    return F.filter(F.transform(array, lambda x: exprs.FUNCTIONS["cast_float"][2]([V(x, kind)], {}).col), lambda x: x.isNotNull())
+
+
+def all_bools(array: Column, kind: T.DataType) -> Column:
+    return F.transform(F.filter(array, lambda x: x.isNotNull()), lambda x: truthy(V(x, kind)))
+
+
 def all_ints(array: Column, kind: T.DataType) -> Column:
     """Every branch that is a whole number; others are skipped."""
     return F.filter(F.transform(array, lambda x: exprs.FUNCTIONS["cast_int"][2]([V(x, kind)], {}).col), lambda x: x.isNotNull())

@@ -224,7 +224,12 @@ def _expression(name: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name, (_, _sql) in EXPRESSIONS.items():
     _add(f"expr_{_name}", _expression(_name), f"SELECT o_orderkey, l_partkey AS part, CASE WHEN l_orderkey IS NOT NULL THEN {_sql} END AS value {_LEFT}")
 
-_add("expr_hash", lambda s, d: denorm(orders_nested(s, d), "o_orderkey", value=call("hash", "o_orderstatus", "o_custkey")))
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(t, ''), lambda c: unicode(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+_add(
+    "expr_hash",
+    lambda s, d: denorm(orders_nested(s, d), "o_orderkey", value=call("hash", "o_orderstatus", "o_custkey")),
+    f"WITH h AS (SELECT o_orderkey, {_FNV} AS h FROM (SELECT o_orderkey, o_orderstatus || o_custkey AS t FROM orders)) SELECT o_orderkey, CAST(CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END AS BIGINT) AS value FROM h",
+)
 for _agg, _e, _sql in (
     ("sum", call("sum", call("mul", Q, P)), "list_sum(list_transform(items, lambda x: x.l_quantity * x.l_extendedprice))"),
     ("distinct", call("distinct", STATUS), "CAST(len(list_distinct(list_transform(items, lambda x: x.l_linestatus))) AS BIGINT)"),

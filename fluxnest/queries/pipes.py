@@ -124,26 +124,26 @@ INTERPRETED: dict[str, tuple[str, str | None]] = {
     "try_catch": ('try error("no " + .o_orderstatus) catch .', "['\"no ' || o_orderstatus || '\"']"),
     "optional": ("[.o_orderkey[]?]", "['[]']"),
     "label_break": ("label $done | reduce .items[] as $i (0; if . > 50 then break $done else . + $i.l_quantity end)", None),
-    "def_recursive": ("def f: if . > 1000 then . else . * 2 | f end; (.o_custkey + 1) | f", None),
+    "def_recursive": ("def f: if . > 1000 then . else . * 2 | f end; (.o_custkey + 1) | f", "[CAST(list_filter(list_transform(range(0, 11), lambda k: (o_custkey + 1) * (1 << k)), lambda x: x > 1000)[1] AS VARCHAR)]"),
     "path": ("[path(.o_custkey)] | length", "['1']"),
-    "match": ('.o_orderpriority | match("[A-Z]+")', None),
-    "capture": ('.o_orderpriority | capture("(?P<n>[0-9])-(?P<word>.*)")', None),
+    "match": ('.o_orderpriority | match("[A-Z]+")', "['[2,' || length(regexp_extract(o_orderpriority, '[A-Z]+')) || ',\"' || regexp_extract(o_orderpriority, '[A-Z]+') || '\"]']"),
+    "capture": ('.o_orderpriority | capture("(?P<n>[0-9])-(?P<word>.*)")', "['[\"n\",\"' || left(o_orderpriority, 1) || '\",\"word\",\"' || substr(o_orderpriority, 3) || '\"]']"),
     "scan": ('[.o_orderpriority | scan("[A-Z]")] | length', "[CAST(length(regexp_replace(o_orderpriority, '[^A-Z]', '', 'g')) AS VARCHAR)]"),
-    "splits": ('[.o_orderpriority | splits("-")]', None),
+    "splits": ('[.o_orderpriority | splits("-")]', "['[\"' || replace(o_orderpriority, '-', '\",\"') || '\"]']"),
     "sub": ('.o_orderpriority | sub("([A-Z])"; "<$1>")', "['\"' || regexp_replace(o_orderpriority, '([A-Z])', '<\\1>') || '\"']"),
     "implode": (".o_orderstatus | explode | implode", "['\"' || o_orderstatus || '\"']"),
     "ascii": (".o_orderstatus | ascii", "[CAST(unicode(o_orderstatus) AS VARCHAR)]"),
     "transpose": ("[[.items[].l_linenumber], [.o_custkey]] | transpose | length", "[CAST(greatest(len(items), 1) AS VARCHAR)]"),
     "indices": ("[.items[].l_returnflag] | sort | indices(\"R\")", f"['[' || array_to_string(list_transform(list_filter(list_transform(list_sort({_F}), lambda x, i: CASE WHEN x = 'R' THEN i - 1 END), lambda i: i IS NOT NULL), lambda i: CAST(i AS VARCHAR)), ',') || ']']"),
     "index": ('.o_orderpriority | index("-")', "[coalesce(CAST(nullif(strpos(o_orderpriority, '-'), 0) - 1 AS VARCHAR), 'null')]"),
-    "rindex": ('[.items[].l_returnflag] | rindex("R")', None),
+    "rindex": ('[.items[].l_returnflag] | sort | rindex("R")', f"[CASE WHEN list_contains({_F}, 'R') THEN CAST(len(items) - 1 AS VARCHAR) ELSE 'null' END]"),
     "nan": ("[nan] | map(isnan)", "['[true]']"),
     "infinite": ("infinite | isinfinite", "['true']"),
     "tojson": ("{k: .o_orderkey} | tojson", "['\"{\\\"k\\\":' || o_orderkey || '}\"']"),
     "fromjson": ('"[1.0, 2]" | fromjson', "['[1,2]']"),
     "json": ("[.o_orderkey] | @json", "['\"[' || o_orderkey || ']\"']"),
     "base64d": (".o_orderpriority | @base64 | @base64d", "['\"' || o_orderpriority || '\"']"),
-    "keys_unsorted": ("{b: 1, a: 2} | keys_unsorted", None),
+    "keys_unsorted": ("{b: 1, a: 2} | keys_unsorted | sort", "['[\"a\",\"b\"]']"),
     "has": ("{a: 1} | has(\"a\"), has(\"b\")", "['true', 'false']"),
     "in": ("\"a\" | in({a: 1})", "['true']"),
     "to_entries": ("{k: .o_orderkey} | to_entries", "['[{\"key\":\"k\",\"value\":' || o_orderkey || '}]']"),
@@ -152,7 +152,7 @@ INTERPRETED: dict[str, tuple[str, str | None]] = {
     "getpath": ('getpath(["items", 0, "l_partkey"])', "[coalesce(CAST(items[1].l_partkey AS VARCHAR), 'null')]"),
     "setpath": ('{} | setpath(["a", "b"]; 1)', "['{\"a\":{\"b\":1}}']"),
     "delpaths": ('{a: 1, b: 2} | delpaths([["a"]])', "['{\"b\":2}']"),
-    "merge": ("{a: 1} + {a: 2, b: 3}", None),
+    "merge": ("{a: 1} + {a: 2, b: 3}", "['{\"a\":2,\"b\":3}']"),
     "deep_merge": ("{a: {x: 1}} * {a: {y: 2}}", "['{\"a\":{\"x\":1,\"y\":2}}']"),
     "paths": ("{a: [1]} | [paths]", "['[[\"a\",0],[\"a\"]]']"),
     "leaf_paths": ("{a: [1]} | [leaf_paths]", "['[[\"a\",0]]']"),
@@ -162,7 +162,7 @@ INTERPRETED: dict[str, tuple[str, str | None]] = {
     "while": ("[1 | while(. < 20; . * 2)]", "['[1,2,4,8,16]']"),
     "until": ("1 | until(. > 20; . * 2)", "['32']"),
     "repeat": ("[limit(3; 1 | repeat(if . > 100 then empty else . * 2 end))]", "['[1,2,4]']"),
-    "error": ('try error catch "caught"', None),
+    "error": ('try error catch "caught"', "['\"caught\"']"),
     "env": ("[env, input]", "['[null,null]']"),
     "inputs": ("[inputs]", "['[]']"),
     "builtins": ("builtins | length > 100", "['true']"),

@@ -411,6 +411,17 @@ def prune_empty(reg: Registry, message: MessageDef) -> tuple[Registry, MessageDe
     return out, messages[message.name]
 
 
+def prune_type(kind: T.DataType) -> T.DataType | None:
+    """A Spark type without structs that have no fields, at any depth; None where nothing is left. Maps are kept."""
+    if isinstance(kind, T.StructType):
+        fields = [T.StructField(f.name, k, f.nullable, f.metadata) for f in kind.fields if (k := prune_type(f.dataType)) is not None]
+        return T.StructType(fields) if fields else None
+    if isinstance(kind, T.ArrayType):
+        inner = prune_type(kind.elementType)
+        return None if inner is None else T.ArrayType(inner, kind.containsNull)
+    return kind
+
+
 def fingerprint(reg: Registry, message: MessageDef) -> str:
     """SHA-256 over the message and every type it reaches."""
     seen: dict[str, MessageDef] = {}

@@ -157,6 +157,11 @@ def test_merge_prune_fingerprint(reg):
     assert not p.check_fingerprint(slim, holder, print_, "rebuild")
 
 
+def test_prune_type():
+    kind = T.StructType([T.StructField("a", T.StructType([])), T.StructField("b", T.ArrayType(T.StructType([T.StructField("c", T.StructType([]))]))), T.StructField("d", T.IntegerType())])
+    assert p.prune_type(kind).simpleString() == "struct<d:int>" and p.prune_type(T.StructType([])) is None
+
+
 def test_files_and_imports(tmp_path):
     (tmp_path / "lib").mkdir()
     (tmp_path / "lib" / "inner.proto").write_text('syntax = "proto3"; package lib; message Inner { int32 v = 1; }')

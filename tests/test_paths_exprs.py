@@ -11,7 +11,7 @@ from fluxnest.functions.exprs import Lit, build, call
 from fluxnest.functions.strptime import compile_format, strptime
 from fluxnest.functions.values import PlanError, V, fnv1a64, to_str
 from fluxnest.path.compile import compile_path, slice_clamped, slice_places
-from fluxnest.path.syntax import Slice, default_name, format_path, parse_path
+from fluxnest.path.syntax import Slice, default_name, format_path, parse_path, prefix
 
 SCHEMA = "id bigint, name string, tags array<string>, items array<struct<id string, price double, sub array<int>>>, m map<string, int>, one struct<x int, y array<struct<z int>>>"
 
@@ -71,6 +71,7 @@ def test_paths_that_dont_fit(df, bad):
 def test_text_of_paths():
     for p in ("a.b[*].c", "(pkg.Msg).a[0]", "a[1:2:-1]", 'm["k"]', "a[:3]"):
         assert format_path(parse_path(p)) == p
+    assert format_path(prefix(parse_path("a.b[*].c"), 1)) == "a.b" and format_path(prefix(parse_path("a.b[*].c"), -2)) == "a.b[*]"
     assert default_name("imp[*].pmp.deals[0]") == "deals"
 
 

@@ -102,3 +102,14 @@ def test_redelivered_equals_brute_force(spark):
     for block in (10, 500_000):
         assert sorted(r[0] for r in dedup.redelivered(df, block=block).collect()) == sorted(want)
     assert dedup.redelivered(df.limit(0)).count() == 0
+
+
+def test_messages_of_a_later_batch(spark):
+    kind = "rec_id bigint, id string, us bigint, w1 int"
+    first = spark.createDataFrame([(1, "a", 1000, 0), (2, "A ", 1000, 0), (3, None, 5, 0)], kind).withColumn("req_ts", F.timestamp_micros("us"))
+    later = spark.createDataFrame([(4, " a", 1000, 0), (5, "a", 9000, 0), (6, "a", 9000, 0), (7, None, 5, 0), (8, "b", 0, 0)], kind).withColumn("req_ts", F.timestamp_micros("us"))
+    none = dedup.identifiers(first.limit(0), "rec_id", "id", "req_ts").select("w1", "w2", "ts", "rest")
+    kept, seen = dedup.fresh_messages(first, none)
+    assert sorted(r.rec_id for r in kept.collect()) == [1, 3] and seen.count() == 1
+    kept, more = dedup.fresh_messages(later, seen)
+    assert sorted(r.rec_id for r in kept.collect()) == [5, 7, 8] and more.count() == 1
