@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import strptime as times
-from .values import BOOL, DOUBLE, LONG, STRING, PlanError, V, any_of, common, compare, float_view, fnv1a64, int_view, literal, null, to_str, truthy
+from .values import BOOL, DOUBLE, LONG, STRING, PlanError, V, common, compare, float_view, fnv1a64, int_view, literal, null, to_str, truthy
 
 
 @dataclass(frozen=True)
@@ -409,6 +409,3 @@ def aggregate_array(func: str, array: Column, element: T.DataType, params: dict[
     if func == "distinct":
         return V(F.coalesce(F.size(F.array_distinct(texts)), F.lit(0)).cast("bigint"), LONG)
     return V(F.coalesce(F.array_join(texts, params.get("sep") or ""), F.lit("")), STRING)
-
-
-__all__ = ["AGGREGATES", "FUNCTIONS", "Call", "Expr", "Lit", "PathRef", "aggregate_array", "any_of", "build", "call", "leaves"]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,14 +162,6 @@ def compare(a: V, b: V, op: str) -> Column:
     return F.coalesce(out, false)
 
 
-def all_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, cols)
-
-
-def any_of(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, cols)
-
-
 def fnv1a64(text: Column) -> Column:
     """FNV-1a over the UTF-8 bytes as a signed bigint: a fold over bytes with the product split into 32-bit limbs."""
     data = F.hex(F.encode(text, "UTF-8"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import BOOL, STRING, PlanError, V, compare, literal, truthy
+from ..functions.values import BOOL, PlanError, V, compare, literal, truthy
 from .syntax import Field, Index, Key, Path, Slice, Step, Where, Wildcard
 
 
@@ -130,7 +130,7 @@ def step_many(v: V, step: Step) -> tuple[Column, T.DataType]:
 def compile_steps(start: V, steps: tuple[Step, ...]) -> Branches:
     """Branches reached from a value."""
     value, single, clamped = start, True, None
-    for n, step in enumerate(steps):
+    for step in steps:
         if isinstance(step, Field):
             if single:
                 value = field_of(value, step.name)
@@ -154,7 +154,6 @@ def compile_steps(start: V, steps: tuple[Step, ...]) -> Branches:
                 empty = F.array().cast(T.ArrayType(kind))
                 value = V(F.flatten(F.transform(value.col, lambda x: F.coalesce(step_many(V(x, element), step)[0], empty))), T.ArrayType(kind))
         single = False
-        del n
     return Branches(value, single, clamped)
 
 
@@ -207,6 +206,3 @@ def path_value(branches: Branches, strict: bool = False) -> Column:
     if strict and branches.clamped is not None:
         return F.when(branches.clamped, F.raise_error(F.lit("range or index was clamped")).cast(branches.value.kind)).otherwise(branches.value.col)
     return branches.value.col
-
-
-__all__ = ["BOOL", "STRING", "Branches", "compile_path", "compile_steps", "field_of", "is_scalar", "list_indices", "path_value", "slice_places"]

@@ -8,7 +8,6 @@ interprets them instead.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 

@@ -85,6 +85,3 @@ def as_json(col: Column, kind: T.DataType) -> Column:
         return F.transform(col, lambda x: F.to_json(x, {"ignoreNullFields": "false"}))
     wrapped = lambda x: F.to_json(F.struct(x.alias("x")), {"ignoreNullFields": "false"})
     return F.transform(col, lambda x: F.regexp_extract(wrapped(x), r'(?s)^\{"x":(.*)\}$', 1))
-
-
-__all__ = ["PlanError", "Untyped", "V", "as_json", "compile_pipeline", "interpret", "outputs", "pipeline"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..schema.proto import FieldDef, MessageDef, Registry, SchemaError, struct_type
+from ..schema.proto import MessageDef, Registry, SchemaError, struct_type
 from . import columnar
 from .arrays import to_values
 from .codec import Codec, WireError
@@ -144,6 +144,3 @@ def read_framed(spark: SparkSession, path: str) -> DataFrame:
 def frame(blobs: Iterable[bytes]) -> bytes:
     """The framed form of messages."""
     return b"".join(struct.pack("<I", len(b)) + b for b in blobs)
-
-
-__all__ = ["FieldDef", "RecordType", "WireError", "decode_merged", "frame", "read_framed", "retag"]
