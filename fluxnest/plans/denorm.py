@@ -164,10 +164,13 @@ class DenormPlan:
         out: dict[str, Column] = {}
         held: dict[tuple, str] = {}
         extra: dict[str, Column] = {}
+        tag = "__"
+        while any(c.startswith(tag) for c in df.columns):
+            tag += "_"
 
         def aggregate(e: exprs.Call) -> V:
             v = self._aggregate(e)
-            name = f"__agg{len(extra)}"
+            name = f"{tag}agg{len(extra)}"
             extra[name] = v.col
             return V(F.col(name), v.kind)
 
@@ -176,7 +179,7 @@ class DenormPlan:
             first = cols[0]
             base = self._shared_base(cols) if sig else None
             if base is not None:
-                pos, item = f"__pos{g}", f"__item{g}"
+                pos, item = f"{tag}pos{g}", f"{tag}item{g}"
                 parent = max((p for p in held if self.correlated and base[: len(p)] == p), key=len, default=None)
                 if parent:
                     start = V(F.col(held[parent]), compile_path(self.schema, Path(parent), self.record).element)
@@ -221,9 +224,9 @@ class DenormPlan:
                     arrays.append(_strict(b, c.strict) if not b.single else b.array)
                 else:
                     arrays.append(self._expr_array(c.expr)[0])
-            names = [f"__c{g}_{i}" for i in range(len(cols))]
+            names = [f"{tag}c{g}_{i}" for i in range(len(cols))]
             extra.update(zip(names, arrays))
-            item = f"__item{g}"
+            item = f"{tag}item{g}"
             size = F.size(F.col(names[0]))
             zipped = F.transform(_upto(size), _zipper(names))
             steps.append((item, F.explode_outer(zipped)))

@@ -12,8 +12,8 @@ from fluxnest.pipeline.syntax import BUILTINS, parse
 from fluxnest.plans.config import parse_config, skeleton
 from fluxnest.plans.denorm import Col, DenormPlan, denorm, query
 
-SCHEMA = "name string, items array<struct<id string, price double>>, tags array<string>, seq bigint, __pos0 int"
-ROWS = [("two", [("a", 1.0), ("b", 2.0)], ["x", "y", "z"], 1, 0), ("none", [], ["x"], 2, 0), ("bare", None, None, 3, 0)]
+SCHEMA = "name string, items array<struct<id string, price double>>, tags array<string>, seq bigint, __pos1 int, __item0 int"
+ROWS = [("two", [("a", 1.0), ("b", 2.0)], ["x", "y", "z"], 1, 0, 0), ("none", [], ["x"], 2, 0, 0), ("bare", None, None, 3, 0, 0)]
 
 
 @pytest.fixture(scope="module")
@@ -89,7 +89,7 @@ def test_config(df):
     c = parse_config(YAML)
     assert [tuple(r) for r in c.plan(df.schema).apply(df).collect()][:2] == [("two", "a", "cheap"), ("two", "b", "dear")]
     again = parse_config(skeleton(df.schema, "o.proto", "Order"))
-    assert [x.path for x in again.columns] == ["name", "items[*].id", "items[*].price", "tags[*]", "seq", "__pos0"]
+    assert [x.path for x in again.columns] == ["name", "items[*].id", "items[*].price", "tags[*]", "seq", "__pos1", "__item0"]
 
 
 @pytest.mark.parametrize(
