@@ -67,3 +67,25 @@ def test_option_errors(folder):
     t = Transcoder.from_proto_file(str(folder / "shop.proto"), "Order")
     with pytest.raises(p.SchemaError):
         t.denorm(None)
+
+
+def test_command_line(spark, folder, tmp_path, monkeypatch, capsys):
+    import io
+
+    from fluxnest.__main__ import main
+    from fluxnest.wire.frames import frame
+
+    assert main(["skeleton", str(folder / "shop.proto"), "Order"]) == 0
+    assert "items[*].price" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"a": [1, 2]}\n\n{"a": []}\n'))
+    assert main(["run", ".a | add"]) == 0
+    assert capsys.readouterr().out == "3\nnull\n"
+    monkeypatch.setattr("sys.stdin", io.StringIO("1\n"))
+    assert main(["run", ".[]"]) == 1
+    (folder / "flat.yaml").write_text('proto: {file: shop.proto, message: Order}\ndenormalizer: {columns: [{name: name, path: name}, {name: id, path: "items[*].id"}]}')
+    reg = p.compile_proto(str(folder / "shop.proto"))
+    blob = frame([Codec(reg, reg.lookup("Order")).encode({"name": "o", "items": [{"id": "a"}]})])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.bin").write_bytes(blob)
+    assert main(["denorm", str(folder / "flat.yaml"), str(tmp_path / "in"), "--output", str(tmp_path / "out")]) == 0
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("o", "a")]
