@@ -106,6 +106,22 @@ ORACLES = {
 SELECT field, "by", day, country, site_id, CAST(round(CASE WHEN n < {kmv.K} THEN n ELSE e END) AS BIGINT) AS n_distinct,
   CAST(round(CASE WHEN n < {kmv.K} THEN n ELSE e * (1 - rel) END) AS BIGINT) AS low, CAST(round(CASE WHEN n < {kmv.K} THEN n ELSE e * (1 + rel) END) AS BIGINT) AS high FROM v
 """,
+    # Exact counts: the estimates are exact while a union has fewer than k members, as at the scale SQL is run at.
+    "p5_country_overlap": _LOG
+    + """, g AS (
+  SELECT DISTINCT day, country, h FROM h WHERE field = 'ifa' AND h IS NOT NULL AND day IS NOT NULL AND country IS NOT NULL
+), later AS (
+  SELECT strftime(CAST(day AS DATE) - 1, '%Y-%m-%d') AS day, country, h FROM g
+), n AS (
+  SELECT day, country, count(*) AS a FROM g GROUP BY ALL
+), m AS (
+  SELECT day, country, count(*) AS b FROM later GROUP BY ALL
+), i AS (
+  SELECT day, country, count(*) AS c FROM g JOIN later USING (day, country, h) GROUP BY ALL
+), t AS (
+  SELECT day, country, a + b - coalesce(c, 0) AS u, coalesce(c, 0) AS c, a - coalesce(c, 0) AS d FROM n JOIN m USING (day, country) LEFT JOIN i USING (day, country)
+)
+SELECT day, country, u AS union_n, u AS union_low, u AS union_high, c AS intersection_n, c AS intersection_low, c AS intersection_high, d AS difference_n, d AS difference_low, d AS difference_high FROM t""",
     "p7_found": _FREQUENT.format(n=""),
     "p7_counts": _FREQUENT.format(n=", n"),
 }
