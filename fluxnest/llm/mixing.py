@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, materialise
 
-#: Least tokens a block, and most blocks a mix: blocks grow with the total, so the schedule has bounded size.
-MIN_BLOCK, MAX_BLOCKS = 4096, 50_000
+#: Least tokens a block, and most blocks a mix: blocks grow with the total, so the schedule that is broadcast has bounded size.
+MIN_BLOCK, MAX_BLOCKS = 256, 4096
 #: Documents a hash bucket, about; one task sorts a bucket.
 BUCKET = 200_000
 
