@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small
+from ..runtime import broadcast_if_small, materialise
 
 EARTH_M = 6_371_008.8
 
@@ -84,9 +84,9 @@ def near_pairs(points: DataFrame, radius_m: float, factor: float = 2.0) -> DataF
     """
     grid = Grid(radius_m, factor)
     points = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).filter(F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    points = points.withColumn("lat", F.col("lat") + F.lit(0.0)).withColumn("lon", F.when(F.col("lon") == 180, -180.0).otherwise(F.col("lon") + F.lit(0.0)))
-    spots = points.groupBy("lat", "lon").agg(F.min("id").alias("spot"), F.count_distinct("id").alias("n"))
-    home = spots.withColumn("band", grid.band(F.col("lat"))).withColumn("cell", grid.cell(F.col("lon"), grid.cells(F.col("band"))))
+    points = points.withColumn("lat", F.col("lat") + F.lit(0.0)).withColumn("lon", F.when(F.col("lon") == 180, -180.0).otherwise(F.col("lon") + F.lit(0.0))).distinct()
+    spots = materialise(points.groupBy("lat", "lon").agg(F.min("id").alias("spot"), F.count(F.lit(1)).alias("n")), "spots")
+    home = spots.select("spot", "lat", "lon").withColumn("band", grid.band(F.col("lat"))).withColumn("cell", grid.cell(F.col("lon"), grid.cells(F.col("band"))))
     probe = spots.select(F.col("spot").alias("p_spot"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.explode(grid.touched(F.col("lat"), F.col("lon"))).alias("at"))
     probe = probe.select("p_spot", "p_lat", "p_lon", "at.band", "at.cell")
     above = (F.col("lat") > F.col("p_lat")) | ((F.col("lat") == F.col("p_lat")) & (F.col("spot") > F.col("p_spot")))
@@ -95,10 +95,13 @@ def near_pairs(points: DataFrame, radius_m: float, factor: float = 2.0) -> DataF
         .filter(above & (great_circle(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) <= radius_m))
         .select(F.col("p_spot").alias("s1"), F.col("spot").alias("s2"))
     )
-    near = near.unionByName(spots.filter("n > 1").select(F.col("spot").alias("s1"), F.col("spot").alias("s2")))
-    members = points.join(spots.withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"}), (F.col("lat") == F.col("s_lat")) & (F.col("lon") == F.col("s_lon"))).select("spot", "id").distinct()
-    left = near.join(members.select(F.col("spot").alias("s1"), F.col("id").alias("i")), "s1")
-    both = left.join(members.select(F.col("spot").alias("s2"), F.col("id").alias("j")), "s2")
+    crowded = spots.filter("n > 1").select("spot", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    near = near.unionByName(crowded.select(F.col("spot").alias("s1"), F.col("spot").alias("s2")))
+    # Only spots of several points have members to look up; any other spot is its point.
+    members = points.join(crowded, (F.col("lat") == F.col("s_lat")) & (F.col("lon") == F.col("s_lon"))).select("spot", "id")
+    left = near.join(members.select(F.col("spot").alias("s1"), F.col("id").alias("i")), "s1", "left")
+    both = left.join(members.select(F.col("spot").alias("s2"), F.col("id").alias("j")), "s2", "left")
+    both = both.select("s1", "s2", F.coalesce("i", "s1").alias("i"), F.coalesce("j", "s2").alias("j"))
     kept = both.filter((F.col("s1") != F.col("s2")) | (F.col("i") < F.col("j")))
     return kept.select(F.least("i", "j").alias("a_id"), F.greatest("i", "j").alias("b_id")).filter("a_id < b_id")
 
