@@ -100,14 +100,14 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_imp_table, p1_deal_
 
 _SESSIONS = """
 WITH e AS (
-  SELECT lower(regexp_replace(ifa, '[[:punct:]]', '', 'g')) AS ifa, epoch_us(req_ts) AS us FROM request_log
+  SELECT rec_id, lower(regexp_replace(ifa, '[[:punct:]]', '', 'g')) AS ifa, epoch_us(req_ts) AS us FROM request_log
 ), c AS (
-  SELECT ifa, CAST(floor(us / 1000) AS BIGINT) AS ms FROM e
+  SELECT rec_id, ifa, CAST(floor(us / 1000) AS BIGINT) AS ms FROM e
   WHERE regexp_full_match(ifa, '[0-9a-f]{32}') AND ifa <> repeat('0', 32) AND us IS NOT NULL AND us <> 0
 ), g AS (
-  SELECT ifa, ms, CASE WHEN ms - lag(ms) OVER w <= 1800000 THEN 0 ELSE 1 END AS opens FROM c WINDOW w AS (PARTITION BY ifa ORDER BY ms)
+  SELECT rec_id, ifa, ms, CASE WHEN ms - lag(ms) OVER w <= 1800000 THEN 0 ELSE 1 END AS opens FROM c WINDOW w AS (PARTITION BY ifa ORDER BY ms, rec_id)
 ), s AS (
-  SELECT ifa, ms, sum(opens) OVER (PARTITION BY ifa ORDER BY ms ROWS UNBOUNDED PRECEDING) AS s FROM g
+  SELECT ifa, ms, sum(opens) OVER (PARTITION BY ifa ORDER BY ms, rec_id ROWS UNBOUNDED PRECEDING) AS s FROM g
 )
 """
 _COPIES = """
