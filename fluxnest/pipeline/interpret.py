@@ -24,6 +24,10 @@ class PipeError(Exception):
     """An error of a program; try and ? catch it."""
 
 
+class TooDeep(PipeError):
+    """A walk that doesn't end; an outer recurse doesn't take it for the end of a branch."""
+
+
 class _Break(Exception):
     def __init__(self, name: str, value):
         self.name, self.value = name, value
@@ -624,12 +628,21 @@ def _loop(name, args, v, s) -> list:
 
 
 def _recurse(args, v, s) -> list:
-    out, todo = [], [v]
-    while todo and len(out) < LOOPS:
-        x = todo.pop(0)
+    """Every value, parents first. A record ends by itself; recurse(f) is an error once a chain has more than LOOPS values."""
+    out, todo = [], [iter((v,))]
+    while todo:
+        try:
+            x = next(todo[-1])
+        except StopIteration:
+            todo.pop()
+            continue
+        if args and len(todo) > LOOPS:
+            raise TooDeep(f"recurse: a chain of more than {LOOPS} values")
         out.append(x)
         try:
-            todo = [*(run(args[0], x, s) if args else _iterate(x)), *todo]
+            todo.append(iter(run(args[0], x, s) if args else _iterate(x)))
+        except TooDeep:
+            raise
         except PipeError:
             pass
     return out

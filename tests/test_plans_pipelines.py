@@ -184,6 +184,20 @@ def test_interpreter(program, value, want):
         assert execute(parse(program), value) == want
 
 
+@pytest.mark.parametrize("program", ["recurse", "recurse(.[]?)"])
+def test_recurse_walks_whole_records(program):
+    value = {"items": [{"n": i, "tags": [str(i)]} for i in range(30_000)]}
+    got = execute(parse(program), value)
+    assert len(got) == 2 + 30_000 * 4
+    assert [x for x in got if isinstance(x, int)] == list(range(30_000)) and got[-1] == "29999"
+
+
+@pytest.mark.parametrize("program", ["recurse(. + 1)", "recurse(.)", "recurse(recurse(. + 1))"])
+def test_endless_recurse_is_an_error(program):
+    with pytest.raises(PipeError):
+        execute(parse(program), 1)
+
+
 def test_every_builtin_is_there():
     for name, counts in BUILTINS.items():
         for n in counts:
