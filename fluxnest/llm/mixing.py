@@ -1,10 +1,14 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents, in a seeded random order and repeated at most max_repeats times, are a stream of
-tokens that is cut into equal blocks. Block j of a source of share w is released at slot floor(j / w) and
-due at slot ceil((j + 1) / w); earliest deadline first fills every slot, so at any time each source has less
-than one block more or less than its share. Running totals that place documents in their stream are
-two-level: totals of hash buckets first, then sums inside a bucket, so no source is one task.
+tokens that is cut into blocks of the same number of tokens at every size. Block j of a source of share w is
+released at slot floor(j / w) and due at slot ceil((j + 1) / w); earliest deadline first fills every slot, so at
+any time each source has less than one block more or less than its share. Running totals that place documents in
+their stream are two-level: totals of hash buckets first, then sums inside a bucket, so no source is one task.
+
+Shares are fractions n / period, so after period slots each source has exactly its n blocks and the schedule starts
+again: one period and the rest after the last whole one give every slot by arithmetic. Periods above PERIOD aren't
+used; then one task a mix writes the whole schedule.
 
 Shares are weights over the sum of the weights of the sources that have tokens; sources that are absent, empty
 or of weight zero get nothing and are reported with their target. The total is the largest for which no source needs
@@ -14,61 +18,106 @@ more than max_repeats of any document.
 from __future__ import annotations
 
 import heapq
+import json
 import math
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, materialise
 
-#: Least tokens a block, and most blocks a mix: blocks grow with the total, so the schedule that is broadcast has bounded size.
-MIN_BLOCK, MAX_BLOCKS = 256, 4096
+#: Tokens a block.
+BLOCK = 256
+#: Longest period that is repeated: a table of at most twice as many rows a mix, whatever the input's size.
+PERIOD = 20_000
 #: Documents a hash bucket, about; one task sorts a bucket.
 BUCKET = 200_000
 
 
-def schedule(weights: dict[str, float], blocks: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block, slot) by earliest deadline first among released blocks.
+def whole_parts(weights: dict[str, Fraction]) -> dict[str, int]:
+    """The smallest whole numbers in proportion to the weights; their sum is the period."""
+    common = math.lcm(*(w.denominator for w in weights.values()))
+    parts = {s: int(w * common) for s, w in weights.items()}
+    divisor = math.gcd(*parts.values())
+    return {s: n // divisor for s, n in parts.items()}
+
+
+def earliest_deadline_first(parts: dict[str, int], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) by earliest deadline first among released blocks; a source's share is its part of all parts.
 
     A slot with no released block (sources that run out early leave some) is skipped over.
     """
-    waiting = [(0, s, 0) for s in sorted(weights) if blocks.get(s, 0) > 0]
+    period = sum(parts.values())
+    waiting = [(0, s, 0) for s in sorted(parts) if blocks.get(s, 0) > 0]
     ready: list[tuple[int, str, int]] = []
     heapq.heapify(waiting)
-    out, time, slot = [], 0, 0
+    time, slot = 0, 0
     while waiting or ready:
         if not ready and waiting and waiting[0][0] > time:
             time = waiting[0][0]
         while waiting and waiting[0][0] <= time:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (math.ceil((j + 1) / weights[s] - 1e-9), s, j))
+            heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), s, j))
         _, s, j = heapq.heappop(ready)
-        out.append((s, j, slot))
+        yield s, j, slot
         if j + 1 < blocks[s]:
-            heapq.heappush(waiting, (max(time + 1, math.floor((j + 1) / weights[s] + 1e-9)), s, j + 1))
+            heapq.heappush(waiting, (max(time + 1, (j + 1) * period // parts[s]), s, j + 1))
         time += 1
         slot += 1
-    return out
 
 
-def plan(targets: list[dict], totals: dict[str, int], min_block: int = MIN_BLOCK, max_blocks: int = MAX_BLOCKS) -> list[dict]:
-    """Share, quota and block size of every (mix, source) that can supply; targets are rows of mix_targets."""
+def schedule(weights: dict[str, float], blocks: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block, slot) of all blocks."""
+    return list(earliest_deadline_first(whole_parts({s: Fraction(str(w)) for s, w in weights.items()}), blocks))
+
+
+def slot_table(spark: SparkSession, mixes: dict[int, tuple[dict[str, int], dict[str, int], bool]]) -> DataFrame:
+    """(mix_id, source, rest, k, slot): block k of a period (rest 0) or after the last whole period (rest 1); one task a mix.
+
+    mixes: the parts of each mix, its blocks after the last whole period and whether it has whole periods.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for m, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                parts, left, repeated = json.loads(text)
+                for rest, blocks in ((0, parts if repeated else {}), (1, left)):
+                    rows = earliest_deadline_first(parts, blocks)
+                    while some := list(islice(rows, 50_000)):
+                        names, ks, slots = zip(*some)
+                        n = len(some)
+                        yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.int64()), pa.array(names), pa.array([rest] * n, pa.int32()), pa.array(ks, pa.int64()), pa.array(slots, pa.int64())], names=["mix_id", "source", "rest", "k", "slot"])
+
+    rows = [(m, json.dumps(x)) for m, x in mixes.items()]
+    specs = spark.createDataFrame(rows, "mix_id bigint, spec string").repartition(len(rows), "mix_id")
+    return materialise(specs.mapInArrow(run, "mix_id bigint, source string, rest int, k bigint, slot bigint"), "slots")
+
+
+def plan(targets: list[dict], totals: dict[str, int], min_block: int = BLOCK, period: int = PERIOD) -> list[dict]:
+    """Share, quota, block size, part of the period and whole periods of every (mix, source) that can supply; targets are rows of mix_targets."""
     out = []
     for mix in sorted({t["mix_id"] for t in targets if t["mix_id"] is not None}):
         merged: dict[str, dict] = {}
         for t in targets:
             if t["mix_id"] == mix and t["source"] is not None and (t["target_weight"] or 0) > 0 and (t["max_repeats"] or 0) > 0 and totals.get(t["source"], 0) > 0:
-                m = merged.setdefault(t["source"], {"weight": 0.0, "max_repeats": 0})
+                m = merged.setdefault(t["source"], {"weight": 0.0, "exact": Fraction(0), "max_repeats": 0})
                 m["weight"] += t["target_weight"]
+                m["exact"] += Fraction(str(t["target_weight"]))
                 m["max_repeats"] = max(m["max_repeats"], t["max_repeats"])
         if not merged:
             continue
         weight = sum(m["weight"] for m in merged.values())
         size = math.floor(min(totals[s] * m["max_repeats"] / (m["weight"] / weight) for s, m in merged.items()) + 1e-6)
-        block = max(min_block, math.ceil(size / max_blocks))
+        quotas = {s: int(round(size * (m["weight"] / weight))) for s, m in merged.items()}
+        parts = whole_parts({s: m["exact"] for s, m in merged.items()})
+        length = sum(parts.values())
+        periods = min(-(-quotas[s] // min_block) // n for s, n in parts.items()) if length <= period else 0
         for s, m in merged.items():
-            share = m["weight"] / weight
-            out.append({"mix_id": mix, "source": s, "share": share, "quota": int(round(size * share)), "block": block, "max_repeats": int(m["max_repeats"]), "available": totals[s]})
+            out.append({"mix_id": mix, "source": s, "share": m["weight"] / weight, "quota": quotas[s], "block": min_block, "part": parts[s], "period": length, "periods": periods, "max_repeats": int(m["max_repeats"]), "available": totals[s]})
     return out
 
 
@@ -83,7 +132,7 @@ def stream_places(sizes: DataFrame, seed: int, bucket: int = BUCKET) -> DataFram
     return keyed.withColumn("inner", inner).join(broadcast_if_small(offsets), ["source", "bucket"]).select("doc_id", "source", "n_tokens", (F.col("offset") + F.col("inner")).alias("start"))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = MIN_BLOCK, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """(mix_id, slot, offset, source, doc_id, repeat, n_tokens): the selection, ordered within a mix by slot and offset.
 
     sizes: (doc_id, source, n_tokens). Rows with a null source or no tokens are never selected. A document is taken
@@ -95,16 +144,17 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = MI
     sizes, targets = sizes.select("doc_id", "source", "n_tokens"), targets.select("mix_id", "source", "target_weight", "max_repeats")
     sizes = materialise(sizes.filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0)).join(F.broadcast(targets.select("source").distinct()) if targets.limit(10_001).count() <= 10_000 else targets.select("source").distinct(), "source", "left_semi"), "sizes")
     totals = {r["source"]: r["tokens"] for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}  # one row a listed source
-    shares = plan([r.asDict() for r in targets.collect()], totals, min_block, max_blocks)
+    shares = plan([r.asDict() for r in targets.collect()], totals, min_block, period)
     out = "mix_id bigint, slot bigint, offset bigint, source string, doc_id bigint, repeat bigint, n_tokens bigint"
     if not shares:
         return spark.createDataFrame([], out)
-    slots = []
+    mixes = {}
     for m in sorted({p["mix_id"] for p in shares}):
         own = [p for p in shares if p["mix_id"] == m]
-        slots += [(m, s, j, t) for s, j, t in schedule({p["source"]: p["share"] for p in own}, {p["source"]: -(-p["quota"] // p["block"]) for p in own})]
-    plan_df = spark.createDataFrame([(p["mix_id"], p["source"], p["quota"], p["block"], p["max_repeats"], p["available"]) for p in shares], "mix_id bigint, source string, quota bigint, block bigint, max_repeats bigint, available bigint")
-    slot_df = spark.createDataFrame(slots, "mix_id bigint, source string, j bigint, slot bigint")
+        mixes[m] = ({p["source"]: p["part"] for p in own}, {p["source"]: -(-p["quota"] // p["block"]) - p["periods"] * p["part"] for p in own}, own[0]["periods"] > 0)
+    # Parts of a period that isn't repeated may be of any size and aren't needed below.
+    plan_df = spark.createDataFrame([(p["mix_id"], p["source"], p["quota"], p["block"], p["max_repeats"], p["available"], p["periods"], *((p["part"], p["period"]) if p["periods"] else (1, 1))) for p in shares], "mix_id bigint, source string, quota bigint, block bigint, max_repeats bigint, available bigint, periods bigint, part bigint, period bigint")
+    slot_df = slot_table(spark, mixes).withColumnRenamed("slot", "slot_in")
     placed = stream_places(sizes, seed).join(F.broadcast(plan_df), "source")  # as many rows as targets
     # Copy r starts r rounds after the first; only copies whose first half fits the quota.
     room = F.floor((F.col("quota") - F.col("start") - F.col("n_tokens") / 2) / F.col("available")) + 1
@@ -112,7 +162,12 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = MI
     taken = placed.withColumn("copies", copies).filter("copies > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
     taken = taken.withColumn("at", F.col("start") + F.col("repeat") * F.col("available"))
     taken = taken.withColumn("j", F.least(F.floor(F.col("at") / F.col("block")), F.ceil(F.col("quota") / F.col("block")) - 1).cast("bigint"))
-    return taken.join(broadcast_if_small(slot_df, 500_000), ["mix_id", "source", "j"]).select("mix_id", "slot", (F.col("at") - F.col("j") * F.col("block")).alias("offset"), "source", "doc_id", "repeat", "n_tokens")
+    whole = F.col("periods") * F.col("part")
+    taken = taken.withColumn("rest", (F.col("j") >= whole).cast("int"))
+    taken = taken.withColumn("k", F.when(F.col("rest") == 0, F.col("j") % F.col("part")).otherwise(F.col("j") - whole))
+    before = F.when(F.col("rest") == 0, F.floor(F.col("j") / F.col("part"))).otherwise(F.col("periods")) * F.col("period")
+    out = taken.join(broadcast_if_small(slot_df), ["mix_id", "source", "rest", "k"])
+    return out.select("mix_id", (before + F.col("slot_in")).cast("bigint").alias("slot"), (F.col("at") - F.col("j") * F.col("block")).alias("offset"), "source", "doc_id", "repeat", "n_tokens")
 
 
 def report(selection: DataFrame, targets: DataFrame) -> DataFrame:

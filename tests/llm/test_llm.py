@@ -173,6 +173,23 @@ def test_mix_meets_its_shares(spark):
     assert mixing.mix(sizes, targets.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weights", [(6.0, 3.0, 1.0), (0.61803, 0.31416, 0.0678101)])
+def test_slots_are_of_blocks_of_one_size_at_every_size(spark, weights):
+    rows = [(i, s, 400 + i % 7 * 50) for i, s in zip(range(6000), "aaaaaabbbc" * 600)]
+    sizes = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint").coalesce(1)
+    targets = spark.createDataFrame([(1, s, w, 1) for s, w in zip("abc", weights)], "mix_id bigint, source string, target_weight double, max_repeats bigint").coalesce(1)
+    got = mixing.mix(sizes, targets).collect()
+    shares = mixing.plan([{"mix_id": 1, "source": s, "target_weight": w, "max_repeats": 1} for s, w in zip("abc", weights)], {s: sum(n for _, x, n in rows if x == s) for s in "abc"})
+    want = {(s, j): t for s, j, t in mixing.schedule(dict(zip("abc", weights)), {p["source"]: -(-p["quota"] // 256) for p in shares})}
+    assert len(want) > 9000 and (shares[0]["periods"] > 0) == (weights[0] == 6.0)
+    ends = Counter()
+    for s in "abc":
+        for r in sorted((r for r in got if r.source == s), key=lambda r: (r.slot, r.offset)):
+            j = min(ends[s] // 256, sum(x == s for x, _ in want) - 1)
+            assert (r.slot, r.offset) == (want[s, j], ends[s] - 256 * j)
+            ends[s] += r.n_tokens
+
+
 def test_buckets_of_a_large_source_cover_its_stream(spark):
     sizes = spark.createDataFrame([(i, "s", 1 + i % 5) for i in range(500)], "doc_id bigint, source string, n_tokens bigint")
     got = sorted((r.start, r.n_tokens) for r in mixing.stream_places(sizes, 1, bucket=40).collect())
