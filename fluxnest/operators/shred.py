@@ -96,7 +96,7 @@ def _step(value: Column, kind: T.DataType, path: str) -> tuple[Column, T.DataTyp
 
 
 def places(record: Column, kind: T.StructType, spec: RecordSpec, name: str, keep: bool = False) -> Column:
-    """array<struct<place array<int>, variant string[, obj struct]>> of the live objects of one entity."""
+    """array<struct<place array<bigint>, variant string[, obj struct]>> of the live objects of one entity."""
     chain = spec.chain(name)
 
     def walk(value: Column, kind: T.DataType, rest: list[Entity], place: list[Column]) -> Column:
@@ -110,7 +110,7 @@ def places(record: Column, kind: T.StructType, spec: RecordSpec, name: str, keep
     def walk_one(value: Column, kind: T.StructType, e: Entity, more: list[Entity], place: list[Column]) -> Column:
         if more:
             return walk(value, kind, more, place)
-        at = F.array(*place) if place else F.array().cast("array<int>")
+        at = F.array(*(p.cast("bigint") for p in place)) if place else F.array().cast("array<bigint>")
         cols = [at.alias("place"), state(value, kind, e).alias("variant"), *([value.alias("obj")] if keep else [])]
         return F.array(F.struct(*cols))
 
@@ -201,7 +201,7 @@ def _elements(value) -> list[tuple[int, object]]:
         return list(enumerate(value))
     if isinstance(value, dict):
         if value and all(k.isascii() and k.isdigit() for k in value):
-            return sorted((int(k), x) for k, x in value.items() if int(k) < 2**31)
+            return sorted(((int(k), x) for k, x in value.items() if len(k.lstrip("0")) < 20 and int(k) < 2**63), key=lambda e: e[0])
         return [(0, value)]
     return []
 
@@ -295,11 +295,11 @@ def shred_json(df: DataFrame, payload: str, spec: RecordSpec, key: str, objects:
                     at.append(place)
                     texts.append(json.dumps(_coerce(obj, names[name])) if name in names else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.types[0]), pa.array(ents, pa.string()), pa.array(variants, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(texts, pa.string())],
+                [pa.array(keys, batch.schema.types[0]), pa.array(ents, pa.string()), pa.array(variants, pa.string()), pa.array(at, pa.list_(pa.int64())), pa.array(texts, pa.string())],
                 names=[key, "entity", "variant", "place", "obj_json"],
             )
 
-    schema = T.StructType([df.select(key).schema[0], *T.StructType.fromDDL("entity string, variant string, place array<int>, obj_json string").fields])
+    schema = T.StructType([df.select(key).schema[0], *T.StructType.fromDDL("entity string, variant string, place array<bigint>, obj_json string").fields])
     return df.select(key, payload).mapInArrow(run, schema)
 
 

@@ -83,6 +83,13 @@ def test_tables_keep_fields_and_clashing_columns(spark):
     assert sorted((r.place, r.obj.id) for r in raw.collect()) == [([0, 0], "d"), ([0, 3], None)]
 
 
+def test_large_keys_give_places(spark):
+    big = 2**31
+    payload = json.dumps({"imp": {"0": {"id": "a"}, str(big): {"id": "b", "pmp": {"deals": {str(2**63 - 1): {"id": "d"}, "9" * 5000: {"id": "e"}}}}}})
+    rows = shred.shred_json(spark.createDataFrame([(1, payload)], "rec_id bigint, payload string"), "payload", BID_REQUEST, "rec_id").collect()
+    assert {(r.entity, tuple(r.place)) for r in rows} == {("imp", (0,)), ("imp", (big,)), ("deal", (big, 2**63 - 1))}
+
+
 def test_empty_table(spark):
     from tests.conftest import SMALL
 
