@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 TOKENIZERS = "/opt/tokenizers"
 #: Characters a leaf of the tree.
-LEAF = 1 << 16
+LEAF = 1 << 10
 #: The splitting pattern of the vocabulary, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -100,8 +100,8 @@ def encode_tree(text: str, encode: Callable[[str], list[int]], leaf_chars: int =
         middle = (a + b) // 2
         return join(reduce(a, middle), reduce(middle, b), encode)
 
-    if len(text) <= leaf_chars:
-        return encode(text) if text else []
+    if not text:
+        return []
     p = reduce(0, len(text))
     parts = [encode(p.head), *(p.mid or []), encode(p.tail) if p.tail else []]
     return [i for part in parts for i in part]

@@ -119,6 +119,17 @@ def test_encode_ids(spark, encode):
     assert tokenise.encode_ids(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_texts_of_the_tables_are_encoded_by_the_tree(spark, encode, monkeypatch):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    joined, join = [], tokenise.join
+    monkeypatch.setattr(tokenise, "join", lambda x, y, e: joined.append(1) or join(x, y, e))
+    for d in docs:
+        before = len(joined)
+        assert tokenise.encode_tree(d, encode) == encode(d)
+        assert (len(joined) > before) == (len(d) > tokenise.LEAF)
+    assert joined
+
+
 def test_same_ids_as_the_other_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(f"{tokenise.TOKENIZERS}/byte_bpe_50k.json")
