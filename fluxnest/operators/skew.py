@@ -82,13 +82,22 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.03,
     return out
 
 
-def per_key_totals(df: DataFrame, key: str, distinct: str, salts: int = 64) -> DataFrame:
+def per_key_totals(df: DataFrame, key: str, distinct: str, share: float = 0.03, salts: int = 64) -> DataFrame:
     """(key, n_rows, n_distinct): exact counts a key without a hot task.
 
-    The distinct column is deduplicated on (key, value), which spreads heavy keys over all tasks;
-    counts are then added in two steps, over salts first. Null keys form one group; null values don't
-    count. Other columns are ignored; an empty table gives no rows.
+    Rows of heavy keys, of the empty string and of null keys are deduplicated on (key, value), which spreads them
+    over all tasks, and their counts added in two steps, over salts first; rows of other keys, each below the share,
+    are counted by an ordinary shuffle on the key; the results are united. Null keys form one group; null values
+    don't count. Other columns are ignored; an empty table gives no rows.
     """
+    df = df.select(key, distinct)
+    hot = [r["value"] for r in heavy_hitters(df, [key], share).select("value").collect()]  # at most 1 / share rows
+    is_hot = F.col(key).isNull() | F.col(key).cast("string").isin(["", *hot])
+    light = df.filter(~is_hot).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(distinct).alias("n_distinct"))
+    return _salted_totals(df.filter(is_hot), key, distinct, salts).unionByName(light)
+
+
+def _salted_totals(df: DataFrame, key: str, distinct: str, salts: int) -> DataFrame:
     pairs = df.select(F.col(key).alias("__k"), F.col(distinct).alias("__v")).groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("rows"))
     part = pairs.groupBy("__k", F.pmod(F.xxhash64("__v"), F.lit(salts)).alias("__salt")).agg(F.sum("rows").alias("rows"), F.count("__v").alias("values"))
     return part.groupBy(F.col("__k").alias(key)).agg(F.sum("rows").alias("n_rows"), F.sum("values").alias("n_distinct"))

@@ -75,6 +75,18 @@ def test_per_key_totals(spark):
     assert got == {("a", 3, 1), ("b", 1, 1), (None, 1, 1), ("", 1, 1)}
 
 
+def test_only_heavy_keys_are_salted(spark, monkeypatch):
+    salted, whole = [], skew._salted_totals
+    monkeypatch.setattr(skew, "_salted_totals", lambda df, *a: salted.append({r.k for r in df.select("k").distinct().collect()}) or whole(df, *a))
+    rows = [("hot", i % 70) for i in range(300)] + [(7 * "k" + str(i % 60), i % 3) for i in range(600)] + [(None, 1), (None, None), ("", 2)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    out = skew.per_key_totals(df, "k", "v", share=0.1)
+    assert salted == [{"hot", None, ""}]
+    want = df.groupBy("k").agg(F.count(F.lit(1)), F.count_distinct("v"))
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, want.collect()))
+    assert skew.per_key_totals(df.limit(0), "k", "v").count() == 0
+
+
 def test_feistel_can_be_undone(spark):
     df = spark.range(1000).select(F.xxhash64("id").alias("a"), (F.col("id") * 7919).alias("b"))
     x, y = dedup.feistel(F.col("a"), F.col("b"))
