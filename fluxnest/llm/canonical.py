@@ -25,10 +25,12 @@ from ..runtime import materialise
 
 # Letters of other alphabets beside the Latin letters they look like.
 LOOKALIKES = {
-    "cyrillic": ("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝԍүѵӀ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwgyvl"),
+    "cyrillic": ("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝԍүѵӀѴӏ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwgyvlVl"),
     "greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονϲ", "ABEZHIKMNOPTYXCjovc"),
     "armenian": ("ՕՏԼՍօոսհցզյ", "OSLUonuhgqj"),
-    "cherokee": ("ᎪᎫᎬᎳᎷᎻᏀᏃᏚᏞᏟᏢᏦ", "AJEWMHGZSLCPK"),
+    "cherokee": ("ᎪᎫᎬᎳᎷᎻᏀᏃᏚᏞᏟᏢᏦᎠᎡᎢᎩᏂᏏᏙᏧᏴꭵꮁꮃꮓꮩꮪꮯ", "AJEWMHGZSLCPKDRTYhbVdBirwzvsc"),
+    "coptic": ("ⲅⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⲽⳐ", "rHIKMNOoPpCcTYXwL"),
+    "lisu": ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"),
     "phonetic": ("ɑɡ", "ag"),
 }
 # Characters outside the format category that show nothing.

@@ -223,9 +223,21 @@ LOOKS_SAME = [
     ("ё", "ë"),
     ("が", "が"),
 ]
+MORE_LOOKALIKES = [("Vl", "\u0474\u04cf"), ("DRTV", "\u13a0\u13a1\u13a2\u13d9"), ("iwvsc", "\uab75\uab83\uaba9\uabaa\uabaf"), ("HOPop", "\u2c8e\u2c9e\u2ca2\u2c9f\u2ca3"), ("BAdE", "\ua4d0\ua4ee\ua4d2\ua4f0")]
 LOOKS_OTHER = [("a", "A"), ("e", "é"), ("x2", "x²"), ("a\nb", "a\r\nb"), ("a b", "a  b"), ("1", "l"), ("ß", "ss"), ("б", "6"), ("́ä", "̈á"), ("👩‍🔬", "👩🔬")]
 
 
+@pytest.mark.parametrize("plain,odd", MORE_LOOKALIKES)
+def test_lookalikes_of_more_alphabets(plain, odd):
+    t = canonical.Transducer()
+    assert t.apply(odd) == plain and t.apply(plain) == plain
+
+
+def test_letters_that_are_kept_apart():
+    t = canonical.Transducer()
+    assert [t.apply(c) for c in "αιρ"] == list("αιρ")
+
+
 @pytest.mark.parametrize("a,b", LOOKS_SAME)
 def test_looks_same(a, b):
     t = canonical.transducer()
