@@ -170,6 +170,27 @@ INTERPRETED: dict[str, tuple[str, str | None]] = {
     "interpolate_mixed": (r'"\(.o_orderkey)/\(.items | length)"', "['\"' || o_orderkey || '/' || len(items) || '\"']"),
 }
 
+_JSON = "['[' || array_to_string({}, ',') || ']']".format
+_DOUBLED = "list_transform(range(0, 11), lambda k: (o_custkey + 1) * (1 << k))"
+#: The builtins that INTERPRETED shows on literals, applied to the record: name -> (program, SQL of its outputs as JSON texts)
+ON_RECORDS: dict[str, tuple[str, str]] = {
+    "recurse": ("[.items | recurse | objects | .l_partkey], ([.items | recurse] | length)", f"['[' || array_to_string({_K}, ',') || ']', CAST(1 + 5 * len(items) AS VARCHAR)]"),
+    "paths": ("[.items | paths] | length", "[CAST(5 * len(items) AS VARCHAR)]"),
+    "leaf_paths": ("[.items | leaf_paths] | length", "[CAST(4 * len(items) AS VARCHAR)]"),
+    "paths_filter": ("[.items | paths(strings) | .[0]]", _JSON("range(0, len(items))")),
+    "setpath": ('[.items[] | setpath(["l_partkey"]; 7) | .l_partkey + .l_linenumber]', _JSON("list_transform(items, lambda x: x.l_linenumber + 7)")),
+    "delpaths": ('[.items[] | delpaths([["l_partkey"]]) | .l_partkey // .l_linenumber]', _JSON("list_transform(items, lambda x: x.l_linenumber)")),
+    "merge": ("[.items[] | . + {l_partkey: .l_linenumber} | .l_partkey + .l_linenumber]", _JSON("list_transform(items, lambda x: 2 * x.l_linenumber)")),
+    "deep_merge": ("[.items[] | {a: .} * {a: {x: 1}} | .a.x + .a.l_partkey]", _JSON("list_transform(items, lambda x: x.l_partkey + 1)")),
+    "has": ('[.items[] | has("l_partkey"), has("no")]', _JSON("flatten(list_transform(items, lambda x: ['true', 'false']))")),
+    "in": ('[.items[] | . as $i | "l_partkey" | in($i)]', _JSON("list_transform(items, lambda x: 'true')")),
+    "objects": ("[(.items[], 1) | objects | .l_partkey]", _JSON(_K)),
+    "while": ("[.o_custkey + 1 | while(. <= 1000; . * 2)]", _JSON(f"list_filter({_DOUBLED}, lambda x: x <= 1000)")),
+    "until": (".o_custkey + 1 | until(. > 1000; . * 2)", f"[CAST(list_filter({_DOUBLED}, lambda x: x > 1000)[1] AS VARCHAR)]"),
+    "repeat": (".o_custkey as $c | [$c | repeat(if . > $c + 1 then empty else . + 1 end)]", _JSON("[o_custkey, o_custkey + 1, o_custkey + 2]")),
+    "fromjson": ("[.items | tojson | fromjson | .[].l_partkey]", _JSON(_K)),
+}
+
 
 def _typed(program: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: pipeline(orders_nested(s, d), program, ["o_orderkey"], engine="columns")
@@ -187,6 +208,10 @@ for _name, (_program, _sql) in INTERPRETED.items():
     if _sql:
         ORACLES[f"pipe_{_name}"] = f"WITH {ORDERS} SELECT o_orderkey, {_sql} AS out FROM n"
 
+for _name, (_program, _sql) in ON_RECORDS.items():
+    QUERIES[f"pipe_records_{_name}"] = _interpreted(_program)
+    ORACLES[f"pipe_records_{_name}"] = f"WITH {ORDERS} SELECT o_orderkey, {_sql} AS out FROM n"
+
 
 def _map_values(spark: SparkSession, d: str) -> DataFrame:
     out = pipeline(events_by_user(spark, d), ".counts[]", ["user_id"], engine="columns")

@@ -42,6 +42,17 @@ def test_query_equals_its_sql(spark, sql, name):
     assert Counter(str([plain(row[c]) for c in sorted(cols)]) for row in got.collect()) == want
 
 
+RECORDS = ["recurse", "paths", "leaf_paths", "paths_filter", "setpath", "delpaths", "merge", "deep_merge", "has", "in", "objects", "while", "until", "repeat", "fromjson"]
+
+
+@pytest.mark.parametrize("name", RECORDS)
+def test_builtins_on_records_equal_their_sql(spark, sql, name):
+    got = catalogue.queries()[f"pipe_records_{name}"](spark, SMALL).collect()
+    want = sql.execute(catalogue.oracle_sql()[f"pipe_records_{name}"]).fetchall()
+    assert {r.o_orderkey: r.out for r in got} == dict(want) and len(got) == len(want) > 0
+    assert len({tuple(r.out) for r in got}) > 1
+
+
 def test_catalogue():
     queries, oracles = catalogue.queries(), catalogue.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 200
