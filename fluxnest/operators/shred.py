@@ -134,9 +134,37 @@ def entity_table(df: DataFrame, record: str, spec: RecordSpec, name: str, keys:
     return df.select(*keys, F.explode(places(F.col(record), kind, spec, name, keep=True)).alias("__row")).select(*keys, "__row.variant", "__row.place", "__row.obj")
 
 
+def entity_kind(kind: T.StructType, spec: RecordSpec, name: str) -> T.StructType:
+    """The type of an entity's objects within the record's type."""
+    for e in spec.chain(name):
+        for step in e.path.split("."):
+            kind = kind[step].dataType
+        if e.repeated:
+            kind = kind.elementType
+    return kind
+
+
+def dead_children(entity: Entity, variant: str, kind: T.StructType) -> list[str]:
+    """Children that hold no value in any object of the variant: an earlier variant failed by them alone."""
+    own, out = set(dict(entity.variants)[variant]), []
+    for earlier, children in entity.variants:
+        if earlier == variant:
+            break
+        missing = [c for c in children if c not in own]
+        if len(missing) == 1 and missing[0] not in out and set(children) <= set(kind.fieldNames()):
+            out += missing
+    return out
+
+
 def route(table: DataFrame, entity: Entity) -> dict[str, DataFrame]:
-    """The entity's subtype tables, one for each variant; all keep the supertype's columns."""
-    return {variant: table.filter(F.col("variant") == variant) for variant, _ in entity.variants}
+    """The entity's subtype tables, one for each variant; all keep the supertype's columns, obj has the variant's own fields."""
+    kind = table.schema["obj"].dataType
+    out = {}
+    for variant, _ in entity.variants:
+        dead = dead_children(entity, variant, kind)
+        rows = table.filter(F.col("variant") == variant)
+        out[variant] = rows.withColumn("obj", F.col("obj").dropFields(*dead)) if dead else rows
+    return out
 
 
 # ---- the automaton on JSON text -----------------------------------------------------------------

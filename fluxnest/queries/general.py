@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, geo, sessions, shred, skew
-from ..runtime import table
+from ..runtime import materialise, table
 
 GAP_MS = 1_800_000
 NEAR_M = 250.0
@@ -46,6 +48,21 @@ def p1_deal_table(spark: SparkSession, d: str) -> DataFrame:
     return t.select("rec_id", at(0).alias("imp_index"), at(1).alias("deal_index"), "variant", F.col("obj.id").alias("deal_id"), F.col("obj.at").alias("at"), geo.decimal_value(F.col("obj.bidfloor")).alias("bidfloor"), F.size(F.coalesce("obj.wseat", F.array())).alias("n_seats"))
 
 
+def p1_subtypes(spark: SparkSession, d: str) -> DataFrame:
+    """The subtype tables of all variants of every entity, from both sources; obj is an object's own fields as JSON, nulls included."""
+    spec, bids = shred.BID_REQUEST, table(spark, d, "bid_requests")
+    kinds = {e.name: shred.entity_kind(bids.schema["msg"].dataType, spec, e.name) for e in spec.entities}
+    text = materialise(shred.shred_json(table(spark, d, "raw_requests"), "payload", spec, "rec_id", kinds), "objects")
+    at = lambda i: F.coalesce(F.get("place", F.lit(i)), F.lit(-1)).cast("bigint")
+    parts = []
+    for e in spec.entities:
+        read = text.filter(F.col("entity") == e.name).select("rec_id", "variant", "place", F.from_json("obj_json", kinds[e.name]).alias("obj"))
+        both = materialise(shred.entity_table(bids, "msg", spec, e.name, ["rec_id"]).unionByName(read), e.name)
+        for t in shred.route(both, e).values():
+            parts.append(t.select("rec_id", F.lit(e.name).alias("entity"), "variant", at(0).alias("imp_index"), at(1).alias("deal_index"), F.to_json("obj", {"ignoreNullFields": "false"}).alias("obj")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     points = geo.usable_points(table(spark, d, "geo_points"), "geo_id")
     near = geo.near_pairs(points, NEAR_M).select(F.lit("near").alias("kind"), "a_id", "b_id")
@@ -96,7 +113,7 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return log.join(dedup.redelivered(log), "rec_id", "left_anti").select("rec_id", "batch_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_imp_table, p1_deal_table, p2_found, p3_found, p3_site_totals, p3_country_totals, p3_publisher_rows, p4_found, p4_sessions, p6_found, p6_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_imp_table, p1_deal_table, p1_subtypes, p2_found, p3_found, p3_site_totals, p3_country_totals, p3_publisher_rows, p4_found, p4_sessions, p6_found, p6_kept)}
 
 _SESSIONS = """
 WITH e AS (

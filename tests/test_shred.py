@@ -90,6 +90,26 @@ def test_large_keys_give_places(spark):
     assert {(r.entity, tuple(r.place)) for r in rows} == {("imp", (0,)), ("imp", (big,)), ("deal", (big, 2**63 - 1))}
 
 
+def test_subtype_tables_have_their_variants_columns(spark):
+    import __spark_entry__ as catalogue
+    from tests.conftest import SMALL
+
+    bids = spark.read.parquet(f"{SMALL}/bid_requests.parquet")
+    t = shred.entity_table(bids, "msg", BID_REQUEST, "imp", ["rec_id"])
+    fields = {v: set(p.schema["obj"].dataType.fieldNames()) for v, p in shred.route(t, BID_REQUEST["imp"]).items()}
+    assert {v: f & {"banner", "video"} for v, f in fields.items()} == {"imp_av": {"banner", "video"}, "imp_video": {"video"}, "imp_banner": {"banner"}, "imp_bare": set()}
+    kind = shred.entity_kind(bids.schema["msg"].dataType, BID_REQUEST, "geo")
+    assert shred.dead_children(BID_REQUEST["geo"], "geo_place", kind) == []  # one of lat and lon may be there
+    rows = catalogue.queries()["p1_subtypes"](spark, SMALL).collect()
+    found = catalogue.queries()["p1_found"](spark, SMALL).collect()
+    assert sorted((r.rec_id, r.entity, r.imp_index, r.deal_index) for r in rows) == sorted(map(tuple, found))
+    assert {r.entity for r in rows} == {e.name for e in BID_REQUEST.entities}
+    for r in rows:
+        obj = json.loads(r.obj)
+        assert all(c in obj for c in dict(BID_REQUEST[r.entity].variants)[r.variant])
+        assert ("banner" in obj) == (r.variant in ("imp_av", "imp_banner")) and ("wseat" in obj) == (r.variant == "deal_seated")
+
+
 def test_empty_table(spark):
     from tests.conftest import SMALL
 
