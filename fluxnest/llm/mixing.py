@@ -3,8 +3,9 @@
 A source's documents, in a seeded random order and repeated at most max_repeats times, are a stream of
 tokens that is cut into blocks of the same number of tokens at every size. Block j of a source of share w is
 released at slot floor(j / w) and due at slot ceil((j + 1) / w); earliest deadline first fills every slot, so at
-any time each source has less than one block more or less than its share. Running totals that place documents in
-their stream are two-level: totals of hash buckets first, then sums inside a bucket, so no source is one task.
+any time each source has less than one block more or less than its share. A document fills as many blocks as it
+touches: it comes out as one row for each of them, so the rows keep that bound too. Running totals that place documents
+in their stream are two-level: totals of hash buckets first, then sums inside a bucket, so no source is one task.
 
 Shares are fractions n / period, so after period slots each source has exactly its n blocks and the schedule starts
 again: one period and the rest after the last whole one give every slot by arithmetic. Periods above PERIOD aren't
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small, materialise
+from ..runtime import broadcast_if_small, materialise, release, small_enough
+from .kmv import hash60
 
 #: Tokens a block.
 BLOCK = 256
@@ -36,6 +38,10 @@ BLOCK = 256
 PERIOD = 20_000
 #: Documents a hash bucket, about; one task sorts a bucket.
 BUCKET = 200_000
+#: Rows of targets at most: they and one total a listed source are kept on the driver. More are an error.
+TARGETS = 100_000
+#: Slots whose running totals one task adds up in the report.
+CHUNK = 4096
 
 
 def whole_parts(weights: dict[str, Fraction]) -> dict[str, int]:
@@ -123,7 +129,7 @@ def plan(targets: list[dict], totals: dict[str, int], min_block: int = BLOCK, pe
 
 def stream_places(sizes: DataFrame, seed: int, bucket: int = BUCKET) -> DataFrame:
     """doc_id, source, n_tokens and start: the tokens of the source that come before the document in its random order."""
-    keyed = sizes.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "source"))
+    keyed = sizes.withColumn("h", hash60(F.concat_ws("/", F.lit(seed).cast("string"), "source", F.col("doc_id").cast("string"))))
     per = sizes.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / bucket)).cast("bigint").alias("n_buckets"))
     keyed = keyed.join(broadcast_if_small(per), "source").withColumn("bucket", F.pmod("h", "n_buckets"))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"))
@@ -132,50 +138,122 @@ def stream_places(sizes: DataFrame, seed: int, bucket: int = BUCKET) -> DataFram
     return keyed.withColumn("inner", inner).join(broadcast_if_small(offsets), ["source", "bucket"]).select("doc_id", "source", "n_tokens", (F.col("offset") + F.col("inner")).alias("start"))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """(mix_id, slot, offset, source, doc_id, repeat, n_tokens): the selection, ordered within a mix by slot and offset.
-
-    sizes: (doc_id, source, n_tokens). Rows with a null source or no tokens are never selected. A document is taken
-    if at least half of it lies within the source's quota, so a source is off its share by less than a document.
-    Empty tables give no rows; other columns of either table are ignored; a source listed twice in a mix has the sum of
-    its weights and the larger max_repeats.
-    """
+def prepare(sizes: DataFrame, targets: DataFrame, seed: int, min_block: int, period: int) -> tuple[list[dict], DataFrame | None]:
+    """The plan of every (mix, source) that can supply, and the selected documents: mix_id, source, doc_id, repeat, n_tokens, at (where it begins in the source's stream)."""
     spark = sizes.sparkSession
-    sizes, targets = sizes.select("doc_id", "source", "n_tokens"), targets.select("mix_id", "source", "target_weight", "max_repeats")
-    sizes = materialise(sizes.filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0)).join(F.broadcast(targets.select("source").distinct()) if targets.limit(10_001).count() <= 10_000 else targets.select("source").distinct(), "source", "left_semi"), "sizes")
+    if not small_enough(targets, TARGETS):
+        raise ValueError(f"more than {TARGETS} targets")
+    sizes = sizes.select("doc_id", "source", "n_tokens").filter(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
+    sizes = materialise(sizes.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), "sizes")
     totals = {r["source"]: r["tokens"] for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).collect()}  # one row a listed source
     shares = plan([r.asDict() for r in targets.collect()], totals, min_block, period)
-    out = "mix_id bigint, slot bigint, offset bigint, source string, doc_id bigint, repeat bigint, n_tokens bigint"
     if not shares:
-        return spark.createDataFrame([], out)
-    mixes = {}
-    for m in sorted({p["mix_id"] for p in shares}):
-        own = [p for p in shares if p["mix_id"] == m]
-        mixes[m] = ({p["source"]: p["part"] for p in own}, {p["source"]: -(-p["quota"] // p["block"]) - p["periods"] * p["part"] for p in own}, own[0]["periods"] > 0)
-    # Parts of a period that isn't repeated may be of any size and aren't needed below.
-    plan_df = spark.createDataFrame([(p["mix_id"], p["source"], p["quota"], p["block"], p["max_repeats"], p["available"], p["periods"], *((p["part"], p["period"]) if p["periods"] else (1, 1))) for p in shares], "mix_id bigint, source string, quota bigint, block bigint, max_repeats bigint, available bigint, periods bigint, part bigint, period bigint")
-    slot_df = slot_table(spark, mixes).withColumnRenamed("slot", "slot_in")
+        return [], None
+    rows = [(p["mix_id"], p["source"], p["quota"], p["max_repeats"], p["available"]) for p in shares]
+    plan_df = spark.createDataFrame(rows, "mix_id bigint, source string, quota bigint, max_repeats bigint, available bigint")
     placed = stream_places(sizes, seed).join(F.broadcast(plan_df), "source")  # as many rows as targets
     # Copy r starts r rounds after the first; only copies whose first half fits the quota.
     room = F.floor((F.col("quota") - F.col("start") - F.col("n_tokens") / 2) / F.col("available")) + 1
     copies = F.least(F.col("max_repeats"), F.greatest(F.lit(0), room)).cast("bigint")
     taken = placed.withColumn("copies", copies).filter("copies > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-    taken = taken.withColumn("at", F.col("start") + F.col("repeat") * F.col("available"))
-    taken = taken.withColumn("j", F.least(F.floor(F.col("at") / F.col("block")), F.ceil(F.col("quota") / F.col("block")) - 1).cast("bigint"))
+    return shares, taken.select("mix_id", "source", "doc_id", "repeat", "n_tokens", (F.col("start") + F.col("repeat") * F.col("available")).alias("at"))
+
+
+def interleave(documents: DataFrame, shares: list[dict]) -> DataFrame:
+    """The selected documents cut by the blocks they touch, each part in the slot of its block. What hangs over the last block stays in it."""
+    spark = documents.sparkSession
+    mixes = {}
+    for m in sorted({p["mix_id"] for p in shares}):
+        own = [p for p in shares if p["mix_id"] == m]
+        mixes[m] = ({p["source"]: p["part"] for p in own}, {p["source"]: -(-p["quota"] // p["block"]) - p["periods"] * p["part"] for p in own}, own[0]["periods"] > 0)
+    # Parts of a period that isn't repeated may be of any size and aren't needed below.
+    rows = [(p["mix_id"], p["source"], p["block"], -(-p["quota"] // p["block"]) - 1, p["periods"], *((p["part"], p["period"]) if p["periods"] else (1, 1))) for p in shares]
+    plan_df = F.broadcast(spark.createDataFrame(rows, "mix_id bigint, source string, block bigint, last bigint, periods bigint, part bigint, period bigint"))
+    slots = slot_table(spark, mixes).withColumnRenamed("slot", "slot_in")
+    block_of = lambda at: F.least(F.floor(at / F.col("block")), F.col("last")).cast("bigint")
+    end = F.col("at") + F.col("n_tokens")
+    cut = documents.join(plan_df, ["mix_id", "source"]).withColumn("j", F.explode(F.sequence(block_of(F.col("at")), block_of(end - 1))))
+    cut = cut.withColumn("from", F.greatest(F.col("at"), F.col("j") * F.col("block"))).withColumn("to", F.when(F.col("j") == F.col("last"), end).otherwise(F.least(end, (F.col("j") + 1) * F.col("block"))))
     whole = F.col("periods") * F.col("part")
-    taken = taken.withColumn("rest", (F.col("j") >= whole).cast("int"))
-    taken = taken.withColumn("k", F.when(F.col("rest") == 0, F.col("j") % F.col("part")).otherwise(F.col("j") - whole))
+    cut = cut.withColumn("rest", (F.col("j") >= whole).cast("int"))
+    cut = cut.withColumn("k", F.when(F.col("rest") == 0, F.col("j") % F.col("part")).otherwise(F.col("j") - whole))
     before = F.when(F.col("rest") == 0, F.floor(F.col("j") / F.col("part"))).otherwise(F.col("periods")) * F.col("period")
-    out = taken.join(broadcast_if_small(slot_df), ["mix_id", "source", "rest", "k"])
-    return out.select("mix_id", (before + F.col("slot_in")).cast("bigint").alias("slot"), (F.col("at") - F.col("j") * F.col("block")).alias("offset"), "source", "doc_id", "repeat", "n_tokens")
+    out = cut.join(broadcast_if_small(slots), ["mix_id", "source", "rest", "k"])
+    return out.select("mix_id", (before + F.col("slot_in")).cast("bigint").alias("slot"), (F.col("from") - F.col("j") * F.col("block")).alias("offset"), "source", "doc_id", "repeat", (F.col("from") - F.col("at")).alias("first"), (F.col("to") - F.col("from")).alias("n_tokens"))
+
+
+_PARTS = "mix_id bigint, slot bigint, offset bigint, source string, doc_id bigint, repeat bigint, first bigint, n_tokens bigint"
+_DOCUMENTS = "mix_id bigint, source string, doc_id bigint, repeat bigint, n_tokens bigint"
+
 
+def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """(mix_id, slot, offset, source, doc_id, repeat, first, n_tokens): the selection, ordered within a mix by slot and offset.
+
+    A row is the part of a document that lies in one block: its n_tokens tokens from the document's token first on; a
+    document's parts are all there. At any row each source is less than two blocks, and at the very end half a document, off
+    its share of the tokens so far. sizes: (doc_id, source, n_tokens). Rows with a null source or no tokens are never selected.
+    A document is taken if at least half of it lies within the source's quota, so a source is off its share by less than a
+    document. Empty tables give no rows; other columns of either table are ignored; a source listed twice in a mix has the
+    sum of its weights and the larger max_repeats.
+    """
+    shares, documents = prepare(sizes, targets, seed, min_block, period)
+    return interleave(documents, shares) if shares else sizes.sparkSession.createDataFrame([], _PARTS)
+
+
+def select_documents(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """(mix_id, source, doc_id, repeat, n_tokens): the documents that mix takes, uncut."""
+    shares, documents = prepare(sizes, targets, seed, min_block, period)
+    return documents.drop("at") if shares else sizes.sparkSession.createDataFrame([], _DOCUMENTS)
+
+
+def deviations(parts: DataFrame, aims: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(mix_id, source, largest_deviation): tokens by which a source is at most off its aim times all tokens so far, before and after any row.
+
+    Running totals are two-level, over chunks of slots and within a chunk; aims: (mix_id, source, aim_share).
+    """
+    own = parts.select("mix_id", "source", "slot", "offset", F.col("n_tokens").alias("n"), F.floor(F.col("slot") / chunk).alias("chunk"))
+    sums = own.groupBy("mix_id", "chunk", "source").agg(F.sum("n").alias("n"))
+    every = sums.groupBy("mix_id", "chunk").agg(F.sum("n").alias("n")).select("mix_id", "chunk", F.expr("sum(n) over (partition by mix_id order by chunk rows between unbounded preceding and current row) - n").alias("all_base"))
+    base = sums.select("mix_id", "chunk", "source", F.expr("sum(n) over (partition by mix_id, source order by chunk rows between unbounded preceding and current row) - n").alias("own_base"))
+    base = base.join(every, ["mix_id", "chunk"]).join(F.broadcast(aims), ["mix_id", "source"])  # aims: as many rows as targets
+    run = own.select("*", F.expr("sum(n) over (partition by mix_id, chunk order by slot, offset rows between unbounded preceding and current row)").alias("all_run"), F.expr("sum(n) over (partition by mix_id, chunk, source order by slot, offset rows between unbounded preceding and current row)").alias("own_run"))
+    run = run.join(base, ["mix_id", "chunk", "source"])
+    so_far, total = F.col("own_base") + F.col("own_run"), F.col("all_base") + F.col("all_run")
+    off = F.greatest(F.abs(so_far - F.col("aim_share") * total), F.abs(so_far - F.col("n") - F.col("aim_share") * (total - F.col("n"))))
+    return run.groupBy("mix_id", "source").agg(F.max(off).alias("largest_deviation"))
 
-def report(selection: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and actual shares of every row of targets, those that got nothing included."""
+
+def shares_of(documents: DataFrame, targets: DataFrame, shares: list[dict]) -> DataFrame:
+    """Target, aim and actual share of every row of targets, those that got nothing included.
+
+    target_share is the weight over all weights of the mix; aim_share the weight over those of the sources that can supply.
+    """
     targets = targets.select("mix_id", "source", "target_weight", "max_repeats")
-    got = selection.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"), (F.max("repeat") + 1).alias("repeats_used"))
+    aims = documents.sparkSession.createDataFrame([(p["mix_id"], p["source"], p["share"]) for p in shares], "mix_id bigint, source string, aim_share double")
+    got = documents.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"), (F.max("repeat") + 1).alias("repeats_used"))
     whole = got.groupBy("mix_id").agg(F.sum("tokens").alias("mix_tokens"))
     weights = targets.groupBy("mix_id").agg(F.sum(F.when(F.col("target_weight") > 0, F.col("target_weight"))).alias("weights"))
-    t = targets.join(weights, "mix_id").join(got, ["mix_id", "source"], "left").join(whole, "mix_id", "left")
+    t = targets.join(weights, "mix_id").join(F.broadcast(aims), ["mix_id", "source"], "left").join(got, ["mix_id", "source"], "left").join(whole, "mix_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return t.select("mix_id", "source", "max_repeats", (F.col("target_weight") / F.col("weights")).alias("target_share"), F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("n_rows"), zero("repeats_used"))
+    return t.select("mix_id", "source", "max_repeats", (F.col("target_weight") / F.col("weights")).alias("target_share"), F.coalesce("aim_share", F.lit(0.0)).alias("aim_share"), F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("n_rows"), zero("repeats_used"))
+
+
+def document_shares(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """shares_of the selected documents, without the order they come in."""
+    shares, documents = prepare(sizes, targets, seed, min_block, period)
+    return shares_of(documents if shares else sizes.sparkSession.createDataFrame([], _DOCUMENTS), targets, shares)
+
+
+def report(sizes: DataFrame, targets: DataFrame, seed: int = 7, min_block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """document_shares and largest_deviation, in tokens, over all prefixes of the mix's rows, beside the block's size; 0 where nothing was taken."""
+    spark = sizes.sparkSession
+    shares, documents = prepare(sizes, targets, seed, min_block, period)
+    if not shares:
+        return shares_of(spark.createDataFrame([], _DOCUMENTS), targets, []).withColumn("largest_deviation", F.lit(0.0)).withColumn("block", F.lit(min_block).cast("bigint"))
+    documents = materialise(documents, "documents")
+    parts = materialise(interleave(documents, shares), "parts")
+    aims = spark.createDataFrame([(p["mix_id"], p["source"], p["share"]) for p in shares], "mix_id bigint, source string, aim_share double")
+    off = materialise(deviations(parts, aims), "deviations")
+    release(parts)
+    out = shares_of(documents, targets, shares).join(off, ["mix_id", "source"], "left")
+    return out.withColumn("largest_deviation", F.coalesce("largest_deviation", F.lit(0.0))).withColumn("block", F.lit(min_block).cast("bigint"))

@@ -61,8 +61,20 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    return mixing.report(mixing.mix(_sizes(spark, d), targets), targets)
+    return mixing.report(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def _characters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").alias("n_tokens"))
+
+
+def p9_char_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The same selection by characters instead of tokens, which SQL can count."""
+    return mixing.select_documents(_characters(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_char_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.document_shares(_characters(spark, d), table(spark, d, "mix_targets"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +86,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p5_distinct, p5_country_overlap, p7_found, p7_counts, p8_ids, p9_mix, p9_shares, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p5_distinct, p5_country_overlap, p7_found, p7_counts, p8_ids, p9_mix, p9_shares, p9_char_documents, p9_char_shares, p10_found, p10_texts)}
 
 _FREQUENT = "SELECT field, item{n} FROM (SELECT 'ua' AS field, ua AS item, count(*) AS n FROM request_log GROUP BY ALL UNION ALL SELECT 'ip', ip, count(*) FROM request_log GROUP BY ALL) WHERE item IS NOT NULL AND item <> '' AND n >= 0.005 * (SELECT count(*) FROM request_log)"
 _HASH = "CASE WHEN {x} <> '' THEN CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT) END"
@@ -93,7 +105,38 @@ _SETS = [("day",), ("country",), ("site_id",), ("day", "country"), ("day", "site
 _GROUPS = " UNION ALL ".join(
     f"SELECT DISTINCT field, '{','.join(s)}' AS \"by\", {', '.join(c if c in s else f'NULL::VARCHAR AS {c}' for c in DIMS)}, h FROM h WHERE h IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in s)}" for s in _SETS
 )
+_CHOSEN = f"""
+WITH sizes AS (
+  SELECT doc_id, source, n_chars AS n, CAST('0x' || substr(md5('7/' || source || '/' || doc_id), 1, 15) AS BIGINT) AS h FROM documents WHERE n_chars > 0 AND source IN (SELECT source FROM mix_targets)
+), tot AS (
+  SELECT source, CAST(sum(n) AS BIGINT) AS available, greatest(1, CAST(ceil(count(*) / {mixing.BUCKET}) AS BIGINT)) AS buckets FROM sizes GROUP BY source
+), t AS (
+  SELECT mix_id, source, sum(target_weight) AS w, max(max_repeats) AS r, any_value(available) AS available FROM mix_targets JOIN tot USING (source) WHERE mix_id IS NOT NULL AND target_weight > 0 AND max_repeats > 0 GROUP BY ALL
+), s AS (
+  SELECT *, w / sum(w) OVER (PARTITION BY mix_id) AS share FROM t
+), q AS (
+  SELECT *, CAST(round_even(floor(min(available * r / share) OVER (PARTITION BY mix_id) + 1e-6) * share, 0) AS BIGINT) AS quota FROM s
+), p AS (
+  SELECT doc_id, source, n, sum(n) OVER (PARTITION BY source ORDER BY h % buckets, h, doc_id ROWS UNBOUNDED PRECEDING) - n AS start FROM sizes JOIN tot USING (source)
+), c AS (
+  SELECT mix_id, source, doc_id, n, least(r, greatest(0, CAST(floor((quota - start - n / 2) / available) AS BIGINT) + 1)) AS copies FROM p JOIN q USING (source)
+), chosen AS (
+  SELECT mix_id, source, doc_id, CAST(unnest(range(copies)) AS BIGINT) AS repeat, n AS n_tokens FROM c
+)
+"""
 ORACLES = {
+    "p9_char_documents": _CHOSEN + "SELECT mix_id, source, doc_id, repeat, n_tokens FROM chosen",
+    "p9_char_shares": _CHOSEN
+    + """, g AS (
+  SELECT mix_id, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS n_rows, max(repeat) + 1 AS repeats_used FROM chosen GROUP BY ALL
+), m AS (
+  SELECT mix_id, sum(tokens) AS mix_tokens FROM g GROUP BY ALL
+), w AS (
+  SELECT mix_id, sum(target_weight) FILTER (WHERE target_weight > 0) AS weights FROM mix_targets GROUP BY ALL
+)
+SELECT mix_id, source, max_repeats, target_weight / weights AS target_share, coalesce(share, 0.0) AS aim_share, coalesce(CAST(tokens AS DOUBLE) / mix_tokens, 0.0) AS actual_share,
+  coalesce(tokens, 0) AS tokens, coalesce(n_rows, 0) AS n_rows, coalesce(repeats_used, 0) AS repeats_used
+FROM mix_targets JOIN w USING (mix_id) LEFT JOIN (SELECT mix_id, source, share FROM q) USING (mix_id, source) LEFT JOIN g USING (mix_id, source) LEFT JOIN m USING (mix_id)""",
     "p5_distinct": _LOG
     + f""", g AS ({_GROUPS}
 ), r AS (

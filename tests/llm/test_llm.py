@@ -82,61 +82,100 @@ def test_heavy_values_equal_counting(spark, groups):
 # ---- tokens
 
 
+VOCABULARY = f"{tokenise.TOKENIZERS}/byte_bpe_50k.tiktoken"
+
+
 @pytest.fixture(scope="module")
-def encode():
-    return tokenise.load_bpe(f"{tokenise.TOKENIZERS}/byte_bpe_50k.tiktoken").encode_ordinary
+def bpe():
+    return tokenise.load_bpe(VOCABULARY)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab'sré 12\n\t  \r.,!你🙂<|endoftext|>"), max_size=120), st.integers(1, 9))
+@pytest.fixture
+def longest(monkeypatch):
+    """The sizes of everything that the tokenizer's library is asked to encode."""
+    sizes = []
+    for name in ("text", "piece"):
+        call = getattr(tokenise.Bpe, name)
+        monkeypatch.setattr(tokenise.Bpe, name, lambda self, x, call=call: sizes.append(len(x)) or call(self, x))
+    return sizes
+
+
+SNIPPETS = ["a", "b", "'s", "'re", "'l", "'", " ", "  ", "\n", "\t", "\r\n", "1", "23", "é", "e\u0301", ".", "--", "你", "好", "，", "🙂", "\x01", "\x1c", "\x85", "\u3000", "don't", "<|endoftext|>", "ab" * 3, "-" * 7, " " * 5, "中" * 9]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(SNIPPETS), max_size=40).map("".join), st.integers(1, 9))
 def test_tree_equals_whole(text, leaf):
-    whole = tokenise.load_bpe(f"{tokenise.TOKENIZERS}/byte_bpe_50k.tiktoken").encode_ordinary
-    ids = tokenise.encode_tree(text, whole, leaf)
-    assert ids == whole(text) and tokenise.decode_ids(ids) == text
+    b = tokenise.load_bpe(VOCABULARY)
+    ids = tokenise.encode_tree(text, b, leaf).tolist()
+    assert ids == b.text(text).tolist() and tokenise.decode_ids(ids) == text
+
+
+def test_join_is_associative(bpe):
+    text = "It's  a1test\n\n  of the-- tree 你好，   "
+    ends = [0, 5, 7, 12, 16, 22, 26, len(text)]
+    parts = lambda: [tokenise.leaf_part(text, a, b, bpe) for a, b in zip(ends, ends[1:])]
+    left, *rest = parts()
+    for x in rest:
+        left = tokenise.join(text, left, x, bpe)
+    *rest, right = parts()
+    for x in reversed(rest):
+        right = tokenise.join(text, x, right, bpe)
+    flat = lambda q: [*bpe.text(text[: q.first]), *(i for m in q.ids for i in m), *bpe.text(text[q.last :])]
+    assert flat(left) == flat(right) == bpe.text(text).tolist()
+
+
+@pytest.mark.parametrize("text", ["x" * 200_000, "中文字" * 20_000, "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), " " * 50_000 + "x", "-" * 70_000, "'" * 9_000 + "s" * 9_000, "QUJDREVG0123+/" * 20_000])
+def test_long_texts_without_spaces(bpe, longest, text):
+    want = bpe.text(text).tolist()
+    longest.clear()
+    assert tokenise.encode_tree(text, bpe).tolist() == want
+    assert max(longest) <= 8 * tokenise.LEAF
+
+
+def test_texts_of_the_tables_are_encoded_by_the_tree(spark, bpe, longest, monkeypatch):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    joined, join = [], tokenise.join
+    monkeypatch.setattr(tokenise, "join", lambda *a: joined.append(1) or join(*a))
+    for d in docs:
+        want = bpe.text(d).tolist()
+        before = len(joined)
+        longest.clear()
+        assert tokenise.encode_tree(d, bpe).tolist() == want
+        assert (len(joined) > before) == (len(d) > tokenise.LEAF) and max(longest) <= tokenise.LEAF
+    assert joined
 
 
-def test_join_is_associative(encode):
-    parts = ["It's ", " a", "test\n\n  of", "the", " tree", "   "]
-    p = [tokenise.leaf(t, encode) for t in parts]
-    left = p[0]
-    for x in p[1:]:
-        left = tokenise.join(left, x, encode)
-    right = p[-1]
-    for x in reversed(p[:-1]):
-        right = tokenise.join(x, right, encode)
-    flat = lambda q: [*encode(q.head), *(i for m in q.mid or [] for i in m), *encode(q.tail)]
-    assert flat(left) == flat(right) == encode("".join(parts))
+def test_every_token_is_its_own_encoding(bpe):
+    """What welding rests on, for a sample of the vocabulary: merges alone lead to each token."""
+    ranks = {t: i for i, t in bpe._bytes.items()}
+    for token in random.Random(3).sample(sorted(ranks), 3000):
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 1:
+            at = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30))
+            assert parts[at] + parts[at + 1] in ranks
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert ranks[parts[0]] == ranks[token]
 
 
-def test_encode_ids(spark, encode):
+def test_encode_ids(spark, bpe):
     long = "word " * 40_000 + "x" * 3000
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a <|endoftext|> b"), (5, long), (6, "same"), (6, "same")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_tokens", F.lit(9))
     got = sorted((r.doc_id, list(r.ids)) for r in tokenise.encode_ids(df, "doc_id", "text").collect())
-    assert got == sorted((k, encode(t) if t else []) for k, t in rows)
+    assert got == sorted((k, bpe.text(t).tolist() if t else []) for k, t in rows)
     counts = sorted((r.doc_id, r.n_tokens) for r in tokenise.count_tokens(df, ["doc_id"], "text").collect())
-    assert counts == sorted((k, len(encode(t)) if t else 0) for k, t in rows)
+    assert counts == sorted((k, len(bpe.text(t)) if t else 0) for k, t in rows)
     assert tokenise.encode_ids(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_texts_of_the_tables_are_encoded_by_the_tree(spark, encode, monkeypatch):
-    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
-    joined, join = [], tokenise.join
-    monkeypatch.setattr(tokenise, "join", lambda x, y, e: joined.append(1) or join(x, y, e))
-    for d in docs:
-        before = len(joined)
-        assert tokenise.encode_tree(d, encode) == encode(d)
-        assert (len(joined) > before) == (len(d) > tokenise.LEAF)
-    assert joined
-
-
-def test_same_ids_as_the_other_library(spark):
+def test_same_ids_as_the_other_library(spark, bpe):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(f"{tokenise.TOKENIZERS}/byte_bpe_50k.json")
     t.encode_special_tokens = True
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
     want = [e.ids for e in t.encode_batch(docs, add_special_tokens=False)]
-    assert [tokenise.encode_tree(d, tokenise.load_bpe(f"{tokenise.TOKENIZERS}/byte_bpe_50k.tiktoken").encode_ordinary, 200) for d in docs] == want
+    assert [tokenise.encode_tree(d, bpe, 200).tolist() for d in docs] == want
 
 
 # ---- mixing
@@ -173,15 +212,43 @@ def test_mix_meets_its_shares(spark):
     total = sum(tokens.values())
     assert set(tokens) == {"big", "mid", "tiny"} and {r.mix_id for r in got} == {1}
     size = dict((d, n) for d, _, n in rows)
-    assert max(Counter((r.doc_id, r.repeat) for r in got).values()) == 1
     assert {r.repeat for r in got if r.source == "tiny"} == {0, 1, 2} and {r.repeat for r in got if r.source != "tiny"} == {0}
     for s, w in (("big", 0.6), ("mid", 0.3), ("tiny", 0.1)):
         assert abs(tokens[s] - w * total) <= 400
-    assert all(size[r.doc_id] == r.n_tokens for r in got)
-    report = {(r.mix_id, r.source): r for r in mixing.report(mixing.mix(sizes, targets, min_block=500), targets).collect()}
+    parts = {}
+    for r in got:
+        parts.setdefault((r.doc_id, r.repeat), []).append((r.first, r.n_tokens))
+    for (doc, _), own in parts.items():  # every part of a document, once
+        at = 0
+        for first, n in sorted(own):
+            assert first == at and n > 0
+            at += n
+        assert at == size[doc]
+    whole = {(r.doc_id, r.repeat, r.n_tokens) for r in mixing.select_documents(sizes, targets, min_block=500).collect()}
+    assert whole == {(d, k, size[d]) for d, k in parts}
+    # The bound on the rows themselves, before and after each of them, and what the report says of it.
+    done, aim, worst = Counter(), {"big": 0.6, "mid": 0.3, "tiny": 0.1}, Counter()
+    for r in sorted(got, key=lambda r: (r.slot, r.offset)):
+        for step in (0, r.n_tokens):
+            done[r.source] += step
+            so_far = sum(done.values())
+            worst[r.source] = max(worst[r.source], abs(done[r.source] - aim[r.source] * so_far))
+    assert max(worst.values()) <= 500 + 400
+    report = {(r.mix_id, r.source): r for r in mixing.report(sizes, targets, min_block=500).collect()}
+    assert {s: report[1, s].largest_deviation for s in aim} == pytest.approx(dict(worst))
     assert report[1, "absent"].actual_share == 0 and report[1, "tiny"].repeats_used == 3 and report[2, "absent"].tokens == 0
+    assert report[1, "big"].target_share == pytest.approx(0.5) and report[1, "big"].aim_share == pytest.approx(0.6) and report[1, "absent"].aim_share == 0
     assert mixing.mix(sizes.limit(0), targets).count() == 0
     assert mixing.mix(sizes, targets.limit(0)).count() == 0
+    assert [r.tokens for r in mixing.report(sizes.limit(0), targets).collect()] == [0] * 8 and mixing.document_shares(sizes, targets.limit(0)).count() == 0
+
+
+def test_running_totals_over_chunks_equal_one_run(spark):
+    rows = [(1, "ab"[i % 3 == 0], i, 0, 5 + i % 4) for i in range(300)]
+    parts = spark.createDataFrame(rows, "mix_id bigint, source string, slot bigint, offset bigint, n_tokens bigint")
+    aims = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.4)], "mix_id bigint, source string, aim_share double")
+    some, one = ({r.source: round(r.largest_deviation, 9) for r in mixing.deviations(parts, aims, n).collect()} for n in (7, 10_000))
+    assert some == one and len(some) == 2
 
 
 @pytest.mark.parametrize("weights", [(6.0, 3.0, 1.0), (0.61803, 0.31416, 0.0678101)])
@@ -199,6 +266,7 @@ def test_slots_are_of_blocks_of_one_size_at_every_size(spark, weights):
             j = min(ends[s] // 256, sum(x == s for x, _ in want) - 1)
             assert (r.slot, r.offset) == (want[s, j], ends[s] - 256 * j)
             ends[s] += r.n_tokens
+    assert all(r.offset + r.n_tokens <= 256 for r in got if r.slot < max(x.slot for x in got if x.source == r.source))
 
 
 def test_buckets_of_a_large_source_cover_its_stream(spark):
