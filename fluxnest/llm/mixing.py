@@ -224,7 +224,7 @@ def deviations(parts: DataFrame, aims: DataFrame, chunk: int = CHUNK) -> DataFra
 
 
 def shares_of(documents: DataFrame, targets: DataFrame, shares: list[dict]) -> DataFrame:
-    """Target, aim and actual share of every row of targets, those that got nothing included.
+    """Target, aim and actual share of every row of targets that names a mix, those that got nothing included.
 
     target_share is the weight over all weights of the mix; aim_share the weight over those of the sources that can supply.
     """
