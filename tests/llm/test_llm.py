@@ -260,13 +260,13 @@ def test_slots_are_of_blocks_of_one_size_at_every_size(spark, weights):
     shares = mixing.plan([{"mix_id": 1, "source": s, "target_weight": w, "max_repeats": 1} for s, w in zip("abc", weights)], {s: sum(n for _, x, n in rows if x == s) for s in "abc"})
     want = {(s, j): t for s, j, t in mixing.schedule(dict(zip("abc", weights)), {p["source"]: -(-p["quota"] // 256) for p in shares})}
     assert len(want) > 9000 and (shares[0]["periods"] > 0) == (weights[0] == 6.0)
-    ends = Counter()
+    ends, blocks = Counter(), Counter(s for s, _ in want)
     for s in "abc":
         for r in sorted((r for r in got if r.source == s), key=lambda r: (r.slot, r.offset)):
-            j = min(ends[s] // 256, sum(x == s for x, _ in want) - 1)
+            j = min(ends[s] // 256, blocks[s] - 1)
             assert (r.slot, r.offset) == (want[s, j], ends[s] - 256 * j)
             ends[s] += r.n_tokens
-    assert all(r.offset + r.n_tokens <= 256 for r in got if r.slot < max(x.slot for x in got if x.source == r.source))
+    assert all(r.offset + r.n_tokens <= 256 for r in got if r.slot < want[r.source, blocks[r.source] - 1])
 
 
 def test_buckets_of_a_large_source_cover_its_stream(spark):
