@@ -2,7 +2,7 @@
 
 Heavy keys are found with a mergeable frequent-items sketch (every value above the share is in
 it, whatever the data), counted exactly, and then handled apart: their rows meet the other side
-by a broadcast join of at most 1 / share keys, all others by an ordinary shuffle; the results
+by a broadcast join of at most 1 / share keys (salted where these have many rows), all others by an ordinary shuffle; the results
 are united.
 """
 
@@ -15,6 +15,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import small_enough
+
+#: Dimension rows of heavy keys that may be broadcast.
+HOT_ROWS = 10_000
+
 
 def _prune(counts: dict[str, int], k: int) -> tuple[dict[str, int], int]:
     """Keep at most k counters by subtracting the (k+1)-th largest from all."""
@@ -62,18 +67,28 @@ def heavy_hitters(df: DataFrame, fields: list[str], share: float) -> DataFrame:
     return exact.filter(F.col("n") >= share * total)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.03, how: str = "left") -> DataFrame:
-    """Join a skewed table with a dimension that has at most one row a key; same rows as the plain join.
+def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.03, how: str = "left", salts: int = 64) -> DataFrame:
+    """Join a skewed table with a dimension; same rows as the plain join.
 
-    Rows of heavy keys, and of the empty string, meet a broadcast of those keys' dimension rows; rows of other
-    keys are joined by shuffle; rows with a null key match nothing and skip the shuffle. how is "left" or "inner". A column of
-    right whose name left has too is renamed with the suffix _2. Empty tables give the plain join's result.
+    Rows of heavy keys, and of the empty string, meet those keys' dimension rows by a broadcast while these are at most
+    HOT_ROWS, as they are with a row a key; otherwise they are spread over salts and the dimension rows repeated for each. Rows
+    of other keys are joined by shuffle; rows with a null key match nothing and skip the shuffle. how is "left" or "inner". The key may be of
+    any simple type, the same on both sides. A column of right whose name left has too is renamed with the suffix _2.
+    Empty tables give the plain join's result.
     """
+    kind = left.schema[key].dataType
+    if kind != right.schema[key].dataType:
+        raise TypeError(f"{key} is {kind.simpleString()} on the left and {right.schema[key].dataType.simpleString()} on the right")
     taken = set(left.columns)
     right = right.withColumnsRenamed({c: f"{c}_2" for c in right.columns if c != key and c in taken})
     hot = [r["value"] for r in heavy_hitters(left, [key], share).select("value").collect()]  # at most 1 / share rows
-    is_hot, blank = F.col(key).isin(["", *hot]), F.col(key).isNull()
-    heavy = left.filter(is_hot & ~blank).join(F.broadcast(right.filter(is_hot)), key, how)
+    is_hot, blank = F.col(key).cast("string").isin(["", *hot]), F.col(key).isNull()
+    few, many = right.filter(is_hot), left.filter(is_hot & ~blank)
+    if small_enough(few, HOT_ROWS):
+        heavy = many.join(F.broadcast(few), key, how)
+    else:
+        spread = many.withColumn("__salt", (F.rand() * salts).cast("int"))
+        heavy = spread.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, "__salt"], how).drop("__salt")
     light = left.filter(~is_hot & ~blank).join(right.filter(~is_hot), key, how)
     out = heavy.unionByName(light)
     if how == "left":

@@ -1,6 +1,8 @@
+import datetime
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from fluxnest.operators import dedup, sessions, skew
@@ -125,3 +127,20 @@ def test_messages_of_a_later_batch(spark):
     assert sorted(r.rec_id for r in kept.collect()) == [1, 3] and seen.count() == 1
     kept, more = dedup.fresh_messages(later, seen)
     assert sorted(r.rec_id for r in kept.collect()) == [5, 7, 8] and more.count() == 1
+
+
+@pytest.mark.parametrize("kind,value", [("bigint", lambda i: i), ("date", lambda i: datetime.date(2020, 1, 1 + i)), ("string", lambda i: f"k{i}" if i else "")])
+@pytest.mark.parametrize("repeats", [1, 3])
+def test_skewed_join_of_any_key_type_and_repeated_keys(spark, monkeypatch, kind, value, repeats):
+    """The same rows as the plain join, by a broadcast or, beyond its bound, by salts."""
+    keys = [value(0 if i % 3 else i % 7) for i in range(120)] + [None] * 5
+    left = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], f"i int, k {kind}")
+    right = spark.createDataFrame([(value(j), j, n) for j in range(5) for n in range(repeats)], f"k {kind}, i int, n int")
+    for rows in (10_000, 0):
+        monkeypatch.setattr(skew, "HOT_ROWS", rows)
+        for how in ("left", "inner"):
+            got = skew.skew_join(left, right, "k", 0.1, how)
+            plain = left.join(right.withColumnRenamed("i", "i_2"), "k", how).select(*got.columns)
+            assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    with pytest.raises(TypeError):
+        skew.skew_join(left, right.withColumn("k", F.lit(1.5)), "k")
