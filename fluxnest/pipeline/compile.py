@@ -216,16 +216,16 @@ def _arith(t, v, s):
     zero = F.lit(0).cast(kind)
     if op in "/%":
         safe = F.nullif(y, zero)
-        out = F.call_function("div", x, safe) if op == "/" and whole else x / safe if op == "/" else x % safe
+        out = F.when((safe == -1) & (x == -(2**63)), F.lit(None)).otherwise(F.call_function("div", x, F.when((safe == -1) & (x == -(2**63)), 1).otherwise(safe))) if op == "/" and whole else x / safe if op == "/" else x % safe
         return one(F.when(y == zero, _fail("division by zero", kind)).otherwise(out), kind)
     if op == "+":
-        return one(F.coalesce(F.try_add(x, y) if whole else x + y, x, y), kind)
+        return one(F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.try_add(x, y) if whole else x + y), kind)
     return one({"-": F.try_subtract, "*": F.try_multiply}[op](x, y) if whole else {"-": x - y, "*": x * y}[op], kind)
 
 
 def _neg(t, v, s):
     x = _number(compile_tree(t[1], v, s).first())
-    return one(-(int_view(x) if x.is_int else float_view(x)), LONG if x.is_int else DOUBLE)
+    return one(F.try_subtract(F.lit(0).cast(LONG), int_view(x)), LONG) if x.is_int else one(-float_view(x), DOUBLE)
 
 
 def _reduce(t, v, s):
@@ -454,7 +454,7 @@ def _add(v):
     if x.is_string:
         out = F.array_join(real, "")
     elif x.is_int and not x.is_bool:
-        kind, out = LONG, F.aggregate(real, F.lit(0).cast("bigint"), lambda a, e: a + e.cast("bigint"))
+        kind, out = LONG, F.aggregate(real, F.lit(0).cast("bigint"), lambda a, e: F.try_add(a, e.cast("bigint")))
     elif x.is_float:
         kind, out = DOUBLE, F.aggregate(real, F.lit(0.0), lambda a, e: a + e.cast("double"))
     elif isinstance(kind, T.ArrayType):

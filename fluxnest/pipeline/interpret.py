@@ -1,7 +1,8 @@
 """Interpreter of pipelines over plain Python values.
 
 It defines what every construct means and runs, batch by batch, the programs that can't be typed before they run;
-all others are compiled to columns. Values are None, bool, int, float, str, list and dict.
+all others are compiled to columns. Values are None, bool, int, float, str, list and dict. Whole numbers have 64 bits: a
+result beyond them is null, as in columns.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import html
+import itertools
 import json
 import math
 import re
@@ -131,6 +133,11 @@ def contains(a, b) -> bool:
     return equal(a, b)
 
 
+def bounded(n: int) -> int | None:
+    """A whole number, or null where it has more than 64 bits."""
+    return n if -(2**63) <= n < 2**63 else None
+
+
 def _merge(a: dict, b: dict, deep: bool) -> dict:
     out = dict(a)
     for k, v in b.items():
@@ -155,9 +162,10 @@ def arith(op: str, a, b):
     if isinstance(a, int) and isinstance(b, int):
         a, b = int(a), int(b)
         if op == "/":
-            return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+            return bounded(abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1))
         if op == "%":
             return abs(a) % abs(b) * (1 if a >= 0 else -1)
+        return bounded({"+": a + b, "-": a - b, "*": a * b}[op])
     return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "%": lambda: math.fmod(a, b)}[op]()
 
 
@@ -248,7 +256,8 @@ def _add(v):
         return [y for x in real if isinstance(x, list) for y in x]
     if isinstance(real[0], dict):
         return functools.reduce(lambda a, b: _merge(a, b, False), (x for x in real if isinstance(x, dict)))
-    return sum(x for x in real if isinstance(x, (int, float)))
+    total = sum(x for x in real if isinstance(x, (int, float)))
+    return bounded(total) if isinstance(total, int) else total
 
 
 def _tonumber(v):
@@ -593,7 +602,7 @@ def _neg(t, v, s):
     x = _first(t[1], v, s)
     if isinstance(x, bool) or not isinstance(x, (int, float)):
         raise PipeError(f"{type_name(x)} can't be negated")
-    return [-x]
+    return [bounded(-x) if isinstance(x, int) else -x]
 
 
 def _cmp(t, v, s):
@@ -609,24 +618,41 @@ def _by(args, v, s, what: str) -> list[tuple]:
     return [(_first(args[0], x, s), x) for x in items(v, what)]
 
 
-def _loop(name, args, v, s) -> list:
-    out = []
+def _rounds(name, args, v, s):
+    """The values of while, until and repeat, one at a time; more than LOOPS rounds are an error, never a cut-off."""
     for _ in range(LOOPS):
         if name == "while" and not _any(args[0], v, s):
-            return out
+            return
         if name == "until" and _any(args[0], v, s):
-            return [v]
+            yield v
+            return
         if name != "until":
-            out.append(v)
+            yield v
         step = run(args[-1], v, s)
         if not step:
-            return out
+            return
         v = step[0]
-    if name == "repeat":
-        return out
     raise PipeError(f"{name}: more than {LOOPS} rounds")
 
 
+def _lazy(t: tuple, v, s: Scope):
+    """The outputs of a tree one at a time, so that limit and first may stop a repeat."""
+    if t[0] == "pipe":
+        for x in _lazy(t[1], v, s):
+            yield from _lazy(t[2], x, s)
+    elif t[0] == "comma":
+        for e in t[1]:
+            yield from _lazy(e, v, s)
+    elif t[0] == "call" and t[1] in ("while", "until", "repeat") and (t[1], len(t[2])) not in s.funcs:
+        yield from _rounds(t[1], t[2], v, s)
+    else:
+        yield from run(t, v, s)
+
+
+def _limit(args, v, s) -> list:
+    return list(itertools.islice(_lazy(args[1], v, s), max(0, _first(args[0], v, s))))
+
+
 def _recurse(args, v, s) -> list:
     """Every value, parents first. A record ends by itself; recurse(f) is an error once a chain has more than LOOPS values."""
     out, todo = [], [iter((v,))]
@@ -731,8 +757,8 @@ _STREAM: dict[str, Callable] = {
     "max_by": lambda a, v, s: _min_by(a, v, s, 1, "max_by"),
     "any": lambda a, v, s: [any(_any(a[0], x, s) for x in items(v, "any"))],
     "all": lambda a, v, s: [all(_any(a[0], x, s) for x in items(v, "all"))],
-    "limit": lambda a, v, s: run(a[1], v, s)[: max(0, _first(a[0], v, s))],
-    "first": lambda a, v, s: run(a[0], v, s)[:1],
+    "limit": _limit,
+    "first": lambda a, v, s: list(itertools.islice(_lazy(a[0], v, s), 1)),
     "last": lambda a, v, s: run(a[0], v, s)[-1:],
     "scan": _scan,
     "splits": _splits,
@@ -740,9 +766,9 @@ _STREAM: dict[str, Callable] = {
     "paths": lambda a, v, s: [p for p, x in [*walk_paths(v, []), ([], v)] if _safe(a[0], x, s)],
     "path": _path_of,
     "recurse": _recurse,
-    "while": lambda a, v, s: _loop("while", a, v, s),
-    "until": lambda a, v, s: _loop("until", a, v, s),
-    "repeat": lambda a, v, s: _loop("repeat", a, v, s),
+    "while": lambda a, v, s: list(_rounds("while", a, v, s)),
+    "until": lambda a, v, s: list(_rounds("until", a, v, s)),
+    "repeat": lambda a, v, s: list(_rounds("repeat", a, v, s)),
 }
 
 
