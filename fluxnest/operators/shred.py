@@ -1,18 +1,20 @@
 """Structural-variant tables: nested records become flat tables that keep their parent links.
 
-A bottom-up tree automaton runs over each record. Its states are *dead* (holds no simple
-value at any depth) and, for every object that is an entity, the name of the variant whose
-required children are all live. The same rules compile to Spark columns for typed structs
-and to a Python evaluator for JSON text, so both kinds of source meet in the same tables.
+A bottom-up tree automaton runs over each record. A node's state follows from its children's states: *dead* (holds no
+simple value at any depth), *live*, and for every object that is an entity the name of its variant, whose rule asks of some
+children that they are live or in a state of their own (a device is located if its geo is a point). The same rules
+compile to Spark columns for typed structs and to a Python evaluator for JSON text, which opens and settles each node once,
+so both kinds of source meet in the same tables.
 
 Every output row carries the supertype keys (record key, entity, variant, place) and the place
 begins with the parent's place, which is the parent link. Dead objects give no row but keep their
-index. A null record, an empty list and an empty text give no rows.
+index. A null record, an empty list and an empty text give no rows. Neither the depth nor the size of a record is bounded.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -25,7 +27,10 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class Entity:
-    """An object kind. path is dotted and relative to the parent entity (or the record); variants are tried in order."""
+    """An object kind. path is dotted and relative to the parent entity (or the record).
+
+    Variants are tried in order; each asks for children by name that aren't dead, or, as "child=state", in that state.
+    """
 
     name: str
     path: str
@@ -49,6 +54,10 @@ class RecordSpec:
             e = self[e.parent] if e.parent else None
         return out
 
+    def child(self, owner: str, path: str) -> Entity | None:
+        """The entity that lies at a path within another one."""
+        return next((e for e in self.entities if e.parent == owner and e.path == path), None)
+
     @property
     def roots(self) -> frozenset[str]:
         """Field names by which a message is recognised inside an outer object or list."""
@@ -58,7 +67,7 @@ class RecordSpec:
 BID_REQUEST = RecordSpec((
     Entity("imp", "imp", True, None, (("imp_av", ("banner", "video")), ("imp_video", ("video",)), ("imp_banner", ("banner",)), ("imp_bare", ()))),
     Entity("deal", "pmp.deals", True, "imp", (("deal_seated", ("wseat",)), ("deal_open", ()))),
-    Entity("device", "device", False, None, (("device_located", ("geo",)), ("device_bare", ()))),
+    Entity("device", "device", False, None, (("device_located", ("geo=geo_point",)), ("device_placed", ("geo",)), ("device_bare", ()))),
     Entity("geo", "geo", False, "device", (("geo_point", ("lat", "lon")), ("geo_place", ()))),
     Entity("user", "user", False, None, (("user_profiled", ("ext",)), ("user_bare", ()))),
     Entity("demographic", "ext.demographic", False, "user", (("demographic", ()),)),
@@ -79,13 +88,25 @@ def live(value: Column, kind: T.DataType) -> Column:
     return value.isNotNull()
 
 
-def state(value: Column, kind: T.StructType, entity: Entity) -> Column:
+def state(value: Column, kind: T.StructType, entity: Entity, spec: RecordSpec) -> Column:
     """The automaton's state of an entity: its variant, or null where the object is dead."""
+
+    def meets(need: str) -> Column | None:
+        name, _, wanted = need.partition("=")
+        if name not in kind.fieldNames():
+            return None
+        child = spec.child(entity.name, name)
+        if not wanted:
+            return live(value[name], kind[name].dataType)
+        if child is None:
+            raise ValueError(f"{name} has no states of its own")
+        return F.coalesce(state(value[name], kind[name].dataType, child, spec) == wanted, F.lit(False))
+
     out = F.lit(None).cast("string")
-    for variant, children in reversed(entity.variants):
-        present = [live(value[c], kind[c].dataType) for c in children if c in kind.fieldNames()]
-        if len(present) == len(children):
-            out = F.when(reduce(lambda a, b: a & b, present), F.lit(variant)).otherwise(out) if present else F.lit(variant)
+    for variant, needs in reversed(entity.variants):
+        met = [m for n in needs if (m := meets(n)) is not None]
+        if len(met) == len(needs):
+            out = F.when(reduce(lambda a, b: a & b, met), F.lit(variant)).otherwise(out) if met else F.lit(variant)
     return F.when(live(value, kind), out)
 
 
@@ -111,7 +132,7 @@ def places(record: Column, kind: T.StructType, spec: RecordSpec, name: str, keep
         if more:
             return walk(value, kind, more, place)
         at = F.array(*(p.cast("bigint") for p in place)) if place else F.array().cast("array<bigint>")
-        cols = [at.alias("place"), state(value, kind, e).alias("variant"), *([value.alias("obj")] if keep else [])]
+        cols = [at.alias("place"), state(value, kind, e, spec).alias("variant"), *([value.alias("obj")] if keep else [])]
         return F.array(F.struct(*cols))
 
     return F.filter(walk(record, kind, chain, []), lambda x: x["variant"].isNotNull())
@@ -134,6 +155,22 @@ def entity_table(df: DataFrame, record: str, spec: RecordSpec, name: str, keys:
     return df.select(*keys, F.explode(places(F.col(record), kind, spec, name, keep=True)).alias("__row")).select(*keys, "__row.variant", "__row.place", "__row.obj")
 
 
+def shred_objects(df: DataFrame, record: str, spec: RecordSpec, keys: list[str]) -> DataFrame:
+    """All entities of a typed record column with their objects, in one pass: keys, entity, variant, place and a column an entity, null but for the row's own.
+
+    No key may have an entity's name.
+    """
+    kind = df.schema[record].dataType
+    kinds = {e.name: entity_kind(kind, spec, e.name) for e in spec.entities}
+
+    def tagged(name: str) -> Column:
+        own = lambda x: [(x["obj"] if e == name else F.lit(None).cast(k)).alias(e) for e, k in kinds.items()]
+        return F.transform(places(F.col(record), kind, spec, name, keep=True), lambda x: F.struct(F.lit(name).alias("entity"), x["variant"].alias("variant"), x["place"].alias("place"), *own(x)))
+
+    rows = df.select(*keys, F.explode(F.concat(*map(tagged, kinds))).alias("__row"))
+    return rows.select(*keys, *(f"__row.{c}" for c in ("entity", "variant", "place", *kinds)))
+
+
 def entity_kind(kind: T.StructType, spec: RecordSpec, name: str) -> T.StructType:
     """The type of an entity's objects within the record's type."""
     for e in spec.chain(name):
@@ -156,14 +193,17 @@ def dead_children(entity: Entity, variant: str, kind: T.StructType) -> list[str]
     return out
 
 
-def route(table: DataFrame, entity: Entity) -> dict[str, DataFrame]:
-    """The entity's subtype tables, one for each variant; all keep the supertype's columns, obj has the variant's own fields."""
-    kind = table.schema["obj"].dataType
+def route(objects: DataFrame, entity: Entity, keys: list[str]) -> dict[str, DataFrame]:
+    """The entity's subtype tables, one for each variant, from a table of shred_objects' columns: keys, variant, place and obj with the variant's own fields.
+
+    Where the table lies in folders by entity and variant, each subtype table reads its own folder and its own column only.
+    """
+    kind = objects.schema[entity.name].dataType
     out = {}
     for variant, _ in entity.variants:
         dead = dead_children(entity, variant, kind)
-        rows = table.filter(F.col("variant") == variant)
-        out[variant] = rows.withColumn("obj", F.col("obj").dropFields(*dead)) if dead else rows
+        obj = F.col(entity.name).dropFields(*dead) if dead else F.col(entity.name)
+        out[variant] = objects.filter((F.col("entity") == entity.name) & (F.col("variant") == variant)).select(*keys, "variant", "place", obj.alias("obj"))
     return out
 
 
@@ -174,6 +214,64 @@ def _refuse(word: str):
     raise ValueError(word)
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\]|\\.)*")|([-+.\w]+))', re.DOTALL)
+_END = re.compile(r"[ \t\n\r]*")
+
+
+def _deep_loads(text: str):
+    """json.loads with a stack of its own, for texts nested deeper than the library goes."""
+    top: list = []
+    stack: list = [top]
+    keys: list[str | None] = [None]
+    at, due = 0, "value"  # what may come: value, first (a value or an end), key, firstkey, colon, comma
+    while stack[-1] is not top or not top:
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        at = m.end()
+        mark, quoted, word = m.groups()
+        holder = stack[-1]
+        if mark and mark in "}]":
+            if len(stack) == 1 or isinstance(holder, dict) != (mark == "}") or due not in ("comma", "first" if mark == "]" else "firstkey"):
+                raise ValueError(f"unexpected {mark} at {at}")
+            stack.pop(), keys.pop()
+            due = "comma"
+        elif mark == ",":
+            if due != "comma" or len(stack) == 1:
+                raise ValueError(f"unexpected , at {at}")
+            due = "key" if isinstance(holder, dict) else "value"
+        elif mark == ":":
+            if due != "colon":
+                raise ValueError(f"unexpected : at {at}")
+            due = "value"
+        elif due in ("key", "firstkey"):
+            if not quoted:
+                raise ValueError(f"no key at {at}")
+            keys[-1], due = json.loads(quoted), "colon"
+        elif due in ("value", "first"):
+            new = {"{": dict, "[": list}[mark]() if mark else json.loads(quoted or word, parse_constant=_refuse)
+            if isinstance(holder, dict):
+                holder[keys[-1]] = new
+            else:
+                holder.append(new)
+            due = "comma"
+            if mark:
+                stack.append(new), keys.append(None)
+                due = "firstkey" if mark == "{" else "first"
+        else:
+            raise ValueError(f"unexpected text at {at}")
+    if _END.match(text, at).end() != len(text):
+        raise ValueError("text after the value")
+    return top[0]
+
+
+def _loads(text: str):
+    try:
+        return json.loads(text, parse_constant=_refuse)
+    except RecursionError:
+        return _deep_loads(text)
+
+
 def _decode(value):
     """What a value spells: JSON inside strings is opened as long as it spells an object or a list."""
     while isinstance(value, str):
@@ -181,8 +279,8 @@ def _decode(value):
         if text[:1] not in ("{", "[", '"'):
             return value
         try:
-            inner = json.loads(text, parse_constant=_refuse)
-        except (ValueError, RecursionError):
+            inner = _loads(text)
+        except ValueError:
             return value
         if not isinstance(inner, (dict, list, str)):
             return value
@@ -195,36 +293,56 @@ def parse_payload(payload: str | None):
     if payload is None:
         return None
     try:
-        return _decode(json.loads(payload.strip("﻿ \t\r\n"), parse_constant=_refuse))
-    except (ValueError, RecursionError):
+        return _decode(_loads(payload.strip("﻿ \t\r\n")))
+    except ValueError:
         return None
 
 
-def json_live(value) -> bool:
-    todo = [value]
-    while todo:
-        v = todo.pop()
-        if isinstance(v, str):
-            v = _decode(v)
-        if isinstance(v, dict):
-            todo.extend(v.values())
-        elif isinstance(v, list):
-            todo.extend(v)
-        elif v is not None:
-            return True
-    return False
+class Settled:
+    """A JSON value whose strings are opened and whose nodes' states are known, all once and from the leaves up."""
+
+    def __init__(self, value):
+        self.value = value = _decode(value)
+        order, todo = [], [value] if isinstance(value, (dict, list)) else []
+        while todo:
+            v = todo.pop()
+            order.append(v)
+            for k, x in list(v.items()) if isinstance(v, dict) else list(enumerate(v)):
+                if isinstance(x, str) and (opened := _decode(x)) is not x:
+                    v[k] = x = opened
+                if isinstance(x, (dict, list)):
+                    todo.append(x)
+        self._live: dict[int, bool] = {}
+        for v in reversed(order):  # children come after their parents
+            self._live[id(v)] = any(map(self.live, v.values() if isinstance(v, dict) else v))
+
+    def live(self, x) -> bool:
+        return self._live[id(x)] if isinstance(x, (dict, list)) else x is not None
+
+    def state(self, value: dict, entity: Entity, spec: RecordSpec) -> str | None:
+        """The automaton's state of an entity's object: its variant, or None where it is dead."""
+        if not self.live(value):
+            return None
+
+        def meets(need: str) -> bool:
+            name, _, wanted = need.partition("=")
+            x = value.get(name)
+            if not wanted:
+                return self.live(x)
+            obj = _object(x)
+            return obj is not None and self.state(obj, spec.child(entity.name, name), spec) == wanted
+
+        return next((variant for variant, needs in entity.variants if all(map(meets, needs))), None)
 
 
 def _object(value) -> dict | None:
-    value = _decode(value)
     if isinstance(value, list) and len(value) == 1:
-        value = _decode(value[0])
+        value = value[0]
     return value if isinstance(value, dict) else None
 
 
 def _elements(value) -> list[tuple[int, object]]:
     """The places of a list, however it is written: a list, a single object, or an object keyed by whole numbers."""
-    value = _decode(value)
     if isinstance(value, list):
         return list(enumerate(value))
     if isinstance(value, dict):
@@ -239,26 +357,21 @@ def find_message(value, roots: frozenset[str]) -> dict | None:
     level = [value]
     while level:
         deeper = []
-        for v in map(_decode, level):
+        for v in level:
             if isinstance(v, dict):
                 if roots & v.keys():
                     return v
                 deeper.extend(v.values())
             elif isinstance(v, list):
                 deeper.extend(v)
-        level = [x for x in deeper if isinstance(x, (dict, list, str))]
+        level = [x for x in deeper if isinstance(x, (dict, list))]
     return None
 
 
-def json_state(value: dict, entity: Entity) -> str | None:
-    if not json_live(value):
-        return None
-    return next((variant for variant, children in entity.variants if all(json_live(value.get(c)) for c in children)), None)
-
-
 def json_entities(payload: str | None, spec: RecordSpec) -> Iterator[tuple[str, str, list[int], dict]]:
     """(entity, variant, place, object) of every live entity of a payload."""
-    message = find_message(parse_payload(payload), spec.roots)
+    settled = Settled(parse_payload(payload))
+    message = find_message(settled.value, spec.roots)
     if message is None:
         return
 
@@ -276,7 +389,7 @@ def json_entities(payload: str | None, spec: RecordSpec) -> Iterator[tuple[str,
                 if obj is None:
                     continue
                 at = [*place, i] if e.repeated else place
-                variant = json_state(obj, e)
+                variant = settled.state(obj, e, spec)
                 if variant:
                     yield e.name, variant, at, obj
                     yield from walk(obj, e.name, at)
@@ -291,7 +404,7 @@ def _coerce(value, kind: T.DataType):
         return None if obj is None else {f.name: _coerce(obj.get(f.name), f.dataType) for f in kind.fields}
     if isinstance(kind, T.ArrayType):
         items = _elements(value)
-        return [_coerce(x, kind.elementType) for _, x in items] if items or isinstance(_decode(value), list) else None
+        return [_coerce(x, kind.elementType) for _, x in items] if items or isinstance(value, list) else None
     if value is None or isinstance(value, (dict, list)):
         return None
     if isinstance(kind, T.StringType):
@@ -331,7 +444,8 @@ def shred_json(df: DataFrame, payload: str, spec: RecordSpec, key: str, objects:
     return df.select(key, payload).mapInArrow(run, schema)
 
 
-def json_entity_table(df: DataFrame, payload: str, spec: RecordSpec, name: str, key: str, kind: T.StructType) -> DataFrame:
-    """The same typed table as entity_table, from JSON text."""
-    rows = shred_json(df, payload, spec, key, {name: kind})
-    return rows.select(key, "variant", "place", F.from_json("obj_json", kind).alias("obj"))
+def shred_json_objects(df: DataFrame, payload: str, spec: RecordSpec, key: str, kinds: dict[str, T.StructType]) -> DataFrame:
+    """The same rows as shred_objects, from JSON text: each payload is parsed once for all entities."""
+    rows = shred_json(df, payload, spec, key, kinds)
+    own = [F.from_json(F.when(F.col("entity") == name, F.col("obj_json")), kind).alias(name) for name, kind in kinds.items()]
+    return rows.select(key, "entity", "variant", "place", *own)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,38 +32,71 @@ def p1_variants(spark: SparkSession, d: str) -> DataFrame:
     return _entities(spark, d).groupBy("entity", "variant").agg(F.count(F.lit(1)).alias("n"))
 
 
-def p1_imp_table(spark: SparkSession, d: str) -> DataFrame:
-    """The typed table of impressions of bid_requests."""
-    t = shred.entity_table(table(spark, d, "bid_requests"), "msg", shred.BID_REQUEST, "imp", ["rec_id"])
-    return t.select("rec_id", F.get("place", F.lit(0)).cast("bigint").alias("imp_index"), "variant", F.col("obj.id").alias("imp_id"), F.col("obj.exp").alias("exp"), F.col("obj.bidfloorcur").alias("bidfloorcur"), F.col("obj.video.minduration").alias("minduration"))
-
-
-def p1_deal_table(spark: SparkSession, d: str) -> DataFrame:
-    """The typed table of deals, from both sources, with the link to the impression."""
-    bids = table(spark, d, "bid_requests")
-    kind = bids.schema["msg"].dataType["imp"].dataType.elementType["pmp"].dataType["deals"].dataType.elementType
-    typed = shred.entity_table(bids, "msg", shred.BID_REQUEST, "deal", ["rec_id"])
-    text = shred.json_entity_table(table(spark, d, "raw_requests"), "payload", shred.BID_REQUEST, "deal", "rec_id", kind)
-    t = typed.unionByName(text)
-    at = lambda i: F.get("place", F.lit(i)).cast("bigint")
-    return t.select("rec_id", at(0).alias("imp_index"), at(1).alias("deal_index"), "variant", F.col("obj.id").alias("deal_id"), F.col("obj.at").alias("at"), geo.decimal_value(F.col("obj.bidfloor")).alias("bidfloor"), F.size(F.coalesce("obj.wseat", F.array())).alias("n_seats"))
+def _objects(spark: SparkSession, d: str) -> DataFrame:
+    """Every object of both sources, each source read once, in folders by entity and variant."""
+    spec, bids = shred.BID_REQUEST, table(spark, d, "bid_requests")
+    kinds = {e.name: shred.entity_kind(bids.schema["msg"].dataType, spec, e.name) for e in spec.entities}
+    typed = shred.shred_objects(bids, "msg", spec, ["rec_id"])
+    return materialise(typed.unionByName(shred.shred_json_objects(table(spark, d, "raw_requests"), "payload", spec, "rec_id", kinds)), "objects", by=("entity", "variant"))
 
 
 def p1_subtypes(spark: SparkSession, d: str) -> DataFrame:
     """The subtype tables of all variants of every entity, from both sources; obj is an object's own fields as JSON, nulls included."""
-    spec, bids = shred.BID_REQUEST, table(spark, d, "bid_requests")
-    kinds = {e.name: shred.entity_kind(bids.schema["msg"].dataType, spec, e.name) for e in spec.entities}
-    text = materialise(shred.shred_json(table(spark, d, "raw_requests"), "payload", spec, "rec_id", kinds), "objects")
-    at = lambda i: F.coalesce(F.get("place", F.lit(i)), F.lit(-1)).cast("bigint")
-    parts = []
-    for e in spec.entities:
-        read = text.filter(F.col("entity") == e.name).select("rec_id", "variant", "place", F.from_json("obj_json", kinds[e.name]).alias("obj"))
-        both = materialise(shred.entity_table(bids, "msg", spec, e.name, ["rec_id"]).unionByName(read), e.name)
-        for t in shred.route(both, e).values():
-            parts.append(t.select("rec_id", F.lit(e.name).alias("entity"), "variant", at(0).alias("imp_index"), at(1).alias("deal_index"), F.to_json("obj", {"ignoreNullFields": "false"}).alias("obj")))
+    objects, parts = _objects(spark, d), []
+    for e in shred.BID_REQUEST.entities:
+        for t in shred.route(objects, e, ["rec_id"]).values():
+            parts.append(t.select("rec_id", F.lit(e.name).alias("entity"), "variant", *_links("imp_index", "deal_index"), F.to_json("obj", {"ignoreNullFields": "false"}).alias("obj")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _links(*names: str) -> list:
+    """The places that tie an object to its parents; -1 where one doesn't apply."""
+    return [F.coalesce(F.get("place", F.lit(i)), F.lit(-1)).cast("bigint").alias(n) for i, n in enumerate(names)]
+
+
+def _fields(entity: str) -> list:
+    """What the typed tables show of an object, after its keys."""
+    obj = lambda *names: [F.col(f"obj.{n}") for n in names]
+    value = lambda n: geo.decimal_value(F.col(f"obj.{n}")).alias(n)
+    return {
+        "imp": lambda: [F.col("obj.id").alias("imp_id"), *obj("exp", "bidfloorcur"), F.col("obj.video.minduration").alias("minduration")],
+        "deal": lambda: [F.col("obj.id").alias("deal_id"), *obj("at"), value("bidfloor"), F.size(F.coalesce("obj.wseat", F.array())).alias("n_seats")],
+        "device": lambda: obj("ifa", "ua", "ip", "w", "h"),
+        "geo": lambda: [value("lat"), value("lon"), *obj("type", "country", "region", "city", "dma", "utcoffset")],
+        "user": lambda: [F.col("obj.id").alias("user_id")],
+        "demographic": lambda: [value("total")],
+    }[entity]()
+
+
+_PLACES = {"imp": ("imp_index",), "deal": ("imp_index", "deal_index")}
+
+
+def _typed_table(entity: str) -> Callable[[SparkSession, str], DataFrame]:
+    """One entity's table from bid_requests alone, which SQL can check."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = shred.entity_table(table(spark, d, "bid_requests"), "msg", shred.BID_REQUEST, entity, ["rec_id"])
+        return t.select("rec_id", *_links(*_PLACES.get(entity, ())), "variant", *_fields(entity))
+
+    return run
+
+
+def _whole_table(entity: str) -> Callable[[SparkSession, str], DataFrame]:
+    """One entity's table from both sources: its subtype tables united again by their common columns."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        t = _objects(spark, d).filter(F.col("entity") == entity).select("rec_id", "variant", "place", F.col(entity).alias("obj"))
+        return t.select("rec_id", *_links(*_PLACES.get(entity, ())), "variant", *_fields(entity))
+
+    return run
+
+
+def p1_bid_variants(spark: SparkSession, d: str) -> DataFrame:
+    """How many objects of bid_requests each structural variant has."""
+    typed = shred.shred(table(spark, d, "bid_requests"), "msg", shred.BID_REQUEST, ["rec_id"])
+    return typed.groupBy("entity", "variant").agg(F.count(F.lit(1)).alias("n"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     points = geo.usable_points(table(spark, d, "geo_points"), "geo_id")
     near = geo.near_pairs(points, NEAR_M).select(F.lit("near").alias("kind"), "a_id", "b_id")
@@ -113,7 +147,11 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return log.join(dedup.redelivered(log), "rec_id", "left_anti").select("rec_id", "batch_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_imp_table, p1_deal_table, p1_subtypes, p2_found, p3_found, p3_site_totals, p3_country_totals, p3_publisher_rows, p4_found, p4_sessions, p6_found, p6_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_bid_variants, p1_subtypes, p2_found, p3_found, p3_site_totals, p3_country_totals, p3_publisher_rows, p4_found, p4_sessions, p6_found, p6_kept)}
+
+for _entity in ("imp", "deal", "device", "geo", "user", "demographic"):
+    QUERIES[f"p1_bid_{_entity}"] = _typed_table(_entity)
+    QUERIES[f"p1_{_entity}_table"] = _whole_table(_entity)
 
 _SESSIONS = """
 WITH e AS (
@@ -143,8 +181,20 @@ _BANNER = f"({_SOME.format(l='x.banner.mimes')} OR x.banner.w IS NOT NULL OR x.b
 _VIDEO = f"({_SOME.format(l='x.video.mimes')} OR {_SOME.format(l='x.video.protocols')} OR x.video.w IS NOT NULL OR x.video.h IS NOT NULL OR x.video.minduration IS NOT NULL OR x.video.maxduration IS NOT NULL)"
 _DEAL = "d.id IS NOT NULL OR d.bidfloor.units IS NOT NULL OR d.bidfloor.nanos IS NOT NULL OR d.at IS NOT NULL OR len(list_filter(coalesce(d.wseat, []), lambda y: y IS NOT NULL)) > 0 OR d.bidfloorcur IS NOT NULL OR d.ext.adspottype IS NOT NULL OR d.ext.guaranteed IS NOT NULL OR d.ext.must_bid IS NOT NULL"
 _PMP = f"(x.pmp.private_auction IS NOT NULL OR len(list_filter(coalesce(x.pmp.deals, []), lambda d: {_DEAL})) > 0)"
+_LAT, _LON = "(g.lat.units IS NOT NULL OR g.lat.nanos IS NOT NULL)", "(g.lon.units IS NOT NULL OR g.lon.nanos IS NOT NULL)"
+_GEO = f"({_LAT} OR {_LON} OR g.type IS NOT NULL OR g.country IS NOT NULL OR g.region IS NOT NULL OR g.city IS NOT NULL OR g.dma IS NOT NULL OR g.utcoffset IS NOT NULL)"
+_DEMOGRAPHIC = "(u.ext.demographic.total.units IS NOT NULL OR u.ext.demographic.total.nanos IS NOT NULL)"
+_BIDS = {
+    "imp": f"SELECT rec_id, i AS imp_index, CASE WHEN {_BANNER} AND {_VIDEO} THEN 'imp_av' WHEN {_VIDEO} THEN 'imp_video' WHEN {_BANNER} THEN 'imp_banner' ELSE 'imp_bare' END AS variant, x.id AS imp_id, x.exp AS exp, x.bidfloorcur AS bidfloorcur, x.video.minduration AS minduration FROM ({_BID_IMPS}) WHERE {_LIVE.format(pmp=_PMP, banner=_BANNER, video=_VIDEO)}",
+    "deal": f"SELECT rec_id, imp_index, deal_index, CASE WHEN {_SOME.format(l='d.wseat')} THEN 'deal_seated' ELSE 'deal_open' END AS variant, d.id AS deal_id, d.at AS at, d.bidfloor.units + d.bidfloor.nanos / 1e9 AS bidfloor, CAST(len(coalesce(d.wseat, [])) AS INTEGER) AS n_seats FROM (SELECT rec_id, i AS imp_index, unnest(x.pmp.deals) AS d, generate_subscripts(x.pmp.deals, 1) - 1 AS deal_index FROM ({_BID_IMPS})) WHERE {_DEAL}",
+    "device": f"SELECT rec_id, CASE WHEN {_LAT} AND {_LON} THEN 'device_located' WHEN {_GEO} THEN 'device_placed' ELSE 'device_bare' END AS variant, v.ifa AS ifa, v.ua AS ua, v.ip AS ip, v.w AS w, v.h AS h FROM (SELECT rec_id, msg.device AS v, msg.device.geo AS g FROM bid_requests) WHERE v.ifa IS NOT NULL OR v.ua IS NOT NULL OR v.ip IS NOT NULL OR v.w IS NOT NULL OR v.h IS NOT NULL OR {_GEO}",
+    "geo": f"SELECT rec_id, CASE WHEN {_LAT} AND {_LON} THEN 'geo_point' ELSE 'geo_place' END AS variant, g.lat.units + g.lat.nanos / 1e9 AS lat, g.lon.units + g.lon.nanos / 1e9 AS lon, g.type AS type, g.country AS country, g.region AS region, g.city AS city, g.dma AS dma, g.utcoffset AS utcoffset FROM (SELECT rec_id, msg.device.geo AS g FROM bid_requests) WHERE {_GEO}",
+    "user": f"SELECT rec_id, CASE WHEN {_DEMOGRAPHIC} THEN 'user_profiled' ELSE 'user_bare' END AS variant, u.id AS user_id FROM (SELECT rec_id, msg.user AS u FROM bid_requests) WHERE u.id IS NOT NULL OR {_DEMOGRAPHIC}",
+    "demographic": f"SELECT rec_id, 'demographic' AS variant, u.ext.demographic.total.units + u.ext.demographic.total.nanos / 1e9 AS total FROM (SELECT rec_id, msg.user AS u FROM bid_requests) WHERE {_DEMOGRAPHIC}",
+}
 ORACLES = {
-    "p1_imp_table": f"SELECT rec_id, i AS imp_index, CASE WHEN {_BANNER} AND {_VIDEO} THEN 'imp_av' WHEN {_VIDEO} THEN 'imp_video' WHEN {_BANNER} THEN 'imp_banner' ELSE 'imp_bare' END AS variant, x.id AS imp_id, x.exp AS exp, x.bidfloorcur AS bidfloorcur, x.video.minduration AS minduration FROM ({_BID_IMPS}) WHERE {_LIVE.format(pmp=_PMP, banner=_BANNER, video=_VIDEO)}",
+    **{f"p1_bid_{e}": sql for e, sql in _BIDS.items()},
+    "p1_bid_variants": " UNION ALL ".join(f"SELECT '{e}' AS entity, variant, count(*) AS n FROM ({sql}) GROUP BY variant" for e, sql in _BIDS.items()),
     "p2_found": """
 WITH p AS (
   SELECT geo_id, lat.units + lat.nanos / 1e9 AS a, lon.units + lon.nanos / 1e9 AS o FROM geo_points
