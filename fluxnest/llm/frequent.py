@@ -6,7 +6,7 @@ each half-byte symbol at each position of its members' code words. A value that
 shows as the heaviest symbol at every position; up to two wrong bytes are corrected. Decoded
 candidates are then counted exactly.
 
-Memory is fixed: repeats x groups x 24 x 16 counters a column, whatever the data. A missing frequent
+Memory is fixed: repeats x groups x 24 x 16 counters a column, whatever the data; tasks send them as narrow as they go. A missing frequent
 value would leave a group's total unexplained in every repeat; while that is so, the rows of those groups
 are sketched again with new hashes and twice the groups, so the result is complete.
 """
@@ -125,6 +125,17 @@ def still_open(fp: np.ndarray, rounds: list[tuple[int, int, list[set[int]]]]) ->
     return keep
 
 
+def pack(counts: np.ndarray) -> bytes:
+    """A group's counters in the fewest bytes each that hold the largest, after a byte that says how many."""
+    top = int(counts.max())
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64).reshape(2 * WORD, 16)
+
+
 def _count(fields: list[str], groups: int, repeats: int, seed: int, only: "Only"):
     """Counters of one task; only limits the rows to those that the rounds before left open."""
 
@@ -161,7 +172,7 @@ def _count(fields: list[str], groups: int, repeats: int, seed: int, only: "Only"
             for rep in range(repeats):
                 some = np.flatnonzero(tables[f][rep, :, 0, :].any(axis=1))
                 if len(some):
-                    blobs = [tables[f][rep, g].tobytes() for g in some]
+                    blobs = [pack(tables[f][rep, g]) for g in some]
                     yield pa.RecordBatch.from_arrays([pa.array([f] * len(some)), pa.array([rep] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], schema=_SCHEMA)
 
     return run
@@ -189,9 +200,11 @@ def _decode_groups(least: float):
         sums: dict[tuple[str, int, int], np.ndarray] = {}
         for b in batches:
             for f, rep, g, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
-                counts = np.frombuffer(blob, np.int64).reshape(2 * WORD, 16)
-                key = (f, rep, g)
-                sums[key] = sums[key] + counts if key in sums else counts.copy()
+                counts, key = unpack(blob), (f, rep, g)
+                if key in sums:
+                    sums[key] += counts
+                else:
+                    sums[key] = counts
         rows = []
         for (f, rep, g), counts in sums.items():
             total = int(counts[0].sum())
@@ -213,6 +226,8 @@ def _decode_groups(least: float):
 def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = GROUPS, repeats: int = REPEATS, max_rounds: int = 8) -> DataFrame:
     """(field, item, n, n_upper): values of string columns found in at least share of all rows.
 
+    Two passes a round, one that sketches and one that counts the decoded values; the number of rows is the file footers'.
+
     n is exact, n_upper the sketch's count before the exact pass (never below n for a value's first sketch).
     Nulls and empty strings never count, though their rows count for the share. With fewer than 2 / share groups more
     rounds are needed. An empty table gives no rows; other columns are ignored.
@@ -228,6 +243,7 @@ def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = G
     only: Only = {}
     active, upper = list(fields), {}
     exact: dict[tuple[str, int], int] = {}
+    heavy: list[tuple[str, str, int, int]] = []
     for seed in range(max_rounds):
         counters = prints.select(*active).mapInArrow(_count(active, groups, repeats, seed, only), "field string, rep int, grp int, counts binary")
         # At most fields x repeats x groups x 2 rows, whatever the data.
@@ -240,8 +256,12 @@ def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = G
                 upper[r.field, r.fp] = min(upper.get((r.field, r.fp), r.low), r.low)
         if fresh:
             wanted = F.broadcast(spark.createDataFrame(fresh, "field string, fp bigint"))
-            for r in long.join(wanted, ["field", "fp"]).groupBy("field", "fp").agg(F.count(F.lit(1)).alias("n")).collect():
+            by_item = long.join(wanted, ["field", "fp"]).groupBy("field", "fp", "item").agg(F.count(F.lit(1)).alias("n"))
+            # Values that share a fingerprint are told apart here; of each fingerprint at most 1 / share are heavy.
+            of_print = by_item.groupBy("field", "fp").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") >= least, F.struct("item", "n"))).alias("heavy"))
+            for r in of_print.collect():
                 exact[r.field, r.fp] = r.n
+                heavy += [(r.field, x.item, x.n, upper[r.field, r.fp]) for x in r.heavy]
         still = []
         for f in active:
             opened: list[set[int]] = []
@@ -263,10 +283,4 @@ def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = G
             break
     else:
         raise ValueError(f"groups stayed unexplained after {max_rounds} rounds")
-    heavy = [(f, fp, n, upper[f, fp]) for (f, fp), n in exact.items() if n >= least]
-    if not heavy:
-        return spark.createDataFrame([], out)
-    # The exact pass by value: two values that share a fingerprint are told apart here.
-    wanted = F.broadcast(spark.createDataFrame([(f, fp, u) for f, fp, _, u in heavy], "field string, fp bigint, n_upper bigint"))
-    counted = long.join(wanted, ["field", "fp"]).groupBy("field", "item", "n_upper").agg(F.count(F.lit(1)).alias("n"))
-    return counted.filter(F.col("n") >= least).select("field", "item", "n", "n_upper")
+    return spark.createDataFrame(heavy, out)

@@ -16,12 +16,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hashes are the first 60 bits of MD5: even over [0, 2^60) and the same in any engine.
 HASH_RANGE = 2.0**60
 K = 1024
 #: Rows a block of the partial step; bounds its memory.
 BLOCK = 400_000
+#: Sketches of one group that a merging task reads at most, as long as there are fewer than FAN^2 scan tasks.
+FAN = 1024
+#: Sketches that a merging task holds at a time.
+SLICE = 1024
 
 
 def hash60(value: Column) -> Column:
@@ -94,25 +99,66 @@ def _partial(dims: list[str], fields: list[str], k: int, schema: pa.Schema):
     return run
 
 
+def _merging(keys: list[str], k: int, schema: pa.Schema):
+    """Merge of sketches that come sorted by keys: k hashes of the group at hand and one slice of rows are held, however many sketches a group has."""
+
+    def groups_of(t: pa.Table) -> np.ndarray:
+        """Where a row's keys differ from those of the row before."""
+        fresh = np.zeros(t.num_rows, bool)
+        for c in keys:
+            codes = t.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            fresh[1:] |= codes[1:] != codes[:-1]
+        return np.cumsum(fresh)
+
+    def fold(t: pa.Table) -> pa.Table:
+        """One row for each group of a sorted table."""
+        group, lists = groups_of(t), t.column("hashes").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        _, offsets, hashes = _smallest(np.repeat(group, sizes), lists.flatten().to_numpy(zero_copy_only=False), k)
+        at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        merged = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes, pa.int64()))
+        return t.take(pa.array(at)).set_column(t.schema.get_field_index("hashes"), "hashes", merged)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            for at in range(0, b.num_rows, SLICE):
+                t = pa.Table.from_batches([b.slice(at, SLICE)]).select(schema.names).cast(schema)
+                t = fold(t if held is None else pa.concat_tables([held, t]))
+                held = t.slice(t.num_rows - 1)
+                yield from t.slice(0, t.num_rows - 1).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return run
+
+
 def merge(sketches: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """Union of the sketches of equal keys: the k smallest hashes of all."""
-    every = F.flatten(F.collect_list("hashes"))
-    return sketches.groupBy(*keys).agg(F.slice(F.array_sort(F.array_distinct(every)), 1, k).alias("hashes"))
+    """(keys..., hashes): union of the sketches of equal keys, the k smallest hashes of all; sketches are never empty. Keys are strings or whole numbers.
+
+    One shuffle; a task holds k hashes and SLICE sketches whatever the size of a group.
+    """
+    rows = sketches.select(*keys, "hashes")
+    schema = pa.schema([*((c, pa.string() if isinstance(rows.schema[c].dataType, T.StringType) else pa.int64()) for c in keys), ("hashes", pa.list_(pa.int64()))])
+    kinds = [f"`{c}` {'string' if schema.field(c).type == pa.string() else 'bigint'}" for c in keys]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merging(keys, k, schema), ", ".join([*kinds, "hashes array<bigint>"]))
 
 
-def sketch_groups(df: DataFrame, dims: list[str], fields: list[str], k: int = K, fan: int = 32) -> DataFrame:
+def sketch_groups(df: DataFrame, dims: list[str], fields: list[str], k: int = K, fan: int = FAN, tasks: int | None = None) -> DataFrame:
     """(field, by, dims..., hashes): one sketch for each field, each combination of the string columns dims and each group.
 
     by names the combination; dims outside it are null. fields hold 60-bit hashes. Rows that lack a dimension of a
-    combination or the identifier take no part there. Each scan task keeps k hashes a group and block; they are merged
-    in two levels, so no task holds more than fan x k hashes of a group for each level.
+    combination or the identifier take no part there; an empty table has no groups. Each scan task keeps k hashes a group
+    and block. With more than fan scan tasks (or an unknown number) sketches are merged by group and task number mod fan
+    first, then by group, so that no task reads more than fan sketches of a group and level, nor holds more than merge does.
     """
     ddl = ", ".join(["field string", "by string", "part int", *(f"`{d}` string" for d in dims), "hashes array<bigint>"])
     schema = pa.schema([("field", pa.string()), ("by", pa.string()), ("part", pa.int32()), *((d, pa.string()) for d in dims), ("hashes", pa.list_(pa.int64()))])
     partial = df.select(*(F.col(d).cast("string") for d in dims), *fields).mapInArrow(_partial(dims, fields, k, schema), ddl)
     keys = ["field", "by", *dims]
-    level = merge(partial.withColumn("part", F.pmod("part", F.lit(fan))), [*keys, "part"], k)
-    return merge(level, keys, k)
+    if tasks is None or tasks > fan:
+        partial = merge(partial.withColumn("part", F.pmod("part", F.lit(fan))), [*keys, "part"], k)
+    return merge(partial, keys, k)
 
 
 def estimate(hashes: Column, k: int = K, z: float = 1.96) -> tuple[Column, Column, Column]:

@@ -11,6 +11,7 @@ from . import canonical, frequent, kmv, mixing, tokenise
 
 DIMS = ["day", "country", "site_id"]
 FREQUENT_SHARE = 0.005
+SMALL_K = 32
 
 
 def _hashed(spark: SparkSession, d: str) -> DataFrame:
@@ -22,22 +23,33 @@ def _hashed(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Estimated numbers of devices and users of each group, with 95 % bounds."""
-    sketches = kmv.sketch_groups(_hashed(spark, d), DIMS, ["ifa", "user_id"])
+    log = _hashed(spark, d)
+    sketches = kmv.sketch_groups(log, DIMS, ["ifa", "user_id"], tasks=log.rdd.getNumPartitions())  # a plain scan: nothing runs
     value, low, high = kmv.estimate(F.col("hashes"))
     return sketches.select("field", "by", *DIMS, F.round(value).cast("bigint").alias("n_distinct"), F.round(low).cast("bigint").alias("low"), F.round(high).cast("bigint").alias("high"))
 
 
-def p5_country_overlap(spark: SparkSession, d: str) -> DataFrame:
+def _overlap(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Devices seen in a country on a day and on the next: union, intersection and difference of sketches."""
-    days = kmv.sketch_groups(_hashed(spark, d).select("day", "country", "ifa"), ["day", "country"], ["ifa"]).filter("by = 'day,country'")
+    log = _hashed(spark, d).select("day", "country", "ifa")
+    days = kmv.sketch_groups(log, ["day", "country"], ["ifa"], k, tasks=log.rdd.getNumPartitions()).filter("by = 'day,country'")
     days = materialise(days.select("day", "country", "hashes"), "days")
     after = days.select(F.date_format(F.date_add(F.to_date("day"), -1), "yyyy-MM-dd").alias("day"), "country", F.col("hashes").alias("later"))
     both = days.join(after, ["day", "country"])
-    est = {kind: kmv.set_operation(F.col("hashes"), F.col("later"), kind) for kind in ("union", "intersection", "difference")}
+    est = {kind: kmv.set_operation(F.col("hashes"), F.col("later"), kind, k) for kind in ("union", "intersection", "difference")}
     cols = [F.round(c).cast("bigint").alias(f"{kind}_{n}") for kind, three in est.items() for n, c in zip(("n", "low", "high"), three)]
     return both.select("day", "country", *cols)
 
 
+def p5_country_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _overlap(spark, d, kmv.K)
+
+
+def p5_country_overlap_small(spark: SparkSession, d: str) -> DataFrame:
+    """The same with sketches of 32 hashes, which most groups exceed on any table: the estimates themselves."""
+    return _overlap(spark, d, SMALL_K)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent.heavy_values(table(spark, d, "request_log"), ["ua", "ip"], FREQUENT_SHARE).select("field", "item")
 
@@ -86,7 +98,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p5_distinct, p5_country_overlap, p7_found, p7_counts, p8_ids, p9_mix, p9_shares, p9_char_documents, p9_char_shares, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p5_distinct, p5_country_overlap, p5_country_overlap_small, p7_found, p7_counts, p8_ids, p9_mix, p9_shares, p9_char_documents, p9_char_shares, p10_found, p10_texts)}
 
 _FREQUENT = "SELECT field, item{n} FROM (SELECT 'ua' AS field, ua AS item, count(*) AS n FROM request_log GROUP BY ALL UNION ALL SELECT 'ip', ip, count(*) FROM request_log GROUP BY ALL) WHERE item IS NOT NULL AND item <> '' AND n >= 0.005 * (SELECT count(*) FROM request_log)"
 _HASH = "CASE WHEN {x} <> '' THEN CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT) END"
@@ -165,6 +177,31 @@ SELECT field, "by", day, country, site_id, CAST(round(CASE WHEN n < {kmv.K} THEN
   SELECT day, country, a + b - coalesce(c, 0) AS u, coalesce(c, 0) AS c, a - coalesce(c, 0) AS d FROM n JOIN m USING (day, country) LEFT JOIN i USING (day, country)
 )
 SELECT day, country, u AS union_n, u AS union_low, u AS union_high, c AS intersection_n, c AS intersection_low, c AS intersection_high, d AS difference_n, d AS difference_low, d AS difference_high FROM t""",
+    "p5_country_overlap_small": _LOG
+    + f""", g AS (
+  SELECT DISTINCT day, country, h FROM h WHERE field = 'ifa' AND h IS NOT NULL AND day IS NOT NULL AND country IS NOT NULL
+), a AS (
+  SELECT day, country, h FROM g QUALIFY row_number() OVER (PARTITION BY day, country ORDER BY h) <= {SMALL_K}
+), b AS (
+  SELECT strftime(CAST(day AS DATE) - 1, '%Y-%m-%d') AS day, country, h FROM a
+), pairs AS (
+  SELECT day, country FROM a INTERSECT SELECT day, country FROM b
+), u AS (
+  SELECT day, country, h, bool_or(first) AS ina, bool_or(NOT first) AS inb FROM (SELECT *, true AS first FROM a UNION ALL SELECT *, false FROM b) JOIN pairs USING (day, country) GROUP BY ALL
+), s AS (
+  SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY day, country ORDER BY h) <= {SMALL_K}
+), n AS (
+  SELECT day, country, count(*) AS n, max(h) AS top, count(*) FILTER (WHERE ina AND inb) AS shared, count(*) FILTER (WHERE ina AND NOT inb) AS lone FROM s GROUP BY ALL
+), e AS (
+  SELECT *, CASE WHEN n < {SMALL_K} THEN n ELSE {SMALL_K - 1} / (top / {kmv.HASH_RANGE}) END AS w, 1.96 / sqrt({SMALL_K - 2}) AS rel FROM n
+), p AS (
+  SELECT *, shared / n AS pi, lone / n AS pd FROM e
+), x AS (
+  SELECT *, CASE WHEN n < {SMALL_K} THEN 0 ELSE 1.96 * sqrt((pi * (1 - pi) + 1.0 / {SMALL_K}) / n) + pi * rel END AS ei, CASE WHEN n < {SMALL_K} THEN 0 ELSE 1.96 * sqrt((pd * (1 - pd) + 1.0 / {SMALL_K}) / n) + pd * rel END AS ed FROM p
+)
+SELECT day, country, CAST(round(w) AS BIGINT) AS union_n, CAST(round(CASE WHEN n < {SMALL_K} THEN w ELSE w * (1 - rel) END) AS BIGINT) AS union_low, CAST(round(CASE WHEN n < {SMALL_K} THEN w ELSE w * (1 + rel) END) AS BIGINT) AS union_high,
+  CAST(round(w * pi) AS BIGINT) AS intersection_n, CAST(round(greatest(w * (pi - ei), 0)) AS BIGINT) AS intersection_low, CAST(round(w * least(pi + ei, 1 + rel)) AS BIGINT) AS intersection_high,
+  CAST(round(w * pd) AS BIGINT) AS difference_n, CAST(round(greatest(w * (pd - ed), 0)) AS BIGINT) AS difference_low, CAST(round(w * least(pd + ed, 1 + rel)) AS BIGINT) AS difference_high FROM x""",
     "p7_found": _FREQUENT.format(n=""),
     "p7_counts": _FREQUENT.format(n=", n"),
 }

@@ -3,6 +3,7 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,9 +51,36 @@ def test_merging_partial_results_equals_one_sketch(spark):
     assert merged == whole == sorted(whole)
 
 
+def test_many_partial_sketches_merge_in_bounded_memory(spark, monkeypatch):
+    """4,096 tasks' sketches of one group and some of others: what a merging task sorts at a time stays within a slice."""
+    k, seen, smallest = 16, [], kmv._smallest
+    rows = [("ifa", "g", "hot" if i % 8 else f"g{i % 64}", i, sorted((i * 2654435761 + j * 40503) % 1_000_003 for j in range(k))) for i in range(4096)]
+    want = {}
+    for _, _, g, _, hashes in rows:
+        want[g] = sorted({*want.get(g, []), *hashes})[:k]
+    schema = pa.schema([("field", pa.string()), ("g", pa.string()), ("hashes", pa.list_(pa.int64()))])
+    monkeypatch.setattr(kmv, "SLICE", 64)
+    monkeypatch.setattr(kmv, "_smallest", lambda key, h, n: seen.append(len(h)) or smallest(key, h, n))
+    t = pa.table([pa.array(x) for x in zip(*sorted((f, g, h) for f, _, g, _, h in rows))], schema=schema)
+    out = [r for b in kmv._merging(["field", "g"], k, schema)(t.to_batches(max_chunksize=500)) for r in b.to_pylist()]
+    assert {r["g"]: r["hashes"] for r in out} == want and len(out) == len(want)
+    assert max(seen) <= 65 * k
+    df = spark.createDataFrame(rows, "field string, by string, g string, part int, hashes array<bigint>").repartition(16)
+    two = kmv.merge(kmv.merge(df.withColumn("part", F.pmod("part", F.lit(64))), ["field", "by", "g", "part"], k), ["field", "by", "g"], k)
+    assert {r.g: r.hashes for r in two.collect()} == want == {r.g: r.hashes for r in kmv.merge(df, ["field", "by", "g"], k).collect()}
+
+
 # ---- frequent values
 
 
+@pytest.mark.parametrize("top", [0, 255, 256, 65_536, 2**32])
+def test_counters_are_packed_as_narrow_as_they_go(top):
+    counts = np.arange(2 * frequent.WORD * 16).reshape(-1, 16) % 7
+    counts[3, 5] = top
+    blob = frequent.pack(counts)
+    assert (frequent.unpack(blob) == counts).all() and len(blob) == 1 + counts.size * {0: 1, 255: 1, 256: 2, 65_536: 4, 2**32: 8}[top]
+
+
 def test_code_corrects_two_bytes():
     rnd = np.random.default_rng(4)
     for fp in rnd.integers(0, 2**64, 20, dtype=np.uint64):
