@@ -192,10 +192,10 @@ SELECT day, country, u AS union_n, u AS union_low, u AS union_high, c AS interse
   SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY day, country ORDER BY h) <= {SMALL_K}
 ), n AS (
   SELECT day, country, count(*) AS n, max(h) AS top, count(*) FILTER (WHERE ina AND inb) AS shared, count(*) FILTER (WHERE ina AND NOT inb) AS lone FROM s GROUP BY ALL
-), e AS (
+), sized AS (
   SELECT *, CASE WHEN n < {SMALL_K} THEN n ELSE {SMALL_K - 1} / (top / {kmv.HASH_RANGE}) END AS w, 1.96 / sqrt({SMALL_K - 2}) AS rel FROM n
 ), p AS (
-  SELECT *, shared / n AS pi, lone / n AS pd FROM e
+  SELECT *, shared / n AS pi, lone / n AS pd FROM sized
 ), x AS (
   SELECT *, CASE WHEN n < {SMALL_K} THEN 0 ELSE 1.96 * sqrt((pi * (1 - pi) + 1.0 / {SMALL_K}) / n) + pi * rel END AS ei, CASE WHEN n < {SMALL_K} THEN 0 ELSE 1.96 * sqrt((pd * (1 - pd) + 1.0 / {SMALL_K}) / n) + pd * rel END AS ed FROM p
 )
