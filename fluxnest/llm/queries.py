@@ -98,7 +98,12 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p5_distinct, p5_country_overlap, p5_country_overlap_small, p7_found, p7_counts, p8_ids, p9_mix, p9_shares, p9_char_documents, p9_char_shares, p10_found, p10_texts)}
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its class of texts that look the same, and how many of these are stored otherwise."""
+    return canonical.lookalike_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p5_distinct, p5_country_overlap, p5_country_overlap_small, p7_found, p7_counts, p8_ids, p9_mix, p9_shares, p9_char_documents, p9_char_shares, p10_found, p10_texts, p10_classes)}
 
 _FREQUENT = "SELECT field, item{n} FROM (SELECT 'ua' AS field, ua AS item, count(*) AS n FROM request_log GROUP BY ALL UNION ALL SELECT 'ip', ip, count(*) FROM request_log GROUP BY ALL) WHERE item IS NOT NULL AND item <> '' AND n >= 0.005 * (SELECT count(*) FROM request_log)"
 _HASH = "CASE WHEN {x} <> '' THEN CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT) END"
@@ -136,7 +141,12 @@ WITH sizes AS (
   SELECT mix_id, source, doc_id, CAST(unnest(range(copies)) AS BIGINT) AS repeat, n AS n_tokens FROM c
 )
 """
+_FORMS = f"WITH f AS (SELECT doc_id, text, {canonical.form_sql('text')} AS form FROM documents), v AS (SELECT * FROM f WHERE trim(form, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(8232) || chr(8233)) <> '') "
 ORACLES = {
+    "p10_found": _FORMS + "SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM v AS a JOIN v AS b USING (form) WHERE a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_texts": _FORMS + "SELECT doc_id, form AS text FROM f",
+    "p10_classes": _FORMS + """, k AS (SELECT form, text, count(*) AS n, min(doc_id) AS first FROM v GROUP BY ALL), w AS (SELECT form, min(first) AS class_id, CAST(sum(n) AS BIGINT) AS n_members, count(*) AS n_texts FROM k GROUP BY form)
+SELECT doc_id, class_id, n_members, n_texts, n_members - n AS n_links FROM v JOIN w USING (form) JOIN k USING (form, text)""",
     "p9_char_documents": _CHOSEN + "SELECT mix_id, source, doc_id, repeat, n_tokens FROM chosen",
     "p9_char_shares": _CHOSEN
     + """, g AS (

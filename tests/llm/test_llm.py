@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -355,6 +356,41 @@ def test_form_is_stable_and_composed(text):
     assert t.apply(unicodedata.normalize("NFD", text)) == once or any(unicodedata.normalize("NFC", c) != c for c in text) or "‍" in text
 
 
+def in_steps(t, text):
+    """The form in the plainest steps: map characters and compose until nothing changes, joiners between pictures aside."""
+    chars = list(text)
+    for i, c in enumerate(chars):
+        if c == "\u200d" and PICTURE.search(text[:i]) and NEXT.match(text[i + 1 :]):
+            chars[i] = "\ufdd0"
+    text = "".join(chars)
+    while True:
+        out = unicodedata.normalize("NFC", text.translate(t.rules))
+        if out == text:
+            return out.replace("\ufdd0", "\u200d")
+        text = out
+
+
+PICTURE, NEXT = regex.compile("\\p{Extended_Pictographic}\ufe0f?[\U0001f3fb-\U0001f3ff]?$"), regex.compile("\\p{Extended_Pictographic}")
+ODD = [*map(chr, canonical.compile_rules()), *"\u0301\u0323\u0308aeo1 \n가각\u1100\u1161\u11a8ﾡￂﾊﾞ\u200d👩🔬\ufe0f🏻яςか\u3099\u0345ά\u0b47\u0b3eำ中\x1c\x85"]
+
+
+def test_one_pass_equals_the_steps():
+    t, rnd = canonical.transducer(), random.Random(6)
+    for _ in range(20_000):
+        text = "".join(rnd.choice(ODD if rnd.random() < 0.5 else ODD[-36:]) for _ in range(rnd.randrange(1, 9)))
+        assert t.apply(text) == in_steps(t, text), list(text)
+
+
+def test_a_text_is_read_once():
+    """Each character that isn't plain is handed to the clusters once, by the longest cluster that begins there."""
+    t, read = canonical.Transducer(), []
+    step = t._cluster
+    t._cluster = lambda m: read.append(m.group()) or step(m)
+    text = "plain е\u200b\u0301\u0323x ｆｕｌｌ 👩\u200d🔬 \u1100\u1161\u11a8\u00a0中 end"
+    t.apply(text)
+    assert read == ["е\u200b\u0301\u0323", "ｆｕｌｌ", "👩\u200d🔬", "\u1100\u1161\u11a8", "\u00a0"]
+
+
 def test_conflicts_are_refused(monkeypatch):
     monkeypatch.setitem(canonical.LOOKALIKES, "broken", ("а", "b"))
     with pytest.raises(ValueError, match="two outputs"):
@@ -366,5 +402,8 @@ def test_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("form", F.lit(1)).withColumn("stored", F.lit(2))
     assert {tuple(r) for r in canonical.lookalike_pairs(df, "doc_id", "text").collect()} == {(1, 2), (2, 3), (9, 10)}
     assert canonical.lookalike_pairs(df.limit(0), "doc_id", "text").count() == 0
+    classes = {r.doc_id: (r.class_id, r.n_members, r.n_texts, r.n_links) for r in canonical.lookalike_classes(df, "doc_id", "text").collect()}
+    assert classes == {1: (1, 3, 2, 1), 2: (1, 3, 2, 2), 3: (1, 3, 2, 1), 4: (4, 1, 1, 0), 9: (9, 2, 2, 1), 10: (9, 2, 2, 1)}
+    assert canonical.lookalike_classes(df.limit(0), "doc_id", "text").count() == 0
     forms = {r.doc_id: r.text for r in canonical.canonical_texts(df, "doc_id", "text").collect()}
     assert forms[2] == "scope of work" and forms[5] is None and forms[6] == ""
