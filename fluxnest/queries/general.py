@@ -104,6 +104,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.unionByName(within)
 
 
+def p2_spots(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable point with its place and how many others are near, without a row a pair."""
+    return geo.near_spots(geo.usable_points(table(spark, d, "geo_points"), "geo_id"), NEAR_M).withColumnRenamed("id", "geo_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     hot = skew.heavy_hitters(table(spark, d, "request_log"), ["site_id", "country"], HOT_SHARE)
     return hot.select("field", F.col("value").alias("hot_key"))
@@ -147,7 +152,7 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return log.join(dedup.redelivered(log), "rec_id", "left_anti").select("rec_id", "batch_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_bid_variants, p1_subtypes, p2_found, p3_found, p3_site_totals, p3_country_totals, p3_publisher_rows, p4_found, p4_sessions, p6_found, p6_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_bid_variants, p1_subtypes, p2_found, p2_spots, p3_found, p3_site_totals, p3_country_totals, p3_publisher_rows, p4_found, p4_sessions, p6_found, p6_kept)}
 
 for _entity in ("imp", "deal", "device", "geo", "user", "demographic"):
     QUERIES[f"p1_bid_{_entity}"] = _typed_table(_entity)
@@ -181,6 +186,18 @@ _BANNER = f"({_SOME.format(l='x.banner.mimes')} OR x.banner.w IS NOT NULL OR x.b
 _VIDEO = f"({_SOME.format(l='x.video.mimes')} OR {_SOME.format(l='x.video.protocols')} OR x.video.w IS NOT NULL OR x.video.h IS NOT NULL OR x.video.minduration IS NOT NULL OR x.video.maxduration IS NOT NULL)"
 _DEAL = "d.id IS NOT NULL OR d.bidfloor.units IS NOT NULL OR d.bidfloor.nanos IS NOT NULL OR d.at IS NOT NULL OR len(list_filter(coalesce(d.wseat, []), lambda y: y IS NOT NULL)) > 0 OR d.bidfloorcur IS NOT NULL OR d.ext.adspottype IS NOT NULL OR d.ext.guaranteed IS NOT NULL OR d.ext.must_bid IS NOT NULL"
 _PMP = f"(x.pmp.private_auction IS NOT NULL OR len(list_filter(coalesce(x.pmp.deals, []), lambda d: {_DEAL})) > 0)"
+_NEAR = """
+WITH p AS (
+  SELECT geo_id, lat.units + lat.nanos / 1e9 AS a, lon.units + lon.nanos / 1e9 AS o FROM geo_points
+  WHERE lat.units IS NOT NULL AND lat.nanos IS NOT NULL AND lon.units IS NOT NULL AND lon.nanos IS NOT NULL
+), q AS (
+  SELECT *, floor(a * 100) AS band FROM p WHERE a BETWEEN -90 AND 90 AND o BETWEEN -180 AND 180 AND NOT (a = 0 AND o = 0)
+), b AS (
+  SELECT geo_id, a, o, unnest([band - 1, band, band + 1]) AS band FROM q
+), near AS (
+  SELECT x.geo_id AS a_id, y.geo_id AS b_id FROM q AS x JOIN b AS y USING (band)
+  WHERE x.geo_id < y.geo_id AND 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(y.a - x.a) / 2), 2) + cos(radians(x.a)) * cos(radians(y.a)) * pow(sin(radians(y.o - x.o) / 2), 2)))) <= 250
+)"""
 _LAT, _LON = "(g.lat.units IS NOT NULL OR g.lat.nanos IS NOT NULL)", "(g.lon.units IS NOT NULL OR g.lon.nanos IS NOT NULL)"
 _GEO = f"({_LAT} OR {_LON} OR g.type IS NOT NULL OR g.country IS NOT NULL OR g.region IS NOT NULL OR g.city IS NOT NULL OR g.dma IS NOT NULL OR g.utcoffset IS NOT NULL)"
 _DEMOGRAPHIC = "(u.ext.demographic.total.units IS NOT NULL OR u.ext.demographic.total.nanos IS NOT NULL)"
@@ -195,18 +212,15 @@ _BIDS = {
 ORACLES = {
     **{f"p1_bid_{e}": sql for e, sql in _BIDS.items()},
     "p1_bid_variants": " UNION ALL ".join(f"SELECT '{e}' AS entity, variant, count(*) AS n FROM ({sql}) GROUP BY variant" for e, sql in _BIDS.items()),
-    "p2_found": """
-WITH p AS (
-  SELECT geo_id, lat.units + lat.nanos / 1e9 AS a, lon.units + lon.nanos / 1e9 AS o FROM geo_points
-  WHERE lat.units IS NOT NULL AND lat.nanos IS NOT NULL AND lon.units IS NOT NULL AND lon.nanos IS NOT NULL
-), q AS (
-  SELECT *, floor(a * 100) AS band FROM p WHERE a BETWEEN -90 AND 90 AND o BETWEEN -180 AND 180 AND NOT (a = 0 AND o = 0)
-), b AS (
-  SELECT geo_id, a, o, unnest([band - 1, band, band + 1]) AS band FROM q
-), near AS (
-  SELECT x.geo_id AS a_id, y.geo_id AS b_id FROM q AS x JOIN b AS y USING (band)
-  WHERE x.geo_id < y.geo_id AND 2 * 6371008.8 * asin(least(1, sqrt(pow(sin(radians(y.a - x.a) / 2), 2) + cos(radians(x.a)) * cos(radians(y.a)) * pow(sin(radians(y.o - x.o) / 2), 2)))) <= 250
-), e AS (
+    "p2_spots": _NEAR
+    + """, o AS (
+  SELECT geo_id, min(geo_id) OVER w AS spot, count(*) OVER w AS n_same FROM q WINDOW w AS (PARTITION BY a, CASE WHEN o = 180 THEN -180 ELSE o END)
+), m AS (
+  SELECT id, count(*) AS n FROM (SELECT a_id AS id FROM near UNION ALL SELECT b_id FROM near) GROUP BY id
+)
+SELECT geo_id, spot, n_same, coalesce(n, 0) AS n_near FROM o LEFT JOIN m ON geo_id = id""",
+    "p2_found": _NEAR
+    + """, e AS (
   SELECT zone_id, j, generate_subscripts(ring, 1) AS i, unnest(ring) AS v, len(ring) AS n, ring FROM (SELECT zone_id, generate_subscripts(rings, 1) AS j, unnest(rings) AS ring FROM geo_zones)
 ), s AS (
   SELECT zone_id, j, v.lat AS a1, v.lon AS o1, ring[i % n + 1].lat AS a2, ring[i % n + 1].lon AS o2 FROM e WHERE n > 1

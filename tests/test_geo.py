@@ -37,7 +37,22 @@ def test_crowded_spots_ties_nulls_and_repeats(spark):
     assert near(spark, [], 250.0) == set()
 
 
-def test_zones(spark):
+def test_crowds_in_parts_and_places_without_pairs(spark, monkeypatch):
+    rnd = random.Random(9)
+    monkeypatch.setattr(geo, "CROWD", 4)
+    pts = [(i, 10.0 + 0.001 * rnd.choice([0, 0, 0, 0, 1, 2, 7]), 20.0 + 0.001 * rnd.choice([0, 0, 0, 1]), 0, "") for i in range(1, 90)] + [(90, 50.0, 180.0, 0, ""), (91, 50.0, -180.0, 0, "")]
+    shift = [(i, y, x if abs(x) < 180 else -180.0) for i, y, x, *_ in pts]
+    want = {(a[0], b[0]) for a in shift for b in shift if a[0] < b[0] and metres(a, b) <= 250}
+    assert near(spark, pts, 250.0) == want and len(want) > 500
+    df = spark.createDataFrame(pts, "id bigint, lat double, lon double, n int, spot string")
+    got = {r.id: (r.spot, r.n_same, r.n_near) for r in geo.near_spots(df, 250.0).collect()}
+    for i, y, x in shift:
+        same = [j for j, v, w in shift if (v, w) == (y, x)]
+        assert got[i] == (min(same), len(same), sum(i in p for p in want))
+    assert len(got) == len(pts) and geo.near_spots(df.limit(0), 250.0).count() == 0
+
+
+def test_zones(spark, monkeypatch):
     square = lambda s, w, n, e: [(s, w), (s, e), (n, e), (n, w)]
     rings = {
         1: [square(0, 0, 10, 10), square(4, 4, 6, 6)],  # with a hole
@@ -48,8 +63,10 @@ def test_zones(spark):
     }
     zones = spark.createDataFrame([(z, [[(float(a), float(b)) for a, b in r] for r in rs], "x") for z, rs in rings.items()] + [(6, None, "x")], "zone_id bigint, rings array<array<struct<lat double, lon double>>>, row string")
     pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 1.0), (3, 0.5, 179.0), (4, 0.5, -179.0), (5, 0.5, 170.0), (6, None, 3.0), (7, 20.0, 5.0)], "id bigint, lat double, lon double").withColumn("rings", F.lit(1))
-    got = {tuple(r) for r in geo.zone_members(pts, zones).collect()}
-    assert got == {(1, 5), (2, 1), (2, 5), (3, 2), (4, 2)}
+    for edges in (geo.BROADCAST_EDGES, -1):  # broadcast, and shuffled in parts
+        monkeypatch.setattr(geo, "BROADCAST_EDGES", edges)
+        got = {tuple(r) for r in geo.zone_members(pts, zones).collect()}
+        assert got == {(1, 5), (2, 1), (2, 5), (3, 2), (4, 2)}
     assert geo.zone_members(pts.limit(0), zones).count() == 0
     assert geo.zone_members(pts, zones.limit(0)).count() == 0
 
