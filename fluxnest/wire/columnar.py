@@ -1,24 +1,12 @@
-"""Columnar decoding: messages are parsed by the installed protobuf runtime and read field by field into Arrow arrays.
-
-Where the runtime is missing, RecordType uses the codec of this package instead; both give the same values.
-"""
+"""Encoding by the installed protobuf runtime, where it is there and a message is plain enough; the codec of this package gives the same bytes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from decimal import Decimal
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
-
-from ..schema.proto import BINARY_LEAVES, JSON_LEAVES, FieldDef, MessageDef, Registry, leaf_type, struct_type
-from .codec import Codec, WireError
+from ..schema.proto import BINARY_LEAVES, JSON_LEAVES, FieldDef, MessageDef, Registry, leaf_type
+from .codec import Codec
 
 try:
     from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
-    from google.protobuf.message import DecodeError
 except ImportError:  # pragma: no cover
     descriptor_pb2 = None
 
@@ -83,83 +71,6 @@ def message_class(reg: Registry, message: MessageDef, flatten: bool):
     return message_factory.GetMessageClass(pool.FindMessageTypeByName(f"record.{_flat(message.name)}"))
 
 
-class ColumnarDecoder:
-    def __init__(self, reg: Registry, message: MessageDef, flatten: bool):
-        self.codec, self.message, self.flatten, self.reg = Codec(reg, message, flatten), message, flatten, reg
-        self.kind, self.cls = struct_type(reg, message, flatten), message_class(reg, message, flatten)
-
-    def decode(self, blobs: list[bytes | None], strict: bool) -> tuple[pa.Array, list[str | None]]:
-        """The struct array of the messages and why those that are null are."""
-        parse, msgs, bad, why = self.cls.FromString, [], [], []
-        empty = self.cls()
-        for b in blobs:
-            reason = None
-            if b is None:
-                msgs.append(empty)
-                bad.append(True)
-            else:
-                try:
-                    msgs.append(parse(b))
-                    bad.append(False)
-                except DecodeError as e:
-                    reason = str(e)
-                    if strict:
-                        raise WireError(reason) from None
-                    msgs.append(empty)
-                    bad.append(True)
-            why.append(reason)
-        return self._struct(msgs, self.message, self.kind, np.array(bad, bool)), why
-
-    def _struct(self, msgs: list, m: MessageDef, kind: T.StructType, mask: np.ndarray | None = None) -> pa.Array:
-        arrow = to_arrow_type(kind)
-        arrays = [self._field(msgs, f, kind[f.name].dataType) for f in m.fields]
-        if not arrays:
-            return pa.array([{}] * len(msgs), arrow)
-        return pa.StructArray.from_arrays(arrays, fields=[arrow.field(i) for i in range(arrow.num_fields)], mask=pa.array(mask) if mask is not None else None)
-
-    def _values(self, values: list, f: FieldDef, kind: T.DataType) -> pa.Array:
-        """Values of a field that isn't repeated, as an array; None is null."""
-        if f.kind == "message":
-            if _is_leaf(f.type, self.flatten):
-                return pa.array([None if v is None else self.codec._leaf(f.type, v) for v in values], to_arrow_type(kind))
-            if any(v is None for v in values):
-                empty = next((type(v)() for v in values if v is not None), None)
-                if empty is None:
-                    return pa.nulls(len(values), to_arrow_type(kind))
-                return self._struct([empty if v is None else v for v in values], self.reg.messages[f.type], kind, np.array([v is None for v in values]))
-            return self._struct(values, self.reg.messages[f.type], kind)
-        if f.kind in ("uint64", "fixed64"):
-            values = [None if v is None else Decimal(v) for v in values]
-        elif f.kind == "bytes":
-            values = [v or None for v in values]
-        return pa.array(values, to_arrow_type(kind))
-
-    def _field(self, msgs: list, f: FieldDef, kind: T.DataType) -> pa.Array:
-        name = f.name
-        get: Callable = lambda m: getattr(m, name)
-        if f.kind == "map":
-            maps = [get(m) for m in msgs]
-            offsets = np.zeros(len(maps) + 1, np.int32)
-            np.cumsum([len(x) for x in maps], out=offsets[1:])
-            keys = [k for x in maps for k in x]
-            values = [x[k] for x in maps for k in x]
-            arrow = to_arrow_type(kind)
-            return pa.MapArray.from_arrays(pa.array(offsets), self._values(keys, FieldDef("key", 1, f.key_kind), kind.keyType), self._values(values, f.value, kind.valueType)).cast(arrow)
-        if f.repeated:
-            lists = [get(m) for m in msgs]
-            offsets = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum([len(x) for x in lists], out=offsets[1:])
-            flat = [v for x in lists for v in x]
-            return pa.ListArray.from_arrays(pa.array(offsets), self._values(flat, f, kind.elementType)).cast(to_arrow_type(kind))
-        if f.presence:
-            return self._values([get(m) if m.HasField(name) else None for m in msgs], f, kind)
-        if f.kind == "message" and _is_leaf(f.type, self.flatten):
-            default = self.codec.default(f)
-            arrow = to_arrow_type(kind)
-            return pa.array([self.codec._leaf(f.type, v) if (v := get(m)) else default for m in msgs], arrow)
-        return self._values([get(m) for m in msgs], f, kind)
-
-
 def plain(reg: Registry, message: MessageDef, flatten: bool) -> bool:
     """Whether the runtime can build a message from nested dicts as they come from Arrow: no maps, 64-bit unsigned numbers or one-value messages."""
     for f in message.fields:

@@ -15,6 +15,7 @@ from ..schema.proto import MessageDef, Registry, SchemaError, struct_type
 from . import columnar
 from .arrays import to_values
 from .codec import Codec, WireError
+from .vector import VectorDecoder, decode_halving
 
 
 class RecordType:
@@ -37,37 +38,41 @@ class RecordType:
     def field_names(self) -> list[str]:
         return self.schema.fieldNames()
 
+    def _decoder(self, runtime: bool):
+        """A function of (byte array, strict) that gives the struct array and why those that are null are."""
+        reg, message, flatten, kind = self.reg, self.message, self.flatten, to_arrow_type(self.schema)
+        codec = Codec(reg, message, flatten)
+
+        def by_rows(blobs: list[bytes | None], strict: bool) -> tuple[pa.Array, list[str | None]]:
+            rows, why = [], []
+            for raw in blobs:
+                try:
+                    rows.append(None if raw is None else codec.decode(raw))
+                    why.append(None)
+                except WireError as e:
+                    if strict:
+                        raise
+                    rows.append(None)
+                    why.append(str(e))
+            return pa.array(rows, kind), why
+
+        if not runtime:
+            return lambda blobs, strict: by_rows(blobs.to_pylist(), strict)
+        fast = VectorDecoder(reg, message, flatten)
+        return lambda blobs, strict: decode_halving(blobs, fast, by_rows, strict)
+
     def decode(self, df: DataFrame, column: str, out: str = "msg", strict: bool = True, runtime: bool = True) -> DataFrame:
-        """df with the struct out in place of the byte column. runtime=False keeps to this package's own codec.
+        """df with the struct out in place of the byte column. runtime=False decodes message by message.
 
         Null bytes give a null struct. In permissive mode bytes that are no message give a null struct and their
         reason in _corrupt; in strict mode they raise.
         """
-        reg, message, flatten, kind = self.reg, self.message, self.flatten, to_arrow_type(self.schema)
         keep = [c for c in df.columns if c != column]
 
-        def row_decoder():
-            codec = Codec(reg, message, flatten)
-
-            def decode(blobs: list[bytes | None], strict: bool) -> tuple[pa.Array, list[str | None]]:
-                rows, why = [], []
-                for raw in blobs:
-                    try:
-                        rows.append(None if raw is None else codec.decode(raw))
-                        why.append(None)
-                    except WireError as e:
-                        if strict:
-                            raise
-                        rows.append(None)
-                        why.append(str(e))
-                return pa.array(rows, kind), why
-
-            return decode
-
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            decode = columnar.ColumnarDecoder(reg, message, flatten).decode if columnar.available() and runtime else row_decoder()
+            decode = self._decoder(runtime)
             for b in batches:
-                rows, why = decode(b.column(b.num_columns - 1).to_pylist(), strict)
+                rows, why = decode(b.column(b.num_columns - 1), strict)
                 cols = [*b.columns[:-1], rows] + ([] if strict else [pa.array(why, pa.string())])
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, out] + ([] if strict else ["_corrupt"]))
 
@@ -95,13 +100,20 @@ class RecordType:
 
 
 def decode_merged(df: DataFrame, base: RecordType, base_column: str, custom: RecordType, custom_column: str, out: str = "msg", strict: bool = True) -> DataFrame:
-    """Two byte columns as one struct with the fields of both messages."""
-    base.merged(custom)
-    both = custom.decode(base.decode(df, base_column, "__base", strict).withColumnsRenamed({"_corrupt": "__why"}), custom_column, "__custom", strict)
-    cols = [F.col("__base")[f].alias(f) for f in base.field_names] + [F.col("__custom")[f].alias(f) for f in custom.field_names]
+    """Two byte columns as one struct with the fields of both messages, in one pass; null bytes give null fields."""
+    kind = base.merged(custom)
     keep = [c for c in df.columns if c not in (base_column, custom_column)]
-    bad = [] if strict else [F.coalesce("__why", "_corrupt").alias("_corrupt")]
-    return both.select(*keep, F.struct(*cols).alias(out), *bad)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second, arrow = base._decoder(True), custom._decoder(True), to_arrow_type(kind)
+        for b in batches:
+            (x, why), (y, more) = first(b.column(b.num_columns - 2), strict), second(b.column(b.num_columns - 1), strict)
+            rows = pa.StructArray.from_arrays([*x.flatten(), *y.flatten()], fields=[arrow.field(i) for i in range(arrow.num_fields)])
+            cols = [*b.columns[:-2], rows] + ([] if strict else [pa.array([p or q for p, q in zip(why, more)], pa.string())])
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, out] + ([] if strict else ["_corrupt"]))
+
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out, kind)] + ([] if strict else [T.StructField("_corrupt", T.StringType())]))
+    return df.select(*keep, base_column, custom_column).mapInArrow(run, schema)
 
 
 def retag(blob: bytes, numbers: dict[int, int]) -> bytes:

@@ -1,4 +1,5 @@
 import datetime
+import random
 import struct
 from decimal import Decimal
 
@@ -107,6 +108,72 @@ def test_both_decoders_agree_on_defaults(reg, spark):
         assert t.decode(df, "payload").collect() == t.decode(df, "payload", runtime=False).collect()
 
 
+def _random_row(rnd, reg):
+    whole = lambda bits, signed=True: rnd.choice([0, 1, -1 if signed else 2, rnd.randrange(-(2 ** (bits - 1)), 2 ** (bits - 1)) if signed else rnd.randrange(2**bits)])
+    inner = lambda: {"v": whole(64), "names": [rnd.choice(["", "a", "é€" * 70]) for _ in range(rnd.randrange(3))], "deep": {"b": rnd.random() < 0.5}}
+    every = {
+        "d": rnd.choice([0.0, -0.0, 1.5, float("inf")]), "f": 2.5, "i32": whole(32), "i64": whole(64), "u32": whole(32, False), "u64": Decimal(whole(64, False)), "s32": whole(32), "s64": whole(64),
+        "x32": whole(32, False), "x64": Decimal(whole(64, False)), "y32": whole(32), "y64": whole(64), "b": True, "s": rnd.choice(["", "x" * 200, "日本"]), "raw": rnd.choice([b"", b"\xff\x00"]), "opt": rnd.choice([0, -7]),
+        "packed": [whole(32) for _ in range(rnd.randrange(6))], "inners": [inner() for _ in range(rnd.randrange(4))], "inner": inner(), "color": rnd.choice([0, 1, 9]),
+        "m": [(k, whole(64)) for k in rnd.sample(["", "a", "b", "é"], rnd.randrange(4))], "mm": [(k, inner()) for k in rnd.sample([0, -1, 5], rnd.randrange(3))],
+        rnd.choice(["a", "c"]): None, "at": datetime.datetime(2001, 2, 3, 4, 5, 6, rnd.choice([0, 789_000]), datetime.timezone.utc), "w": rnd.choice([0, 3]), "js": '{"k":[1]}',
+    }
+    if "a" in every:
+        every["a"] = rnd.choice(["", "z"])
+    if "c" in every:
+        every["c"] = inner()
+    return {k: v for k, v in every.items() if rnd.random() < 0.6}
+
+
+def test_whole_batches_equal_messages_one_by_one(reg):
+    """Random messages, also damaged, doubled (fields given twice), with unknown fields, unpacked lists and far too many fields."""
+    import pyarrow as pa
+
+    from fluxnest.wire.vector import ROUNDS, VectorDecoder, decode_halving
+
+    rnd, m = random.Random(12), reg.lookup("All")
+    for flatten in (True, False):
+        codec, blobs = Codec(reg, m, flatten), []
+        for i in range(900):
+            row = _random_row(rnd, reg)
+            if not flatten:
+                row = {k: v for k, v in row.items() if k not in ("at", "w")}
+            blob = codec.encode(row)
+            if i % 50 == 7:
+                blob = blob + codec.encode({k: v for k, v in row.items() if k != "inner"})
+            if i % 60 == 8:
+                blob = b"\xf8\x3f\x05" + blob + b"\xfa\x3f\x02hi"  # unknown fields
+            if i % 70 == 9:
+                blob = blob[: rnd.randrange(len(blob) + 1)]
+            if i % 80 == 10:
+                blob += b"\x88\x01\x05\x88\x01\x06"  # an unpacked list
+            if i == 500:
+                blob = codec.encode({"inners": [{"v": 1}] * (ROUNDS + 5)})
+            blobs.append(None if i % 90 == 11 else blob)
+
+        def exact(some, strict):
+            rows, why = [], []
+            for b in some:
+                try:
+                    rows.append(None if b is None else codec.decode(b))
+                    why.append(None)
+                except WireError as e:
+                    rows.append(None)
+                    why.append(str(e))
+            return pa.array(rows, kind), why
+
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        fast = VectorDecoder(reg, m, flatten)
+        kind, handed = to_arrow_type(fast.kind), []
+        want, errors = exact(blobs, False)
+        got, why = decode_halving(pa.array(blobs, pa.binary()).slice(0), fast, lambda b, s: handed.append(len(b)) or exact(b, s), False)
+        assert got.to_pylist() == want.to_pylist() and [w is None for w in why] == [w is None for w in errors]
+        clean = [b for b, e in zip(blobs, errors) if b is not None and e is None][:5]
+        assert fast.decode(pa.array([b"", *clean[:1]], pa.large_binary()).slice(1)).to_pylist() == exact(clean[:1], False)[0].to_pylist()
+        assert handed and fast.decode(pa.array([], pa.binary())).to_pylist() == []
+
+
 @pytest.mark.parametrize("blob", [b"\x08", b"\x0a\x05ab", b"\x00\x01", b"\x72\x02\xff\xfe", b"\x09\x00"])
 def test_damaged_bytes(reg, spark, blob):
     with pytest.raises(WireError):
