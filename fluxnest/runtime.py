@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the shared folder's file system."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -56,7 +57,7 @@ def release(df: DataFrame) -> None:
     """Delete a table written by materialise once nothing reads it any more."""
     path = getattr(df, "_fluxnest_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
         _written[:] = [(s, p) for s, p in _written if p != path]
 
 
@@ -64,7 +65,7 @@ def release(df: DataFrame) -> None:
 def _release_all() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session is gone; its folder is the cluster's to clean
             return
 
