@@ -48,13 +48,18 @@ class Transcoder:
             return cls.from_config_string(f.read(), os.path.dirname(os.path.abspath(path)), **options)
 
     @classmethod
-    def from_config_string(cls, text: str, folder: str = ".", **options) -> "Transcoder":
-        """From YAML; files and import paths are relative to folder."""
+    def from_config_string(cls, text: str, folder: str = ".", sources: dict[str, str] | None = None, **options) -> "Transcoder":
+        """From YAML; files and import paths are relative to folder. sources holds the text of files that needn't exist."""
         c: Config = parse_config(text)
         at = lambda x: x if os.path.isabs(x) else os.path.join(folder, x)
-        reg = p.compile_proto(at(c.proto.file), [at(i) for i in c.proto.import_paths])
+
+        def compiled(ref) -> p.Registry:
+            return p.parse_proto(sources[ref.file]) if ref.file in (sources or {}) else p.compile_proto(at(ref.file), [at(i) for i in ref.import_paths])
+
+        reg = compiled(c.proto)
         if c.custom_message:
-            options["custom"] = RecordType.from_proto(at(c.custom_message.file), c.custom_message.message, [at(i) for i in c.custom_message.import_paths])
+            other = compiled(c.custom_message)
+            options["custom"] = RecordType(other, other.lookup(c.custom_message.message))
         return cls(reg, reg.lookup(c.proto.message), denorm=c.columns, **options)
 
     def _enums(self, c: Col) -> Col:

@@ -33,15 +33,23 @@ def _jsonable(v):
 
 def interpret(df: DataFrame, program: str, keep: list[str], record: str | None = None, strict: bool = True, out: str = "out") -> DataFrame:
     """keep and out, an array of the outputs as JSON texts. In permissive mode a failing row has out null and its reason in _error."""
-    tree = parse(program)
-    value = F.to_json(root_value(df.schema, record).col, {"ignoreNullFields": "false"})
+    return _interpreted(df, parse(program), F.to_json(root_value(df.schema, record).col, {"ignoreNullFields": "false"}), keep, strict, out)
 
+
+def _read(t: str | None):
+    try:
+        return None if t is None else json.loads(t)
+    except ValueError as e:
+        raise PipeError(f"no JSON: {e}") from None
+
+
+def _interpreted(df: DataFrame, tree: tuple, value: Column, keep: list[str], strict: bool, out: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             outs, errors = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 try:
-                    got = execute(tree, json.loads(t) if t is not None else None)
+                    got = execute(tree, _read(t))
                     outs.append([json.dumps(_jsonable(x), separators=(",", ":"), ensure_ascii=False) for x in got])
                     errors.append(None)
                 except PipeError as e:
@@ -58,6 +66,11 @@ def interpret(df: DataFrame, program: str, keep: list[str], record: str | None =
     return df.select(*keep, value.alias("__value")).mapInArrow(run, schema)
 
 
+def interpret_json(df: DataFrame, program: str, column: str, keep: list[str], strict: bool = True, out: str = "out") -> DataFrame:
+    """The same over a column of JSON texts; a null text is the value null, and a text that is no JSON an error of its row."""
+    return _interpreted(df, parse(program), F.col(column), keep, strict, out)
+
+
 def pipeline(df: DataFrame, program: str, keep: list[str], record: str | None = None, out: str = "out", engine: str = "auto") -> DataFrame:
     """keep and out, the program's outputs a row as an array.
 

@@ -318,3 +318,32 @@ def all_ints(array: Column, kind: T.DataType) -> Column:
 
 def all_strings(array: Column, kind: T.DataType) -> Column:
     return F.transform(F.filter(array, lambda x: x.isNotNull()), lambda x: exprs.FUNCTIONS["cast_string"][2]([V(x, kind)], {}).col)
+
+
+def _unsigned(x: Column, kind: T.DataType) -> Column:
+    whole = exprs.FUNCTIONS["cast_int"][2]([V(x, kind)], {}).col
+    return F.when(whole >= 0, whole.cast("decimal(20,0)"))
+
+
+def first_uint(array: Column, kind: T.DataType) -> Column:
+    """The first branch as an unsigned number; 0 where there is none, or it is negative or no number."""
+    return F.coalesce(_unsigned(F.get(array, F.lit(0)), kind), F.lit(0).cast("decimal(20,0)"))
+
+
+def all_uints(array: Column, kind: T.DataType) -> Column:
+    """Every branch that is a whole number of at least 0; others are skipped."""
+    return F.filter(F.transform(array, lambda x: _unsigned(x, kind)), lambda x: x.isNotNull())
+
+
+def all_bytes(array: Column, kind: T.DataType) -> Column:
+    """Every branch that is a text or bytes, as bytes; an empty array for other kinds."""
+    if not isinstance(kind, (T.BinaryType, T.StringType)):
+        return F.array().cast("array<binary>")
+    return F.transform(F.filter(array, lambda x: x.isNotNull()), lambda x: x.cast("binary"))
+
+
+def all_messages(array: Column, kind: T.DataType) -> Column:
+    """Every branch that is a message."""
+    if not isinstance(kind, T.StructType):
+        raise PlanError(f"{kind.simpleString()} is no message")
+    return F.filter(array, lambda x: x.isNotNull())

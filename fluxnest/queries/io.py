@@ -60,10 +60,12 @@ def wire_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wire_permissive(spark: SparkSession, d: str) -> DataFrame:
-    """Damaged messages are reported and skipped: here every event's type is read as a message."""
+    """Damaged messages are reported with their reason and don't stop the others: here those whose key's first byte is small are cut off."""
     order, _ = _types()
-    got = order.decode(_encoded(spark, d).withColumn("payload", F.when(F.substring(F.hex("payload"), 3, 1) == "0", F.encode(F.lit("\x08"), "UTF-8")).otherwise(F.col("payload"))), "payload", strict=False)
-    return got.groupBy(F.col("_corrupt").isNotNull().alias("corrupt")).agg(F.count(F.lit(1)).alias("n"))
+    nested = orders_nested(spark, d, _ITEM).select(F.col("o_orderkey").alias("sent"), F.struct("o_orderkey", "o_custkey", "o_orderstatus", "items").alias("msg"))
+    raw = order.encode(nested, "msg").withColumn("payload", F.when(F.substring(F.hex("payload"), 3, 1) == "0", F.encode(F.lit("\x08"), "UTF-8")).otherwise(F.col("payload")))
+    got = order.decode(raw, "payload", strict=False)
+    return got.select("sent", "msg.o_custkey", F.size("msg.items").alias("n_items"), F.col("_corrupt").alias("reason"))
 
 
 def io_parquet(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +96,7 @@ ORACLES = {
     "wire_denorm": f"SELECT o_orderkey, l_partkey, l_quantity {_LEFT}",
     "wire_projected": "SELECT o_orderkey, o_orderstatus FROM orders",
     "wire_merged": f"SELECT o_orderkey, o_totalprice, CAST(count(l_orderkey) OVER (PARTITION BY o_orderkey) AS BIGINT) AS n, l_partkey AS part {_LEFT}",
+    "wire_permissive": "SELECT o_orderkey AS sent, CASE WHEN NOT cut THEN o_custkey END AS o_custkey, CASE WHEN NOT cut THEN n END AS n_items, CASE WHEN cut THEN 'cut-off or overlong number' END AS reason FROM (SELECT o_orderkey, o_custkey, CAST(count(l_orderkey) AS INTEGER) AS n, CASE WHEN o_orderkey <> 0 THEN o_orderkey ELSE o_custkey END < 16 AS cut FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)",
     "io_parquet": f"SELECT o_orderkey, l_quantity {_LEFT}",
     "stream_denorm": "SELECT rec_id, x.id AS imp_id, x.bidfloorcur AS cur, CASE WHEN i IS NULL THEN NULL WHEN x.id <> '' THEN 'named' ELSE 'unnamed' END AS kind FROM bid_requests b LEFT JOIN LATERAL (SELECT unnest(b.msg.imp) AS x, generate_subscripts(b.msg.imp, 1) AS i) ON true",
 }

@@ -21,6 +21,8 @@ _K = "list_transform(items, lambda x: x.l_partkey)"
 _Q = "list_transform(items, lambda x: x.l_quantity)"
 _F = "list_transform(items, lambda x: x.l_returnflag)"
 _FIRST = "items[1]"
+# Quantities in the order of the narrower items that interpreted programs read.
+_SENT = "list_transform(list_sort(list_transform(items, lambda x: {'a': x.l_linenumber, 'b': x.l_partkey, 'c': x.l_quantity, 'd': x.l_returnflag})), lambda x: x.c)"
 #: name -> (program, SQL of its outputs as a list over the nested table n)
 TYPED: dict[str, tuple[str, str]] = {
     "identity": (".o_orderkey | .", "[o_orderkey]"),
@@ -124,7 +126,7 @@ INTERPRETED: dict[str, tuple[str, str | None]] = {
     "values_object": ("{a: .o_orderkey, b: .o_custkey} | values", "['[' || o_orderkey || ',' || o_custkey || ']']"),
     "try_catch": ('try error("no " + .o_orderstatus) catch .', "['\"no ' || o_orderstatus || '\"']"),
     "optional": ("[.o_orderkey[]?]", "['[]']"),
-    "label_break": ("label $done | reduce .items[] as $i (0; if . > 50 then break $done else . + $i.l_quantity end)", None),
+    "label_break": ("label $done | reduce .items[] as $i (0; if . > 50 then break $done else . + $i.l_quantity end)", f"[CASE WHEN len(items) = 0 THEN '0' ELSE CAST(coalesce(list_filter(list_transform(range(1, len(items)), lambda k: list_sum(({_SENT})[1:k])), lambda x: x > 50)[1], list_sum({_Q})) AS VARCHAR) END]"),
     "def_recursive": ("def f: if . > 1000 then . else . * 2 | f end; (.o_custkey + 1) | f", "[CAST(list_filter(list_transform(range(0, 11), lambda k: (o_custkey + 1) * (1 << k)), lambda x: x > 1000)[1] AS VARCHAR)]"),
     "path": ("[path(.o_custkey)] | length", "['1']"),
     "match": ('.o_orderpriority | match("[A-Z]+")', "['[2,' || length(regexp_extract(o_orderpriority, '[A-Z]+')) || ',\"' || regexp_extract(o_orderpriority, '[A-Z]+') || '\"]']"),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import json
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,28 +133,101 @@ def retag(blob: bytes, numbers: dict[int, int]) -> bytes:
     return bytes(out)
 
 
+def retag_column(df: DataFrame, column: str, numbers: dict[int, int]) -> DataFrame:
+    """df with the top-level field numbers of a byte column rewritten; null bytes stay null."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs = [None if x is None else retag(x, numbers) for x in b.column(column).to_pylist()]
+            yield b.set_column(b.schema.get_field_index(column), column, pa.array(blobs, b.schema.field(column).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
+#: Bytes of a framed file that one task reads, about.
+PART = 64 << 20
+
+
+def _file(path: str):
+    """(file system, path) of an address in the shared folder."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+
+def write_framed(df: DataFrame, column: str, path: str, part: int = PART) -> int:
+    """Write a byte column as framed files, one a task, each with an index of offsets beside it; null bytes are left out. Returns the number of messages.
+
+    A task writes under a name of its own; the driver moves only the files of tasks that counted, so tasks may run twice.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _file(path)
+        system.create_dir(root, recursive=True)
+        name, n, at, marks = f"_{uuid.uuid4().hex}", 0, 0, [(0, 0)]
+        with system.open_output_stream(f"{root}/{name}") as out:
+            for b in batches:
+                for x in b.column(0).to_pylist():
+                    if x is not None:
+                        out.write(struct.pack("<I", len(x)) + x)
+                        at, n = at + 4 + len(x), n + 1
+                        if at - marks[-1][0] >= part:
+                            marks.append((at, n))
+        with system.open_output_stream(f"{root}/{name}.index") as out:
+            out.write(json.dumps([*marks, (at, n)]).encode())
+        yield pa.RecordBatch.from_pydict({"name": [name], "n": [n]})
+
+    done = df.select(column).mapInArrow(run, "name string, n bigint").collect()  # one row a task
+    system, root = _file(path)
+    for i, r in enumerate(done):
+        system.move(f"{root}/{r.name}.index", f"{root}/_part-{i:05d}.index")
+        system.move(f"{root}/{r.name}", f"{root}/part-{i:05d}")
+    return sum(r.n for r in done)
+
+
 def read_framed(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, payload) of files of length-prefixed messages: a 32-bit little-endian length, then so many bytes. A cut-off file raises."""
+    """(file, n, payload) of files of length-prefixed messages: a 32-bit little-endian length, then so many bytes. A cut-off file raises.
+
+    A file with an index is read in parts by several tasks, one without by one task, as a stream, whatever its size.
+    """
+
+    def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for file, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                system, at = _file(file)
+                folder, _, name = at.rpartition("/")
+                index = f"{folder}/_{name}.index"
+                marks = [(0, 0), (length, None)]
+                if system.get_file_info(index).type == fs.FileType.File:
+                    with system.open_input_stream(index) as f:
+                        marks = json.loads(f.read())
+                rows += [(file, x[0], y[0], x[1]) for x, y in zip(marks, marks[1:]) if y[0] > x[0]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "start", "stop", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for file, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                data, at, n = memoryview(blob.as_buffer()), 0, 0
-                while at < len(data):
-                    rows = []
-                    while at < len(data) and len(rows) < 1000:
-                        if at + 4 > len(data):
-                            raise WireError(f"{file}: cut-off length")
-                        (size,) = struct.unpack_from("<I", data, at)
-                        if at + 4 + size > len(data):
-                            raise WireError(f"{file}: cut-off message")
-                        rows.append(bytes(data[at + 4 : at + 4 + size]))
-                        at += 4 + size
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(rows, pa.binary())], names=["file", "n", "payload"])
-                    n += len(rows)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, n bigint, payload binary")
+            for file, at, stop, n in zip(*(b.column(i).to_pylist() for i in range(4))):
+                system, name = _file(file)
+                with system.open_input_file(name) as f:
+                    f.seek(at)
+                    source = io.BufferedReader(f, 1 << 20)
+                    while at < stop:
+                        rows, size = [], 0
+                        while at < stop and len(rows) < 1000 and size < 1 << 24:
+                            head = source.read(4)
+                            if len(head) < 4:
+                                raise WireError(f"{file}: cut-off length")
+                            (length,) = struct.unpack("<I", head)
+                            blob = source.read(length)
+                            if len(blob) < length:
+                                raise WireError(f"{file}: cut-off message")
+                            rows.append(blob)
+                            at, size = at + 4 + length, size + length
+                        yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(rows, pa.binary())], names=["file", "n", "payload"])
+                        n += len(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    split = files.mapInArrow(parts, "file string, start bigint, stop bigint, n bigint")
+    return split.repartition("file", "start").mapInArrow(run, "file string, n bigint, payload binary")
 
 
 def frame(blobs: Iterable[bytes]) -> bytes:
