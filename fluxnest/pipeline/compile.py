@@ -7,7 +7,9 @@ interprets them instead.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import BOOL, DOUBLE, LONG, NULL, STRING, PlanError, V, common, compare, float_view, int_view, literal, null, to_str, truthy
+from .interpret import PipeError, execute
 
 
 class Untyped(Exception):
@@ -561,6 +564,126 @@ def _explode(v):
     return one(F.transform(F.filter(F.split(s, ""), lambda x: x != ""), lambda c: F.ascii(c).cast("bigint")), T.ArrayType(LONG))
 
 
+@_builtin("implode")
+def _implode(v):
+    kind = _list(v, "implode").kind.elementType
+    if not V(F.lit(None), kind).is_int:
+        raise Untyped("implode")
+    wide = F.transform(v.col, lambda c: F.lpad(F.hex(c.cast("bigint")), 8, "0"))
+    odd = F.exists(v.col, lambda c: F.coalesce((c < 0) | (c >= 0x110000), F.lit(True)))
+    return one(F.when(odd, _fail("implode: no code point", STRING)).otherwise(F.decode(F.unhex(F.array_join(wide, "")), "UTF-32")), STRING)
+
+
+@_builtin("ascii")
+def _ascii(v):
+    s = _text(v, "ascii")
+    first = F.conv(F.substring(F.hex(F.encode(s, "UTF-8")), 1, 2), 16, 10).cast("bigint")
+    return one(F.when(F.coalesce(s, F.lit("")) == "", _fail("ascii: empty string", LONG)).otherwise(first), LONG)
+
+
+@_builtin("@base64d")
+def _unbase64(v):
+    s = _text(v, "@base64d")
+    plain = F.translate(F.concat(s, F.repeat(F.lit("="), F.pmod(-F.length(s), F.lit(4)))), "-_", "+/")
+    raw = F.try_to_binary(plain, F.lit("base64"))
+    text = F.try_validate_utf8(raw.cast("string"))
+    return one(F.when(text.isNull(), _fail("@base64d: the input is no base64", STRING)).otherwise(text), STRING)
+
+
+@_builtin("transpose")
+def _transpose(v):
+    kind = _list(v, "transpose").kind.elementType
+    if not isinstance(kind, T.ArrayType):
+        raise Untyped("transpose")
+    n = F.coalesce(F.array_max(F.transform(v.col, lambda r: F.size(r))), F.lit(0))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return one(F.transform(places, lambda i: F.transform(v.col, lambda r: F.get(r, i))), T.ArrayType(kind))
+
+
+def _json_text(v: V) -> Column:
+    """A value as JSON, keys in order; numbers with a fraction aren't written alike everywhere."""
+    if isinstance(v.kind, T.StructType):
+        parts = [F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), _json_text(V(v.col[n], v.kind[n].dataType))) for n in sorted(v.kind.fieldNames())]
+        out = F.concat(F.lit("{"), *(x for i, part in enumerate(parts) for x in ([F.lit(",")] if i else []) + [part]), F.lit("}"))
+    elif _is_list(v):
+        kind = v.kind.elementType
+        out = F.concat(F.lit("["), F.array_join(F.transform(v.col, lambda x: _json_text(V(x, kind))), ","), F.lit("]"))
+    elif v.is_string:
+        out = F.regexp_extract(F.to_json(F.array(v.col)), r"(?s)^\[(.*)\]$", 1)
+    elif v.is_bool or v.is_int:
+        out = v.col.cast("string")
+    else:
+        raise Untyped("tojson")
+    return F.when(v.col.isNull(), "null").otherwise(out)
+
+
+@_builtin("tojson", "@json")
+def _tojson(v):
+    return one(_json_text(v), STRING)
+
+
+def _found(v: V, a, last: bool) -> Stream:
+    x = a(v).first()
+    if v.is_string and x.is_string and not last:
+        at = F.locate(a.tree[1], v.col) if a.tree[0] == "lit" and a.tree[1] else None
+        if at is None:
+            raise Untyped("index")
+        return one(F.when(at > 0, F.octet_length(F.substring(v.col, F.lit(1), at - 1)).cast("bigint")), LONG)
+    places = _indices(v, a).v.col
+    return one(F.get(places, F.size(places) - 1 if last else F.lit(0)), LONG)
+
+
+@_builtin("indices", args=1)
+def _indices(v, a):
+    kind, x = _list(v, "indices").kind.elementType, a(v).first()
+    places = F.transform(v.col, lambda y, i: F.when(compare(V(y, kind), x, "eq"), i.cast("bigint")))
+    return one(F.filter(places, lambda i: i.isNotNull()), T.ArrayType(LONG))
+
+
+_BUILTINS["index", 1] = lambda v, a: _found(v, a, False)
+_BUILTINS["rindex", 1] = lambda v, a: _found(v, a, True)
+
+
+@_builtin("capture", args=1)
+def _capture(v, a):
+    p = _constant_text(a)
+    names = re.compile(p).groupindex
+    pairs = [x for n, i in names.items() for x in (F.lit(n), F.regexp_extract(_text(v, "capture"), _regex(p), i))]
+    return one(F.when(_text(v, "capture").rlike(_regex(p)), F.array(*pairs) if pairs else F.array().cast("array<string>")), T.ArrayType(STRING))
+
+
+@_builtin("scan", args=1)
+def _scan(v, a):
+    p, s = _constant_text(a), _text(v, "scan")
+    groups = range(1, re.compile(p).groups + 1) or [0]
+    every = [F.regexp_extract_all(s, F.lit(_regex(p)), F.lit(g)) for g in groups]
+    return many(F.transform(every[0], lambda x, i: F.array(*(F.get(e, i) for e in every))), T.ArrayType(STRING))
+
+
+@_builtin("splits", args=1)
+def _splits(v, a):
+    p = _constant_text(a)
+    if re.compile(p).search("") is not None:
+        raise Untyped("a pattern that matches nothing")
+    return many(F.split(_text(v, "splits"), _regex(p), -1), STRING)
+
+
+@_builtin("getpath", args=1)
+def _getpath(v, a):
+    try:
+        (path,) = execute(a.tree, None)
+    except PipeError:
+        raise Untyped("path that isn't constant") from None
+    for k in path if isinstance(path, list) else ():
+        if isinstance(v.kind, T.StructType) and isinstance(k, str) and k in v.kind.fieldNames():
+            v = V(v.col[k], v.kind[k].dataType)
+        elif _is_list(v) and isinstance(k, int) and not isinstance(k, bool):
+            v = V(F.get(v.col, F.lit(k) if k >= 0 else F.size(v.col) + k), v.kind.elementType)
+        else:
+            raise Untyped("getpath")
+    return Stream(v)
+
+
 @_builtin("map", args=1)
 def _map(v, f):
     return Stream(bind(_iterate(_list(v, "map")), f).array)
@@ -785,6 +908,8 @@ def _tsv(v):
 def _has(v, k):
     if isinstance(v.kind, T.MapType):
         return one(F.map_contains_key(v.col, k(v).first().col), BOOL)
+    if isinstance(v.kind, T.StructType) and k.tree[0] == "lit":
+        return one(F.when(v.col.isNull(), _fail("has needs an object", BOOL)).otherwise(F.lit(k.tree[1] in v.kind.fieldNames())), BOOL)
     raise Untyped("has")
 
 

@@ -1,6 +1,7 @@
 """Queries of the pipeline language, one for each construct and builtin, over orders with their items.
 
-Those with SQL return typed arrays or values; programs that can't be typed run in the interpreter and return JSON texts.
+TYPED ones return typed arrays or values. INTERPRETED ones return JSON texts: they are compiled too where that can be done, and run in
+the interpreter otherwise.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..pipeline.run import interpret, pipeline
+from ..pipeline.compile import Untyped
+from ..pipeline.run import as_json, compile_pipeline, interpret, pipeline
 from ..sources.nested import events_by_user, orders_nested
 from .nested import ORDERS
 
@@ -37,7 +39,7 @@ TYPED: dict[str, tuple[str, str]] = {
     "and": (".items[] | .l_discount and .l_tax", "list_transform(items, lambda x: x.l_discount <> 0 AND x.l_tax <> 0)"),
     "or": (".items[] | .l_discount or .l_tax", "list_transform(items, lambda x: x.l_discount <> 0 OR x.l_tax <> 0)"),
     "not": (".items[] | .l_discount | not", "list_transform(items, lambda x: x.l_discount = 0)"),
-    "literal": ('"x"', "['x']"),
+    "literal": ('.items[] | .l_returnflag + "x"', "list_transform(items, lambda x: x.l_returnflag || 'x')"),
     "empty": (".items[] | select(.l_quantity < 0) | .l_partkey, empty", "CAST([] AS BIGINT[])"),
     "as": (".o_custkey as $c | .items[] | .l_partkey + $c", "list_transform(items, lambda x: x.l_partkey + o_custkey)"),
     "if": ('if .o_totalprice > 200000 then "high" elif .o_totalprice > 50000 then "mid" else "low" end', "[CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END]"),
@@ -121,6 +123,8 @@ TYPED: dict[str, tuple[str, str]] = {
     "text": (".o_orderkey | @text", "[CAST(o_orderkey AS VARCHAR)]"),
     "debug": (".o_orderkey | debug", "[o_orderkey]"),
 }
+_JSON = "['[' || array_to_string({}, ',') || ']']".format
+_DOUBLED = "list_transform(range(0, 11), lambda k: (o_custkey + 1) * (1 << k))"
 #: name -> (program, SQL of its outputs as JSON texts, or None)
 INTERPRETED: dict[str, tuple[str, str | None]] = {
     "values_object": ("{a: .o_orderkey, b: .o_custkey} | values", "['[' || o_orderkey || ',' || o_custkey || ']']"),
@@ -140,82 +144,65 @@ INTERPRETED: dict[str, tuple[str, str | None]] = {
     "indices": ("[.items[].l_returnflag] | sort | indices(\"R\")", f"['[' || array_to_string(list_transform(list_filter(list_transform(list_sort({_F}), lambda x, i: CASE WHEN x = 'R' THEN i - 1 END), lambda i: i IS NOT NULL), lambda i: CAST(i AS VARCHAR)), ',') || ']']"),
     "index": ('.o_orderpriority | index("-")', "[coalesce(CAST(nullif(strpos(o_orderpriority, '-'), 0) - 1 AS VARCHAR), 'null')]"),
     "rindex": ('[.items[].l_returnflag] | sort | rindex("R")', f"[CASE WHEN list_contains({_F}, 'R') THEN CAST(len(items) - 1 AS VARCHAR) ELSE 'null' END]"),
-    "nan": ("[nan] | map(isnan)", "['[true]']"),
-    "infinite": ("infinite | isinfinite", "['true']"),
+    "nan": ("[.items[] | if .l_linenumber > 3 then nan else .l_quantity end | isnan]", _JSON("list_transform(items, lambda x: CASE WHEN x.l_linenumber > 3 THEN 'true' ELSE 'false' END)")),
+    "infinite": ("[.items[] | if .l_linenumber > 3 then infinite else .l_quantity end | isinfinite]", _JSON("list_transform(items, lambda x: CASE WHEN x.l_linenumber > 3 THEN 'true' ELSE 'false' END)")),
     "tojson": ("{k: .o_orderkey} | tojson", "['\"{\\\"k\\\":' || o_orderkey || '}\"']"),
-    "fromjson": ('"[1.0, 2]" | fromjson', "['[1,2]']"),
+    "fromjson": ("[.items | tojson | fromjson | .[].l_partkey]", _JSON(_K)),
     "json": ("[.o_orderkey] | @json", "['\"[' || o_orderkey || ']\"']"),
     "base64d": (".o_orderpriority | @base64 | @base64d", "['\"' || o_orderpriority || '\"']"),
-    "keys_unsorted": ("{b: 1, a: 2} | keys_unsorted | sort", "['[\"a\",\"b\"]']"),
-    "has": ("{a: 1} | has(\"a\"), has(\"b\")", "['true', 'false']"),
-    "in": ("\"a\" | in({a: 1})", "['true']"),
+    "keys_unsorted": ('[.items[] | keys_unsorted | join("+") | length]', _JSON("list_transform(items, lambda x: '46')")),
+    "has": ('[.items[] | has("l_partkey"), has("no")]', _JSON("flatten(list_transform(items, lambda x: ['true', 'false']))")),
+    "in": ('[.items[] | . as $i | "l_partkey" | in($i)]', _JSON("list_transform(items, lambda x: 'true')")),
     "to_entries": ("{k: .o_orderkey} | to_entries", "['[{\"key\":\"k\",\"value\":' || o_orderkey || '}]']"),
     "from_entries": ("[[\"k\", .o_orderkey]] | from_entries", "['{\"k\":' || o_orderkey || '}']"),
     "with_entries": ("{k: .o_orderkey} | with_entries({key: (.key + \"2\"), value: .value})", "['{\"k2\":' || o_orderkey || '}']"),
     "getpath": ('getpath(["items", 0, "l_partkey"])', "[coalesce(CAST(items[1].l_partkey AS VARCHAR), 'null')]"),
-    "setpath": ('{} | setpath(["a", "b"]; 1)', "['{\"a\":{\"b\":1}}']"),
-    "delpaths": ('{a: 1, b: 2} | delpaths([["a"]])', "['{\"b\":2}']"),
-    "merge": ("{a: 1} + {a: 2, b: 3}", "['{\"a\":2,\"b\":3}']"),
-    "deep_merge": ("{a: {x: 1}} * {a: {y: 2}}", "['{\"a\":{\"x\":1,\"y\":2}}']"),
-    "paths": ("{a: [1]} | [paths]", "['[[\"a\",0],[\"a\"]]']"),
-    "leaf_paths": ("{a: [1]} | [leaf_paths]", "['[[\"a\",0]]']"),
-    "paths_filter": ("{a: [1]} | [paths(numbers)]", "['[[\"a\",0]]']"),
-    "recurse": ("[[1, [2]] | recurse | numbers]", "['[1,2]']"),
-    "recurse_f": ("[1 | recurse(if . < 4 then . + 1 else empty end)]", "['[1,2,3,4]']"),
-    "while": ("[1 | while(. < 20; . * 2)]", "['[1,2,4,8,16]']"),
-    "until": ("1 | until(. > 20; . * 2)", "['32']"),
-    "repeat": ("[limit(3; 1 | repeat(if . > 100 then empty else . * 2 end))]", "['[1,2,4]']"),
-    "error": ('try error catch "caught"', "['\"caught\"']"),
-    "env": ("[env, input]", "['[null,null]']"),
-    "inputs": ("[inputs]", "['[]']"),
-    "builtins": ("builtins | length > 100", "['true']"),
-    "objects": ("{a: 1}, 2 | objects", "['{\"a\":1}']"),
-    "interpolate_mixed": (r'"\(.o_orderkey)/\(.items | length)"', "['\"' || o_orderkey || '/' || len(items) || '\"']"),
-}
-
-_JSON = "['[' || array_to_string({}, ',') || ']']".format
-_DOUBLED = "list_transform(range(0, 11), lambda k: (o_custkey + 1) * (1 << k))"
-#: The builtins that INTERPRETED shows on literals, applied to the record: name -> (program, SQL of its outputs as JSON texts)
-ON_RECORDS: dict[str, tuple[str, str]] = {
-    "recurse": ("[.items | recurse | objects | .l_partkey], ([.items | recurse] | length)", f"['[' || array_to_string({_K}, ',') || ']', CAST(1 + 5 * len(items) AS VARCHAR)]"),
-    "paths": ("[.items | paths] | length", "[CAST(5 * len(items) AS VARCHAR)]"),
-    "leaf_paths": ("[.items | leaf_paths] | length", "[CAST(4 * len(items) AS VARCHAR)]"),
-    "paths_filter": ("[.items | paths(strings) | .[0]]", _JSON("range(0, len(items))")),
     "setpath": ('[.items[] | setpath(["l_partkey"]; 7) | .l_partkey + .l_linenumber]', _JSON("list_transform(items, lambda x: x.l_linenumber + 7)")),
     "delpaths": ('[.items[] | delpaths([["l_partkey"]]) | .l_partkey // .l_linenumber]', _JSON("list_transform(items, lambda x: x.l_linenumber)")),
     "merge": ("[.items[] | . + {l_partkey: .l_linenumber} | .l_partkey + .l_linenumber]", _JSON("list_transform(items, lambda x: 2 * x.l_linenumber)")),
     "deep_merge": ("[.items[] | {a: .} * {a: {x: 1}} | .a.x + .a.l_partkey]", _JSON("list_transform(items, lambda x: x.l_partkey + 1)")),
-    "has": ('[.items[] | has("l_partkey"), has("no")]', _JSON("flatten(list_transform(items, lambda x: ['true', 'false']))")),
-    "in": ('[.items[] | . as $i | "l_partkey" | in($i)]', _JSON("list_transform(items, lambda x: 'true')")),
-    "objects": ("[(.items[], 1) | objects | .l_partkey]", _JSON(_K)),
+    "paths": ("[.items | paths] | length", "[CAST(5 * len(items) AS VARCHAR)]"),
+    "leaf_paths": ("[.items | leaf_paths] | length", "[CAST(4 * len(items) AS VARCHAR)]"),
+    "paths_filter": ("[.items | paths(strings) | .[0]]", _JSON("range(0, len(items))")),
+    "recurse": ("[.items | recurse | objects | .l_partkey], ([.items | recurse] | length)", f"['[' || array_to_string({_K}, ',') || ']', CAST(1 + 5 * len(items) AS VARCHAR)]"),
+    "recurse_f": ("[.o_custkey | recurse(if . < 700 then . + 100 else empty end)] | length", "[CAST(1 + greatest(0, CAST(ceil((700 - o_custkey) / 100.0) AS BIGINT)) AS VARCHAR)]"),
     "while": ("[.o_custkey + 1 | while(. <= 1000; . * 2)]", _JSON(f"list_filter({_DOUBLED}, lambda x: x <= 1000)")),
     "until": (".o_custkey + 1 | until(. > 1000; . * 2)", f"[CAST(list_filter({_DOUBLED}, lambda x: x > 1000)[1] AS VARCHAR)]"),
     "repeat": (".o_custkey as $c | [$c | repeat(if . > $c + 1 then empty else . + 1 end)]", _JSON("[o_custkey, o_custkey + 1, o_custkey + 2]")),
-    "fromjson": ("[.items | tojson | fromjson | .[].l_partkey]", _JSON(_K)),
+    "error": ('try (if .o_custkey > 700 then error else .o_orderkey end) catch "caught"', "[CASE WHEN o_custkey > 700 THEN '\"caught\"' ELSE CAST(o_orderkey AS VARCHAR) END]"),
+    "env": ("[.items[] | env, input, .l_linenumber]", _JSON("flatten(list_transform(items, lambda x: ['null', 'null', CAST(x.l_linenumber AS VARCHAR)]))")),
+    "inputs": ("[.items[] | inputs, .l_linenumber]", _JSON("list_transform(items, lambda x: x.l_linenumber)")),
+    "builtins": ("(builtins | length > 100) and .o_custkey > 100", "[CASE WHEN o_custkey > 100 THEN 'true' ELSE 'false' END]"),
+    "objects": ("[(.items[], 1) | objects | .l_partkey]", _JSON(_K)),
+    "interpolate_mixed": (r'"\(.o_orderkey)/\(.items | length)"', "['\"' || o_orderkey || '/' || len(items) || '\"']"),
 }
 
-
 def _typed(program: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: pipeline(orders_nested(s, d), program, ["o_orderkey"], engine="columns")
 
 
-def _interpreted(program: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: interpret(orders_nested(s, d, ["l_linenumber", "l_partkey", "l_quantity", "l_returnflag"]), program, ["o_orderkey"])
+def _texts(program: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A program's outputs as JSON texts: compiled where it can be typed, interpreted otherwise."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = orders_nested(spark, d, ["l_linenumber", "l_partkey", "l_quantity", "l_returnflag"])
+        try:
+            v = compile_pipeline(df.schema, program).array
+        except Untyped:
+            return interpret(df, program, ["o_orderkey"])
+        return df.select("o_orderkey", as_json(v.col, v.kind).alias("out"))
+
+    return run
 
 
 for _name, (_program, _sql) in TYPED.items():
     QUERIES[f"pipe_{_name}"] = _typed(_program)
     ORACLES[f"pipe_{_name}"] = f"WITH {ORDERS} SELECT o_orderkey, {_sql} AS out FROM n"
 for _name, (_program, _sql) in INTERPRETED.items():
-    QUERIES[f"pipe_{_name}"] = _interpreted(_program)
+    QUERIES[f"pipe_{_name}"] = _texts(_program)
     if _sql:
         ORACLES[f"pipe_{_name}"] = f"WITH {ORDERS} SELECT o_orderkey, {_sql} AS out FROM n"
 
-for _name, (_program, _sql) in ON_RECORDS.items():
-    QUERIES[f"pipe_records_{_name}"] = _interpreted(_program)
-    ORACLES[f"pipe_records_{_name}"] = f"WITH {ORDERS} SELECT o_orderkey, {_sql} AS out FROM n"
-
-
 def _map_values(spark: SparkSession, d: str) -> DataFrame:
     out = pipeline(events_by_user(spark, d), ".counts[]", ["user_id"], engine="columns")
     return out.select("user_id", F.array_sort("out").alias("out"))

@@ -222,3 +222,21 @@ def test_fallback_and_permissive_mode(spark):
     got = interpret(d, ".t | tonumber", ["k"], strict=False).collect()
     assert got[0].out == ["2"] and got[1].out is None and "no number" in got[1]._error
     assert [tuple(r) for r in outputs(d, ".k, .k * 2", ["k"]).collect()] == [(1, 1), (1, 2), (2, 2), (2, 4)]
+
+
+BOTH = [
+    ".t | ascii", ".t | explode | implode", ".t | @base64 | @base64d", ".xs | transpose", '{b: .n, a: [.t, "q\\"x"], c: (.n > 5)} | tojson', ".xs | @json", '.t | index("b")', ".ns | index(2), rindex(2)", ".ns | indices(2)",
+    '.t | capture("(?P<x>[a-z])(?P<y>.?)")', '.t | scan("[a-z]")', '.t | scan("([a-z])(.)")', '.t | splits("b+")', 'getpath(["o", "k"]), getpath(["ns", -1])', '.o | has("k"), has("no")', ".n + .n, .n * .n, - .n, ([.ns[], .n] | add)",
+]
+
+
+@pytest.mark.parametrize("program", BOTH)
+def test_compiled_builtins_equal_interpreted_ones(spark, program):
+    """Texts beyond ASCII, empty and null lists, and numbers at the end of 64 bits."""
+    from fluxnest.pipeline.run import as_json, compile_pipeline, interpret
+
+    rows = [(1, "aébb", [[1, 2], [3]], [2, 5, 2], (7,), 3), (2, "日b-bb本", [[], [4]], [1], (None,), 2**63 - 1), (3, "🙂xb", [], [2], (0,), -(2**63) + 1)]
+    df = spark.createDataFrame(rows, "i int, t string, xs array<array<bigint>>, ns array<bigint>, o struct<k: bigint>, n bigint").coalesce(1)
+    v = compile_pipeline(df.schema, program).array
+    got = {r.i: r.out for r in df.select("i", as_json(v.col, v.kind).alias("out")).collect()}
+    assert got == {r.i: r.out for r in interpret(df, program, ["i"]).collect()}
