@@ -13,6 +13,7 @@ are sketched again with new hashes and twice the groups, so the result is comple
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -26,6 +27,8 @@ DATA, PARITY = 8, 4
 WORD = DATA + PARITY
 GROUPS, REPEATS = 1024, 3
 _SCHEMA = pa.schema([("field", pa.string()), ("rep", pa.int32()), ("grp", pa.int32()), ("counts", pa.binary())])
+#: Groups whose counters travel together.
+BUNDLE = 16
 #: Distinct fingerprints a block that are counted at a time; bounds memory.
 BLOCK = 1_000_000
 
@@ -126,14 +129,14 @@ def still_open(fp: np.ndarray, rounds: list[tuple[int, int, list[set[int]]]]) ->
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """A group's counters in the fewest bytes each that hold the largest, after a byte that says how many."""
+    """Counters of BUNDLE groups in the fewest bytes each that hold the largest, deflated, after a byte that says how many."""
     top = int(counts.max())
     width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + zlib.compress(counts.astype(f"<u{width}").tobytes(), 1)
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64).reshape(2 * WORD, 16)
+    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.int64).reshape(-1, 2 * WORD, 16)
 
 
 def _count(fields: list[str], groups: int, repeats: int, seed: int, only: "Only"):
@@ -170,9 +173,9 @@ def _count(fields: list[str], groups: int, repeats: int, seed: int, only: "Only"
         for f in fields:
             settle(f)
             for rep in range(repeats):
-                some = np.flatnonzero(tables[f][rep, :, 0, :].any(axis=1))
+                some = np.unique(np.flatnonzero(tables[f][rep, :, 0, :].any(axis=1)) // BUNDLE)
                 if len(some):
-                    blobs = [pack(tables[f][rep, g]) for g in some]
+                    blobs = [pack(tables[f][rep, g * BUNDLE : (g + 1) * BUNDLE]) for g in some]
                     yield pa.RecordBatch.from_arrays([pa.array([f] * len(some)), pa.array([rep] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], schema=_SCHEMA)
 
     return run
@@ -206,7 +209,7 @@ def _decode_groups(least: float):
                 else:
                     sums[key] = counts
         rows = []
-        for (f, rep, g), counts in sums.items():
+        for (f, rep, g), counts in ((k, c) for (f, rep, bundle), many in sums.items() for k, c in (((f, rep, bundle * BUNDLE + i), c) for i, c in enumerate(many))):
             total = int(counts[0].sum())
             if total < least:
                 continue
@@ -246,7 +249,7 @@ def heavy_values(df: DataFrame, fields: list[str], share: float, groups: int = G
     heavy: list[tuple[str, str, int, int]] = []
     for seed in range(max_rounds):
         counters = prints.select(*active).mapInArrow(_count(active, groups, repeats, seed, only), "field string, rep int, grp int, counts binary")
-        # At most fields x repeats x groups x 2 rows, whatever the data.
+        # grp is a bundle of groups here. At most fields x repeats x groups x 2 rows come back, whatever the data.
         seen = counters.repartition("field", "rep", "grp").mapInArrow(_decode_groups(least), "field string, rep int, grp int, total bigint, fp bigint, low bigint").collect()
         fresh = []
         for r in seen:
