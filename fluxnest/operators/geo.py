@@ -24,6 +24,8 @@ from .skew import skew_join
 EARTH_M = 6_371_008.8
 #: Points of one spot that one part holds when pairs are expanded, about.
 CROWD = 1024
+#: Places of one grid cell that one part holds when candidates are verified, about.
+CELL = 10_000
 #: Edges of zones that may be broadcast: 32 bytes each.
 BROADCAST_EDGES = 250_000
 #: Parts a cell's points are spread over where the zones are too large to be broadcast.
@@ -103,7 +105,16 @@ def _near_spots(spots: DataFrame, radius_m: float, factor: float) -> DataFrame:
     probe = spots.select(F.col("spot").alias("p_spot"), F.col("n").alias("p_n"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.explode(grid.touched(F.col("lat"), F.col("lon"))).alias("at"))
     probe = probe.select("p_spot", "p_n", "p_lat", "p_lon", "at.band", "at.cell")
     above = (F.col("lat") > F.col("p_lat")) | ((F.col("lat") == F.col("p_lat")) & (F.col("spot") > F.col("p_spot")))
-    near = probe.join(home, ["band", "cell"]).filter(above & (great_circle(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) <= radius_m))
+    keys, hot = ["band", "cell"], home.groupBy("band", "cell").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > CELL)
+    if not hot.isEmpty():
+        # A crowded cell's places are spread over parts, and what probes it is repeated for each.
+        parts = materialise(hot.select("band", "cell", F.ceil(F.col("m") / CELL).cast("bigint").alias("parts")), "hot")
+        parts = broadcast_if_small(parts)
+        count = F.coalesce("parts", F.lit(1).cast("bigint"))
+        home = home.join(parts, keys, "left").withColumn("part", F.pmod(F.xxhash64("spot"), count)).drop("parts")
+        probe = probe.join(parts, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1))).drop("parts")
+        keys = ["band", "cell", "part"]
+    near = probe.join(home, keys).filter(above & (great_circle(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) <= radius_m))
     return near.select(F.col("p_spot").alias("s1"), F.col("p_n").alias("n1"), F.col("spot").alias("s2"), F.col("n").alias("n2"))
 
 

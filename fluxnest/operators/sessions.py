@@ -63,6 +63,8 @@ def sessionise(events: DataFrame, device: str, time_ms: str, gap_ms: int) -> Dat
     cells = materialise(cells, "cells")
     before = cells.select(F.col("device").alias("d2"), (F.col("cell") + 1).alias("c2"), F.col("hi").alias("before_hi"))
     links = cells.join(before, (F.col("device") == F.col("d2")) & (F.col("cell") == F.col("c2")) & (F.col("lo") - F.col("before_hi") <= gap_ms))
-    roots = resolve_roots(materialise(links.select("device", "cell", (F.col("cell") - 1).alias("ptr")), "links"))
+    links = materialise(links.select("device", "cell", (F.col("cell") - 1).alias("ptr")), "links")
+    roots = resolve_roots(links)
+    release(links)
     rooted = cells.join(roots, ["device", "cell"], "left").withColumn("root", F.coalesce("ptr", "cell"))
     return rooted.groupBy("device", "root").agg(F.min("lo").alias("start_ms"), F.max("hi").alias("end_ms"), F.sum("n").alias("n_events")).drop("root")

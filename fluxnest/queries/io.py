@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import Lit, call
 from ..plans.denorm import DenormPlan, columns, denorm
-from ..runtime import shared_dir, table
+from ..runtime import scratch, table
 from ..schema.proto import parse_proto
 from ..sources.files import read_parquet, write_parquet
 from ..sources.nested import orders_nested
@@ -70,7 +69,7 @@ def wire_permissive(spark: SparkSession, d: str) -> DataFrame:
 
 def io_parquet(spark: SparkSession, d: str) -> DataFrame:
     """Flat rows written as Parquet and read back by leaf index."""
-    path = f"{shared_dir(spark)}/fluxnest-flat-{uuid.uuid4().hex}"
+    path = scratch(spark, "flat")
     write_parquet(denorm(orders_nested(spark, d), "o_orderkey", "items[*].l_partkey", "items[*].l_quantity"), path)
     return read_parquet(spark, path, [0, 2])
 
@@ -80,7 +79,7 @@ def stream_denorm(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "bid_requests").schema
     cols = columns("rec_id", imp_id="msg.imp[*].id", cur="msg.imp[*].bidfloorcur", kind=call("cond", call("has", "msg.imp[*].id"), Lit("named"), Lit("unnamed")))
     plan = DenormPlan(schema, cols)
-    out = f"{shared_dir(spark)}/fluxnest-stream-{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     name = f"{d}/bid_request[s].parquet"
     if not table(spark, d, "bid_requests").inputFiles()[0].endswith("bid_requests.parquet"):
         name = f"{d}/bid_requests.parquet"

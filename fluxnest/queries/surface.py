@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from ..pipeline.run import interpret_json
 from ..plans import denorm as dn
 from ..plans.config import parse_config, skeleton
 from ..plans.denorm import DenormPlan, columns, denorm, query
-from ..runtime import shared_dir, table
+from ..runtime import scratch, table
 from ..schema import proto as p
 from ..sources.files import concat, iter_batches, observed, read_parquet, to_table, write_parquet
 from ..sources.nested import ITEM, customers_nested, nest, orders_nested
@@ -389,7 +388,7 @@ for _name, (_, _, _sql) in FORMATS.items():
 def io_framed(spark: SparkSession, d: str) -> DataFrame:
     """Messages written to framed files and read back in parts."""
     order, _ = _types()
-    path = f"{shared_dir(spark)}/fluxnest-framed-{uuid.uuid4().hex}"
+    path = scratch(spark, "framed")
     write_framed(_encoded(spark, d), "payload", path)
     return order.decode(read_framed(spark, path).select("payload"), "payload").select("msg.o_orderkey", "msg.o_custkey")
 
@@ -424,7 +423,7 @@ def io_observed(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'again' FROM orders")
 def io_append(spark: SparkSession, d: str) -> DataFrame:
     """Several batches written to one place; every file and row group is read back."""
-    path = f"{shared_dir(spark)}/fluxnest-batches-{uuid.uuid4().hex}"
+    path = scratch(spark, "batches")
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     write_parquet(orders, path)
     write_parquet(orders.withColumn("o_orderstatus", F.lit("again")), path, "append")
@@ -440,7 +439,7 @@ def pipe_json_text(spark: SparkSession, d: str) -> DataFrame:
 @_query(_YAML_SQL)
 def stream_wire(spark: SparkSession, d: str) -> DataFrame:
     """Raw messages as a stream: decoded, flattened by the YAML plan and flushed in bounded batches."""
-    at = f"{shared_dir(spark)}/fluxnest-messages-{uuid.uuid4().hex}"
+    at = scratch(spark, "messages")
     _encoded(spark, d).write.parquet(f"{at}/in")
     flat = _transcoder().denorm(spark.readStream.schema("payload binary").option("maxFilesPerTrigger", 4).parquet(f"{at}/in"))
     run_available(flat, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), f"{at}/checkpoint")

@@ -39,15 +39,21 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """The address of a folder in the shared folder that is deleted at exit at the latest."""
+    path = f"{shared_dir(spark)}/fluxnest-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, label: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage and survives lost executors.
 
     by: columns with few values; rows of each combination lie in a folder of their own, so that a filter on them reads no other.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fluxnest-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._fluxnest_path = path
     return back

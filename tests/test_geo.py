@@ -40,6 +40,7 @@ def test_crowded_spots_ties_nulls_and_repeats(spark):
 def test_crowds_in_parts_and_places_without_pairs(spark, monkeypatch):
     rnd = random.Random(9)
     monkeypatch.setattr(geo, "CROWD", 4)
+    monkeypatch.setattr(geo, "CELL", 2)
     pts = [(i, 10.0 + 0.001 * rnd.choice([0, 0, 0, 0, 1, 2, 7]), 20.0 + 0.001 * rnd.choice([0, 0, 0, 1]), 0, "") for i in range(1, 90)] + [(90, 50.0, 180.0, 0, ""), (91, 50.0, -180.0, 0, "")]
     shift = [(i, y, x if abs(x) < 180 else -180.0) for i, y, x, *_ in pts]
     want = {(a[0], b[0]) for a in shift for b in shift if a[0] < b[0] and metres(a, b) <= 250}
