@@ -272,9 +272,15 @@ def _loads(text: str):
         return _deep_loads(text)
 
 
+#: What a text may begin with that spells an object, a list or a text of one.
+_OPENS = frozenset('{["\ufeff \t\r\n')
+
+
 def _decode(value):
     """What a value spells: JSON inside strings is opened as long as it spells an object or a list."""
     while isinstance(value, str):
+        if value[:1] not in _OPENS:
+            return value
         text = value.strip("﻿ \t\r\n")
         if text[:1] not in ("{", "[", '"'):
             return value
@@ -307,14 +313,19 @@ class Settled:
         while todo:
             v = todo.pop()
             order.append(v)
-            for k, x in list(v.items()) if isinstance(v, dict) else list(enumerate(v)):
-                if isinstance(x, str) and (opened := _decode(x)) is not x:
-                    v[k] = x = opened
-                if isinstance(x, (dict, list)):
+            for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+                kind = type(x)
+                if kind is str:
+                    if x[:1] not in _OPENS or (opened := _decode(x)) is x:
+                        continue
+                    v[k] = x = opened  # a value in its place: the walk goes on
+                    kind = type(x)
+                if kind is dict or kind is list:
                     todo.append(x)
         self._live: dict[int, bool] = {}
+        live = self._live
         for v in reversed(order):  # children come after their parents
-            self._live[id(v)] = any(map(self.live, v.values() if isinstance(v, dict) else v))
+            live[id(v)] = any(live[id(x)] if type(x) is dict or type(x) is list else x is not None for x in (v.values() if type(v) is dict else v))
 
     def live(self, x) -> bool:
         return self._live[id(x)] if isinstance(x, (dict, list)) else x is not None
