@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small_enough
+from ..runtime import materialise, small_enough
 
 #: Dimension rows of heavy keys that may be broadcast.
 HOT_ROWS = 10_000
@@ -51,6 +51,19 @@ def frequent_candidates(df: DataFrame, fields: list[str], k: int) -> DataFrame:
     return df.select(*fields).mapInArrow(run, "field string, value string, low bigint").groupBy("field", "value").agg(F.sum("low").alias("low"))
 
 
+def _likely(df: DataFrame, fields: list[str], share: float, total: int) -> DataFrame:
+    """(field, value) of everything that may have the share: at most 1 / (share - 1 / (k + 1)) values a field, whatever the data."""
+    k = int(4 / share)
+    floor = share * total - total / (k + 1)
+    return frequent_candidates(df, fields, k).filter(F.col("low") >= floor).select("field", "value")
+
+
+def _long(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value) of every row and column, without nulls."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields)))
+    return df.select(pairs.alias("x")).select("x.*").filter(F.col("value").isNotNull())
+
+
 def heavy_hitters(df: DataFrame, fields: list[str], share: float) -> DataFrame:
     """(field, value, n): values of columns, as strings, found in at least share of all rows, with exact counts.
 
@@ -58,15 +71,28 @@ def heavy_hitters(df: DataFrame, fields: list[str], share: float) -> DataFrame:
     """
     df = df.select(*(F.col(f).cast("string").alias(f) for f in fields))
     total = df.count()
-    k = int(4 / share)
-    floor = share * total - total / (k + 1)
-    # At most 1 / (share - 1 / (k + 1)) values a field pass the floor, so the list is bounded whatever the data.
-    likely = frequent_candidates(df, fields, k).filter(F.col("low") >= floor).select("field", "value")
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields))).alias("x")).select("x.*")
-    exact = long.join(F.broadcast(likely), ["field", "value"]).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+    likely = _likely(df, fields, share, total)
+    exact = _long(df, fields).join(F.broadcast(likely), ["field", "value"]).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     return exact.filter(F.col("n") >= share * total)
 
 
+def per_key_counts(df: DataFrame, fields: list[str], share: float) -> DataFrame:
+    """(field, value, n, hot): exact number of rows of every value of columns, as strings; hot values are found in at least share of all rows.
+
+    Likely heavy values are detected by the sketch and counted where their rows lie, by a broadcast of them; rows of all
+    other values, each below the share, go through an ordinary shuffle; the results are united. Null is no value, the empty
+    string one that is never hot. An empty table has none.
+    """
+    df = df.select(*(F.col(f).cast("string").alias(f) for f in fields))
+    total = df.count()
+    likely = F.broadcast(materialise(_likely(df, fields, share, total), "likely"))
+    rows, keys = _long(df, fields), ["field", "value"]
+    count = F.count(F.lit(1)).alias("n")
+    heavy = rows.join(likely, keys).groupBy(*keys).agg(count).withColumn("hot", F.col("n") >= share * total)
+    light = rows.join(likely, keys, "left_anti").groupBy(*keys).agg(count).withColumn("hot", F.lit(False))
+    return heavy.unionByName(light)
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.03, how: str = "left", salts: int = 64) -> DataFrame:
     """Join a skewed table with a dimension; same rows as the plain join.
 

@@ -110,8 +110,13 @@ def p2_spots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    hot = skew.heavy_hitters(table(spark, d, "request_log"), ["site_id", "country"], HOT_SHARE)
-    return hot.select("field", F.col("value").alias("hot_key"))
+    counts = skew.per_key_counts(table(spark, d, "request_log"), ["site_id", "country"], HOT_SHARE)
+    return counts.filter("hot").select("field", F.col("value").alias("hot_key"))
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every site and country, heavy or not, by the same way."""
+    return skew.per_key_counts(table(spark, d, "request_log"), ["site_id", "country"], HOT_SHARE)
 
 
 def p3_site_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +157,7 @@ def p6_kept(spark: SparkSession, d: str) -> DataFrame:
     return log.join(dedup.redelivered(log), "rec_id", "left_anti").select("rec_id", "batch_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_bid_variants, p1_subtypes, p2_found, p2_spots, p3_found, p3_site_totals, p3_country_totals, p3_publisher_rows, p4_found, p4_sessions, p6_found, p6_kept)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_variants, p1_bid_variants, p1_subtypes, p2_found, p2_spots, p3_found, p3_counts, p3_site_totals, p3_country_totals, p3_publisher_rows, p4_found, p4_sessions, p6_found, p6_kept)}
 
 for _entity in ("imp", "deal", "device", "geo", "user", "demographic"):
     QUERIES[f"p1_bid_{_entity}"] = _typed_table(_entity)
@@ -232,6 +237,7 @@ SELECT geo_id, spot, n_same, coalesce(n, 0) AS n_near FROM o LEFT JOIN m ON geo_
 SELECT 'near' AS kind, a_id, b_id FROM near UNION ALL SELECT 'zone', geo_id, zone_id FROM (SELECT geo_id, zone_id, sum(odd) AS n FROM r GROUP BY ALL) WHERE n % 2 = 1
 """,
     "p3_found": "SELECT field, hot_key FROM (SELECT 'site_id' AS field, site_id AS hot_key, count(*) AS n FROM request_log GROUP BY ALL UNION ALL SELECT 'country', country, count(*) FROM request_log GROUP BY ALL) WHERE hot_key IS NOT NULL AND hot_key <> '' AND n >= 0.03 * (SELECT count(*) FROM request_log)",
+    "p3_counts": "SELECT field, value, n, value <> '' AND n >= 0.03 * (SELECT count(*) FROM request_log) AS hot FROM (SELECT 'site_id' AS field, site_id AS value, count(*) AS n FROM request_log GROUP BY ALL UNION ALL SELECT 'country', country, count(*) FROM request_log GROUP BY ALL) WHERE value IS NOT NULL",
     "p3_site_totals": "SELECT site_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT ifa) AS BIGINT) AS n_distinct FROM request_log GROUP BY site_id",
     "p3_country_totals": "SELECT country, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT user_id) AS BIGINT) AS n_distinct FROM request_log GROUP BY country",
     "p3_publisher_rows": "SELECT publisher.id AS publisher_id, count(*) AS n_rows FROM request_log LEFT JOIN sites USING (site_id) GROUP BY 1",

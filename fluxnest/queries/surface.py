@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..api import Transcoder
 from ..functions.exprs import Lit, call
@@ -175,6 +176,29 @@ def wire_flattened(spark: SparkSession, d: str) -> DataFrame:
     return kind.decode(kind.encode(o.select(row.alias("m")), "m"), "payload").select("msg.*")
 
 
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def schema_prune_type(spark: SparkSession, d: str) -> DataFrame:
+    """A type without the structs that hold nothing, at any depth, reads the rest."""
+    kind = p.prune_type(T.StructType.fromDDL("k bigint").add("none", T.StructType()).add("deep", T.ArrayType(T.StructType().add("none", T.StructType()))))
+    return table(spark, d, "events").select("event_id", F.from_json("props", kind).alias("x")).select("event_id", "x.*")
+
+
+@_query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'FILLED' WHEN 'O' THEN 'OPEN' ELSE 'NONE' END AS state FROM orders")
+def plan_enum(spark: SparkSession, d: str) -> DataFrame:
+    """Names of an enum, taken from the schema by the path of an expression."""
+    text = 'syntax = "proto3"; enum State { NONE = 0; OPEN = 1; FILLED = 5; } message Order { int64 o_orderkey = 1; State state = 2; }'
+    plan = """
+proto: {file: order.proto, message: Order}
+denormalizer:
+  columns:
+    - {name: o_orderkey, path: o_orderkey}
+    - {name: state, expr: {func: enum_name, args: [{path: state}]}}
+"""
+    t = Transcoder.from_config_string(plan, sources={"order.proto": text})
+    state = F.when(F.col("o_orderstatus") == "F", 5).when(F.col("o_orderstatus") == "O", 1).otherwise(0)
+    return t.denorm(t.encode(table(spark, d, "orders").select(F.struct("o_orderkey", state.alias("state")).alias("msg"))))
+
+
 # ---- configurations and transcoders
 
 _YAML = """

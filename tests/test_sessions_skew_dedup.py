@@ -144,3 +144,11 @@ def test_skewed_join_of_any_key_type_and_repeated_keys(spark, monkeypatch, kind,
             assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
     with pytest.raises(TypeError):
         skew.skew_join(left, right.withColumn("k", F.lit(1.5)), "k")
+
+
+def test_counts_of_every_key(spark):
+    values = ["hot"] * 50 + ["warm"] * 10 + [f"v{i % 37}" for i in range(200)] + [""] * 90 + [None] * 40
+    df = spark.createDataFrame([(v, i % 3, 1, "x") for i, v in enumerate(values)], "k string, b bigint, n int, hot string").repartition(5)
+    got = {(r.field, r.value): (r.n, r.hot) for r in skew.per_key_counts(df, ["k", "b"], 0.1).collect()}
+    assert got == {("k", v): (n, v == "hot") for v, n in Counter(v for v in values if v is not None).items()} | {("b", str(i)): (130, True) for i in range(3)}
+    assert skew.per_key_counts(df.limit(0), ["k"], 0.1).count() == 0
