@@ -83,7 +83,7 @@ _IMPS = "FROM bid_requests b LEFT JOIN LATERAL (SELECT unnest(b.msg.imp) AS x, g
 
 
 @_query(
-    f"SELECT rec_id, msg.id AS request, msg.device.ifa AS ifa, msg.device.geo.lat.units AS lat, msg.device.geo.country AS country, coalesce(CAST(floor(epoch_us(msg.timestamp) / 1000) AS BIGINT), 0) AS ts, x.id AS imp_id, x.bidfloor.nanos AS nanos, x.dt AS dt, CASE WHEN x.video IS NULL THEN x.banner.w END AS banner_w, x.video.w AS video_w, CASE WHEN i IS NOT NULL THEN coalesce(x.banner.w, -1) END AS w {_IMPS}"
+    f"SELECT rec_id, msg.id AS request, msg.device.ifa AS ifa, msg.device.geo.lat.units AS lat, msg.device.geo.country AS country, coalesce(CAST(floor(epoch_us(msg.timestamp) / 1000) AS BIGINT), 0) AS ts, x.id AS imp_id, x.bidfloor.nanos AS nanos, CAST(x.dt AS VARCHAR) AS dt, CASE WHEN x.video IS NULL THEN x.banner.w END AS banner_w, x.video.w AS video_w, CASE WHEN i IS NOT NULL THEN coalesce(x.banner.w, -1) END AS w {_IMPS}"
 )
 def wire_bid_request(spark: SparkSession, d: str) -> DataFrame:
     """The ad request, encoded, decoded in whole batches and flattened."""
@@ -92,7 +92,7 @@ def wire_bid_request(spark: SparkSession, d: str) -> DataFrame:
         kind.decode(raw, "payload"), dn.Col("rec_id", "rec_id"), *columns(request="msg.id", ifa="msg.device.ifa", lat="msg.device.geo.lat.units", country="msg.device.geo.country", ts="msg.timestamp", imp_id="msg.imp[*].id", nanos="msg.imp[*].bidfloor.nanos", dt="msg.imp[*].dt", banner_w="msg.imp[*].banner.w", video_w="msg.imp[*].video.w"),
         dn.Col("w", 'msg.imp[*].sizes["w"]'), correlated=True,
     )
-    return flat.withColumn("ts", F.unix_millis("ts"))
+    return flat.withColumn("ts", F.unix_millis("ts")).withColumn("dt", F.col("dt").cast("string"))
 
 
 @_query("SELECT rec_id, y.id AS deal, y.bidfloor.units AS units, CAST(len(list_filter(coalesce(y.wseat, []), lambda s: s IS NOT NULL)) AS INTEGER) AS seats FROM bid_requests, unnest(msg.imp) AS t(x), unnest(x.pmp.deals) AS v(y)")
@@ -164,7 +164,7 @@ def wire_struct_json(spark: SparkSession, d: str) -> DataFrame:
     return kind.decode(kind.encode(rows, "m"), "payload").select("msg.*")
 
 
-@_query("SELECT o_orderkey, date_trunc('milliseconds', o_orderdate) AS at, CAST(o_orderdate AS DATE) AS day, o_custkey AS cust, o_totalprice AS price, o_orderstatus AS status, o_totalprice > 50000 AS large, o_orderstatus || ',b' AS mask FROM orders")
+@_query("SELECT o_orderkey, epoch_ms(o_orderdate) AS at, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_custkey AS cust, o_totalprice AS price, o_orderstatus AS status, o_totalprice > 50000 AS large, o_orderstatus || ',b' AS mask FROM orders")
 def wire_flattened(spark: SparkSession, d: str) -> DataFrame:
     """Well-known messages as simple columns, to bytes and back."""
     text = """syntax = "proto3"; import "google/protobuf/timestamp.proto"; import "google/protobuf/wrappers.proto"; import "google/protobuf/field_mask.proto"; import "google/type/date.proto";
@@ -172,8 +172,9 @@ def wire_flattened(spark: SparkSession, d: str) -> DataFrame:
     reg = p.parse_proto(text)
     kind = RecordType(reg, reg.lookup("W"), flatten=True)
     o = table(spark, d, "orders")
-    row = F.struct("o_orderkey", F.col("o_orderdate").alias("at"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") > 50000).alias("large"), F.concat("o_orderstatus", F.lit(",b")).alias("mask"))
-    return kind.decode(kind.encode(o.select(row.alias("m")), "m"), "payload").select("msg.*")
+    row = F.struct("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("cust"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") > 50000).alias("large"), F.concat("o_orderstatus", F.lit(",b")).alias("mask"))
+    back = kind.decode(kind.encode(o.select(row.alias("m")), "m"), "payload").select("msg.*")
+    return back.withColumn("at", F.unix_millis("at")).withColumn("day", F.col("day").cast("string"))
 
 
 @_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -345,13 +346,13 @@ def _accessors(spark: SparkSession, d: str) -> DataFrame:
     b = {n: (x.array, x.element) for n, t in (("k", "items[*].l_partkey"), ("q", "items[*].l_quantity"), ("f", "items[*].l_returnflag"), ("m", "items[*]")) for x in [_branches(df, t)]}
     negative = F.transform(b["k"][0], lambda x: x - 100)
     return df.select(
-        "o_orderkey", dn.all_floats(*b["k"]).alias("floats"), dn.all_bools(*b["q"]).alias("bools"), dn.all_uints(negative, b["k"][1]).alias("uints"), dn.first_uint(negative, b["k"][1]).alias("uint"), dn.all_bytes(*b["f"]).alias("bytes"), dn.first_bytes(*b["f"]).alias("byte"),
+        "o_orderkey", dn.all_floats(*b["k"]).alias("floats"), dn.all_bools(*b["q"]).alias("bools"), F.transform(dn.all_uints(negative, b["k"][1]), lambda x: x.cast("string")).alias("uints"), dn.first_uint(negative, b["k"][1]).cast("string").alias("uint"), F.transform(dn.all_bytes(*b["f"]), lambda x: F.hex(x)).alias("bytes"), F.hex(dn.first_bytes(*b["f"])).alias("byte"),
         F.transform(dn.all_messages(*b["m"]), lambda m: m["l_suppkey"]).alias("supps"), dn.first_message(*b["m"])["l_suppkey"].alias("supp"),
     )
 
 
 QUERIES["path_accessors_many"] = _accessors
-ORACLES["path_accessors_many"] = f"WITH {ORDERS} SELECT o_orderkey, list_transform(items, lambda x: CAST(x.l_partkey AS DOUBLE)) AS floats, list_transform(items, lambda x: x.l_quantity <> 0) AS bools, list_transform(list_filter(items, lambda x: x.l_partkey >= 100), lambda x: CAST(x.l_partkey - 100 AS DECIMAL(20, 0))) AS uints, CASE WHEN items[1].l_partkey >= 100 THEN CAST(items[1].l_partkey - 100 AS DECIMAL(20, 0)) ELSE CAST(0 AS DECIMAL(20, 0)) END AS uint, list_transform(items, lambda x: encode(x.l_returnflag)) AS bytes, encode(items[1].l_returnflag) AS byte, list_transform(items, lambda x: x.l_suppkey) AS supps, items[1].l_suppkey AS supp FROM n"
+ORACLES["path_accessors_many"] = f"WITH {ORDERS} SELECT o_orderkey, list_transform(items, lambda x: CAST(x.l_partkey AS DOUBLE)) AS floats, list_transform(items, lambda x: x.l_quantity <> 0) AS bools, list_transform(list_filter(items, lambda x: x.l_partkey >= 100), lambda x: CAST(x.l_partkey - 100 AS VARCHAR)) AS uints, CASE WHEN items[1].l_partkey >= 100 THEN CAST(items[1].l_partkey - 100 AS VARCHAR) ELSE '0' END AS uint, list_transform(items, lambda x: hex(encode(x.l_returnflag))) AS bytes, hex(encode(items[1].l_returnflag)) AS byte, list_transform(items, lambda x: x.l_suppkey) AS supps, items[1].l_suppkey AS supp FROM n"
 
 
 @_query("SELECT o_orderkey, NULL AS nothing, true AS yes, 7 AS whole, 2.5::DOUBLE AS real, 'x' || o_orderstatus AS text FROM orders")
