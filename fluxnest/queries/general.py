@@ -82,10 +82,14 @@ def _typed_table(entity: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _whole_table(entity: str) -> Callable[[SparkSession, str], DataFrame]:
-    """One entity's table from both sources: its subtype tables united again by their common columns."""
+    """One entity's table from both sources; nothing is written."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = _objects(spark, d).filter(F.col("entity") == entity).select("rec_id", "variant", "place", F.col(entity).alias("obj"))
+        spec, bids = shred.BID_REQUEST, table(spark, d, "bid_requests")
+        kind = shred.entity_kind(bids.schema["msg"].dataType, spec, entity)
+        text = shred.shred_json(table(spark, d, "raw_requests"), "payload", spec, "rec_id", {entity: kind})
+        read = text.select("rec_id", "variant", "place", F.from_json("obj_json", kind).alias("obj"))
+        t = shred.entity_table(bids, "msg", spec, entity, ["rec_id"]).unionByName(read)
         return t.select("rec_id", *_links(*_PLACES.get(entity, ())), "variant", *_fields(entity))
 
     return run

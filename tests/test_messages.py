@@ -280,3 +280,26 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = spark.read.parquet(src)
     assert windowed_counts(batch, "t", ["k"], "10 minutes").count() == 9
     assert session_counts(batch, "t", ["k"], "5 minutes").count() == 3
+
+
+def test_framed_files_in_parts(spark, tmp_path):
+    """Null bytes are left out, empty ones kept; files are cut into parts by their index, and read whole without one."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from fluxnest.wire.frames import write_framed
+
+    blobs = [None if i % 50 == 3 else b"" if i % 50 == 4 else bytes([i % 256]) * (i % 40) for i in range(3000)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(blobs)], "n int, b binary").repartition(3)
+    assert write_framed(df, "b", str(tmp_path / "x"), part=2000) == sum(b is not None for b in blobs)
+    back = read_framed(spark, str(tmp_path / "x"))
+    rows = back.collect()
+    assert sorted(bytes(r.payload) for r in rows) == sorted(b for b in blobs if b is not None)
+    assert len({(r.file, r.n) for r in rows}) == len(rows) and len({r.file for r in rows}) == 3
+    assert back.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    for f in os.listdir(tmp_path / "x"):
+        if f.endswith(".index"):
+            os.remove(tmp_path / "x" / f)
+    assert sorted((r.file, r.n, bytes(r.payload)) for r in read_framed(spark, str(tmp_path / "x")).collect()) == sorted((r.file, r.n, bytes(r.payload)) for r in rows)
+    assert write_framed(df.limit(0), "b", str(tmp_path / "y")) == 0
