@@ -146,6 +146,8 @@ def retag_column(df: DataFrame, column: str, numbers: dict[int, int]) -> DataFra
 
 #: Bytes of a framed file that one task reads, about.
 PART = 64 << 20
+#: Tasks that read framed files at most; with more parts a task reads several.
+TASKS = 100_000
 
 
 def _file(path: str):
@@ -227,7 +229,8 @@ def read_framed(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     split = files.mapInArrow(parts, "file string, start bigint, stop bigint, n bigint")
-    return split.repartition("file", "start").mapInArrow(run, "file string, n bigint, payload binary")
+    # As many tasks as parts: a number of its own keeps adaptive execution from joining these short rows into one task.
+    return split.repartition(max(1, min(split.count(), TASKS))).mapInArrow(run, "file string, n bigint, payload binary")
 
 
 def frame(blobs: Iterable[bytes]) -> bytes:
