@@ -9,7 +9,9 @@ in their stream are two-level: totals of hash buckets first, then sums inside a
 
 Shares are fractions n / period, so after period slots each source has exactly its n blocks and the schedule starts
 again: one period and the rest after the last whole one give every slot by arithmetic. Periods above PERIOD aren't
-used; then one task a mix writes the whole schedule.
+used; then the schedule is cut into windows of WINDOW slots (more where a source has a smaller share than one block in
+these), each written by a task of its own: before a window each source has done its share of the slots so far, rounded so that
+the sum is right, which puts it less than two blocks off at any time.
 
 Shares are weights over the sum of the weights of the sources that have tokens; sources that are absent, empty
 or of weight zero get nothing and are reported with their target. The total is the largest for which no source needs
@@ -36,6 +38,8 @@ from .kmv import hash60
 BLOCK = 256
 #: Longest period that is repeated: a table of at most twice as many rows a mix, whatever the input's size.
 PERIOD = 20_000
+#: Slots that one task schedules where no period is repeated.
+WINDOW = 50_000
 #: Documents a hash bucket, about; one task sorts a bucket.
 BUCKET = 200_000
 #: Rows of targets at most: they and one total a listed source are kept on the driver. More are an error.
@@ -81,26 +85,75 @@ def schedule(weights: dict[str, float], blocks: dict[str, int]) -> list[tuple[st
     return list(earliest_deadline_first(whole_parts({s: Fraction(str(w)) for s, w in weights.items()}), blocks))
 
 
-def slot_table(spark: SparkSession, mixes: dict[int, tuple[dict[str, int], dict[str, int], bool]]) -> DataFrame:
-    """(mix_id, source, rest, k, slot): block k of a period (rest 0) or after the last whole period (rest 1); one task a mix.
+def done_before(parts: dict[str, int], slot: int) -> dict[str, int]:
+    """Blocks of each source before a slot: its share of the slots, rounded up or down so that the sum is the number of slots."""
+    period, before, out = sum(parts.values()), 0, {}
+    for s in sorted(parts):
+        out[s] = (before + parts[s]) * slot // period - before * slot // period
+        before += parts[s]
+    return out
+
+
+def window(parts: dict[str, int], first: dict[str, int], last: dict[str, int], start: int) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) of the blocks first to last (excluded) of each source, in the slots from start on, by earliest deadline first.
+
+    Where no block is released, the next one to be comes early.
+    """
+    period = sum(parts.values())
+    waiting = [(j * period // parts[s], s, j) for s, j in first.items() if j < last[s]]
+    ready: list[tuple[int, str, int]] = []
+    heapq.heapify(waiting)
+    slot = start
+    while waiting or ready:
+        while waiting and (waiting[0][0] <= slot or not ready):
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), s, j))
+        _, s, j = heapq.heappop(ready)
+        yield s, j, slot
+        if j + 1 < last[s]:
+            heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
+        slot += 1
+
+
+def window_size(parts: dict[str, int], size: int) -> int:
+    """Slots a window: so many that every source has a block in each, and size at least. Then no rounding takes a block back."""
+    return max(size, -(-sum(parts.values()) // min(parts.values())))
+
+
+def windows(parts: dict[str, int], blocks: dict[str, int], size: int) -> int:
+    """How many windows a schedule has; the last one takes up to twice the slots."""
+    return max(1, sum(blocks.values()) // window_size(parts, size))
+
+
+def scheduled(parts: dict[str, int], blocks: dict[str, int], n: int, size: int) -> Iterator[tuple[str, int, int]]:
+    """Window n of the schedule of all blocks."""
+    count, size = windows(parts, blocks, size), window_size(parts, size)
+    if count == 1:
+        return earliest_deadline_first(parts, blocks)
+    return window(parts, done_before(parts, n * size), blocks if n == count - 1 else done_before(parts, (n + 1) * size), n * size)
+
+
+def slot_table(spark: SparkSession, mixes: dict[int, tuple[dict[str, int], dict[str, int], bool]], size: int | None = None) -> DataFrame:
+    """(mix_id, source, rest, k, slot): block k of a period (rest 0) or after the last whole period (rest 1); a task a window.
 
     mixes: the parts of each mix, its blocks after the last whole period and whether it has whole periods.
     """
+    size = WINDOW if size is None else size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for m, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for m, text, n in zip(*(b.column(i).to_pylist() for i in range(3))):
                 parts, left, repeated = json.loads(text)
-                for rest, blocks in ((0, parts if repeated else {}), (1, left)):
-                    rows = earliest_deadline_first(parts, blocks)
+                for rest, rows in ((0, earliest_deadline_first(parts, parts if repeated and n == 0 else {})), (1, scheduled(parts, left, n, size))):
                     while some := list(islice(rows, 50_000)):
                         names, ks, slots = zip(*some)
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays([pa.array([m] * n, pa.int64()), pa.array(names), pa.array([rest] * n, pa.int32()), pa.array(ks, pa.int64()), pa.array(slots, pa.int64())], names=["mix_id", "source", "rest", "k", "slot"])
+                        k = len(some)
+                        yield pa.RecordBatch.from_arrays([pa.array([m] * k, pa.int64()), pa.array(names), pa.array([rest] * k, pa.int32()), pa.array(ks, pa.int64()), pa.array(slots, pa.int64())], names=["mix_id", "source", "rest", "k", "slot"])
 
-    rows = [(m, json.dumps(x)) for m, x in mixes.items()]
-    specs = spark.createDataFrame(rows, "mix_id bigint, spec string").repartition(len(rows), "mix_id")
-    return materialise(specs.mapInArrow(run, "mix_id bigint, source string, rest int, k bigint, slot bigint"), "slots")
+    counts = {m: windows(parts, left, size) for m, (parts, left, _) in mixes.items()}
+    specs = spark.createDataFrame([(m, json.dumps(x), counts[m] - 1) for m, x in mixes.items()], "mix_id bigint, spec string, last bigint")
+    each = specs.select("mix_id", "spec", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("n")).repartition(min(sum(counts.values()), 10_000))
+    return materialise(each.mapInArrow(run, "mix_id bigint, source string, rest int, k bigint, slot bigint"), "slots")
 
 
 def plan(targets: list[dict], totals: dict[str, int], min_block: int = BLOCK, period: int = PERIOD) -> list[dict]:

@@ -218,6 +218,30 @@ def test_schedule_stays_within_a_block(weights, total):
             assert all(abs(done[n] - share[n] * (t + 1)) < 1 + 1e-6 for n in names)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 99_991), min_size=1, max_size=8), st.integers(250, 900), st.integers(20, 120))
+def test_windows_hold_every_block_once_within_two_blocks(weights, total, size):
+    parts = {f"s{i}": w for i, w in enumerate(weights)}
+    period = sum(weights)
+    blocks = {s: -(-w * total // period) for s, w in parts.items()}
+    rows = [r for n in range(mixing.windows(parts, blocks, size)) for r in mixing.scheduled(parts, blocks, n, size)]
+    assert [t for _, _, t in rows] == list(range(sum(blocks.values())))
+    done = Counter()
+    for s, j, t in rows:
+        assert j == done[s]
+        done[s] += 1
+        if t < total - 1:  # while no source has run out
+            assert all(abs(done[x] - w * (t + 1) / period) < 2 for x, w in parts.items())
+    assert done == blocks
+
+
+def test_slots_of_windows_written_by_tasks(spark):
+    parts, blocks = {"a": 61803, "b": 31416, "c": 6781}, {"a": 619, "b": 315, "c": 68}
+    rows = mixing.slot_table(spark, {4: (parts, blocks, False)}, 100).collect()
+    assert sorted((r.slot, r.source, r.k) for r in rows) == sorted((t, s, j) for n in range(10) for s, j, t in mixing.scheduled(parts, blocks, n, 100))
+    assert {(r.mix_id, r.rest) for r in rows} == {(4, 1)} and len(rows) == 1002
+
+
 def test_mix_meets_its_shares(spark):
     rnd = random.Random(8)
     rows = [(i, "big", rnd.randrange(1, 400)) for i in range(3000)] + [(i, "mid", rnd.randrange(1, 400)) for i in range(3000, 3600)] + [(i, "tiny", 100) for i in range(3600, 3640)]
