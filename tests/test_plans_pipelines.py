@@ -12,7 +12,7 @@ from fluxnest.pipeline.syntax import BUILTINS, parse
 from fluxnest.plans.config import parse_config, skeleton
 from fluxnest.plans.denorm import Col, DenormPlan, denorm, query
 
-SCHEMA = "name string, items array<struct<id string, price double>>, tags array<string>, seq bigint, __pos1 int, __item0 int"
+SCHEMA = "name string, crates array<struct<code string, mass double>>, ports array<string>, leg bigint, __pos1 int, __item0 int"
 ROWS = [("two", [("a", 1.0), ("b", 2.0)], ["x", "y", "z"], 1, 0, 0), ("none", [], ["x"], 2, 0, 0), ("bare", None, None, 3, 0, 0)]
 
 
@@ -26,10 +26,10 @@ def flat(df, *specs, **named):
 
 
 def test_fan_out(df):
-    assert flat(df, "name", "items[*].id") == [("two", "a"), ("two", "b"), ("none", None), ("bare", None)]
-    assert flat(df, "name", "items[*].id", "tags[*]")[:6] == [("two", i, t) for i in "ab" for t in "xyz"]
-    assert flat(df, "items[9].id", "name") == [(None, None)] * 3  # an empty first column empties its group
-    assert flat(df, "name", last="items[-1].id") == [("two", "b"), ("none", None), ("bare", None)]
+    assert flat(df, "name", "crates[*].code") == [("two", "a"), ("two", "b"), ("none", None), ("bare", None)]
+    assert flat(df, "name", "crates[*].code", "ports[*]")[:6] == [("two", i, t) for i in "ab" for t in "xyz"]
+    assert flat(df, "crates[9].code", "name") == [(None, None)] * 3  # an empty first column empties its group
+    assert flat(df, "name", last="crates[-1].code") == [("two", "b"), ("none", None), ("bare", None)]
 
 
 def test_groups_take_the_size_of_their_first_column(spark):
@@ -39,27 +39,27 @@ def test_groups_take_the_size_of_their_first_column(spark):
 
 
 def test_expressions_over_empty_groups(df):
-    both = call("concat", "items[*].id", "items[*].price", sep=":")
+    both = call("concat", "crates[*].code", "crates[*].mass", sep=":")
     assert flat(df, "name", v=both) == [("two", "a:1"), ("two", "b:2"), ("none", ":"), ("bare", ":")]
-    assert flat(df, "name", "items[*].id", v=both)[2:] == [("none", None, None), ("bare", None, None)]
-    assert flat(df, "name", n=call("sum", "items[*].price"), d=call("distinct", "tags[*]"))[0] == ("two", 3.0, 3)
+    assert flat(df, "name", "crates[*].code", v=both)[2:] == [("none", None, None), ("bare", None, None)]
+    assert flat(df, "name", n=call("sum", "crates[*].mass"), d=call("distinct", "ports[*]"))[0] == ("two", 3.0, 3)
 
 
 def test_strict(df):
-    d = df.filter("seq = 1")
+    d = df.filter("leg = 1")
     with pytest.raises(Exception, match="clamped"):
-        denorm(d, Col("v", "items[0:5].id", strict=True)).collect()
-    assert flat(d, Col("v", "items[0:2].id", strict=True)) == [("a",), ("b",)]
+        denorm(d, Col("v", "crates[0:5].code", strict=True)).collect()
+    assert flat(d, Col("v", "crates[0:2].code", strict=True)) == [("a",), ("b",)]
 
 
-@pytest.mark.parametrize("bad", ["items", "items[*]", "nope", "name.x"])
+@pytest.mark.parametrize("bad", ["crates", "crates[*]", "nope", "name.x"])
 def test_bad_plans(df, bad):
     with pytest.raises(PlanError):
         DenormPlan(df.schema, [Col("v", bad)])
 
 
 def test_no_shuffle(df):
-    plan = denorm(df, "name", "items[*].id", "tags[*]")._jdf.queryExecution().executedPlan().toString()
+    plan = denorm(df, "name", "crates[*].code", "ports[*]")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Generate") == 2
 
 
@@ -71,7 +71,7 @@ def test_rows_are_the_product(spark, sizes):
 
 
 def test_query(df):
-    assert [tuple(r) for r in query(df, ids="items[*].id", first="tags[0]").collect()][:2] == [(["a", "b"], ["x"]), ([], ["x"])]
+    assert [tuple(r) for r in query(df, ids="crates[*].code", first="ports[0]").collect()][:2] == [(["a", "b"], ["x"]), ([], ["x"])]
 
 
 YAML = """
@@ -79,9 +79,9 @@ proto: {file: o.proto, message: Order}
 denormalizer:
   columns:
     - {name: name, path: name}
-    - {name: item, path: "items[*].id", strict: true}
+    - {name: item, path: "crates[*].code", strict: true}
     - name: label
-      expr: {func: cond, args: [{expr: {func: gt, args: [{path: "items[*].price"}, {literal: 1.5}]}}, {literal: dear}, {literal: cheap}]}
+      expr: {func: cond, args: [{expr: {func: gt, args: [{path: "crates[*].mass"}, {literal: 1.5}]}}, {literal: dear}, {literal: cheap}]}
 """
 
 
@@ -89,7 +89,7 @@ def test_config(df):
     c = parse_config(YAML)
     assert [tuple(r) for r in c.plan(df.schema).apply(df).collect()][:2] == [("two", "a", "cheap"), ("two", "b", "dear")]
     again = parse_config(skeleton(df.schema, "o.proto", "Order"))
-    assert [x.path for x in again.columns] == ["name", "items[*].id", "items[*].price", "tags[*]", "seq", "__pos1", "__item0"]
+    assert [x.path for x in again.columns] == ["name", "crates[*].code", "crates[*].mass", "ports[*]", "leg", "__pos1", "__item0"]
 
 
 @pytest.mark.parametrize(
@@ -103,31 +103,31 @@ def test_bad_config(change):
 
 # ---- pipelines
 
-DATA = [{"s": "a b,c", "n": 5, "x": 2.5, "l": ["k", "j", None], "items": [{"p": 3, "q": "x"}, {"p": 1, "q": "y"}], "m": {"u": 1}}, {"s": "", "n": -7, "x": -0.5, "l": [], "items": [], "m": {}}]
-PIPE_SCHEMA = "s string, n bigint, x double, l array<string>, items array<struct<p bigint, q string>>, m map<string, bigint>"
+DATA = [{"s": "a b,c", "n": 5, "x": 2.5, "l": ["k", "j", None], "crates": [{"p": 3, "q": "x"}, {"p": 1, "q": "y"}], "m": {"u": 1}}, {"s": "", "n": -7, "x": -0.5, "l": [], "crates": [], "m": {}}]
+PIPE_SCHEMA = "s string, n bigint, x double, l array<string>, crates array<struct<p bigint, q string>>, m map<string, bigint>"
 PROGRAMS = """
-.items[] | select(.p > 1) | .q
-[.items[].p] | add
-.items | map(.p) | sort
-.items | sort_by(.p) | map(.q)
-.items | group_by(.q) | map(length)
-reduce .items[] as $i (0; . + $i.p)
-[foreach .items[] as $i (0; . + $i.p)]
+.crates[] | select(.p > 1) | .q
+[.crates[].p] | add
+.crates | map(.p) | sort
+.crates | sort_by(.p) | map(.q)
+.crates | group_by(.q) | map(length)
+reduce .crates[] as $i (0; . + $i.p)
+[foreach .crates[] as $i (0; . + $i.p)]
 if .n > 0 then "pos" else "neg" end
 .s // "none"
-.n as $k | .items | map(.p + $k)
+.n as $k | .crates | map(.p + $k)
 def inc(f): f + 1; inc(.n)
 {a: .n, b: .s}
 "n=\\(.n) l=\\(.l[])"
 .s | split(",")
 .l | join("-")
-[limit(1; .items[].q)]
+[limit(1; .crates[].q)]
 .x | round
 .x | tostring
 .n / 2, .n % 2
 .m | to_entries
-.items | min_by(.p) | .q
-.items | any(.p > 2), all(.p > 0)
+.crates | min_by(.p) | .q
+.crates | any(.p > 2), all(.p > 0)
 .l | @csv
 .s | @html
 """.strip().split("\n")
@@ -135,7 +135,7 @@ def inc(f): f + 1; inc(.n)
 
 @pytest.mark.parametrize("program", PROGRAMS)
 def test_columns_and_interpreter_agree(spark, program):
-    d = spark.createDataFrame([tuple(r.values()) for r in [{**x, "items": [tuple(i.values()) for i in x["items"]]} for x in DATA]], PIPE_SCHEMA).coalesce(1)
+    d = spark.createDataFrame([tuple(r.values()) for r in [{**x, "crates": [tuple(i.values()) for i in x["crates"]]} for x in DATA]], PIPE_SCHEMA).coalesce(1)
     s = compile_pipeline(d.schema, program)
     got = [[json.loads(t) for t in r[0]] for r in d.select(as_json(s.array.col, s.array.kind)).collect()]
     assert got == [execute(parse(program), x) for x in DATA]
@@ -186,7 +186,7 @@ def test_interpreter(program, value, want):
 
 @pytest.mark.parametrize("program", ["recurse", "recurse(.[]?)"])
 def test_recurse_walks_whole_records(program):
-    value = {"items": [{"n": i, "tags": [str(i)]} for i in range(30_000)]}
+    value = {"crates": [{"n": i, "ports": [str(i)]} for i in range(30_000)]}
     got = execute(parse(program), value)
     assert len(got) == 2 + 30_000 * 4
     assert [x for x in got if isinstance(x, int)] == list(range(30_000)) and got[-1] == "29999"
